@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from evalweave.functions.scoring import PARSE_PROXY, ensure_columns, resolve_confidence
 from evalweave.plans.ranked import with_running
+from evalweave.plans.shared import cut
 
 TIE_KEYS = ("id", "sample_index")
 NLL_CLIP = 1e-12
@@ -152,6 +153,11 @@ def calibration_metrics(
     pairs: DataFrame, *, group_cols: Sequence[str] = ("cell_id",), n_bins: int = 10, full: bool = True
 ) -> DataFrame:
     """The metric bundle per group: Brier, ECE, AUROC, AURC and, if full, adaptive ECE and NLL."""
+    # Thin rows, read by three steps.
+    return _bundle(cut(pairs), group_cols, n_bins, full)
+
+
+def _bundle(pairs: DataFrame, group_cols: Sequence[str], n_bins: int, full: bool) -> DataFrame:
     from evalweave.operators.risk import aurc, descending
 
     ranked = ascending(pairs, group_cols)
@@ -209,13 +215,13 @@ def calibration_summary(
 ) -> DataFrame:
     """Metrics and bins where they are available; other groups are marked skipped."""
     gate = availability(df, group_cols=group_cols, allow_parse_proxy=allow_parse_proxy)
-    pairs = confidence_pairs(df, group_cols=group_cols, allow_parse_proxy=allow_parse_proxy)
+    pairs = cut(confidence_pairs(df, group_cols=group_cols, allow_parse_proxy=allow_parse_proxy))
     bins = reliability_bins(pairs, group_cols=group_cols).groupBy(*group_cols).agg(
         F.array_sort(
             F.collect_list(F.struct("bin", "bin_lo", "bin_hi", "count", "accuracy", "confidence"))
         ).alias("reliability_bins")
     )
-    metrics = calibration_metrics(pairs, group_cols=group_cols).drop("n")
+    metrics = _bundle(pairs, group_cols, 10, full=True).drop("n")
     out = join_groups([gate, metrics, bins], group_cols, how="left")
     kept = [c for c in (*metrics.columns, "reliability_bins") if c not in group_cols]
     return out.withColumn("skipped", ~F.col("available")).withColumns(

@@ -19,12 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _slices(text: str, engine: str) -> str:
+_PRIME = 2147483647
+
+
+def _slices(text: str) -> str:
+    """``@n`` as a 16-bit number: the mixed row key times a power of a primitive root.
+
+    Integer arithmetic that both engines share; short enough for compiled code to stay small.
+    """
     def one(m: re.Match) -> str:
-        i = int(m.group(1))
-        part = f"substr({'h' if i < 8 else 'h2'}, {4 * (i % 8) + 1}, 4)"
-        return f"cast(conv({part}, 16, 10) as int)" if engine == "spark" else f"cast('0x' || {part} as int)"
-    return re.sub(r"@(\d+)", one, text)
+        key = "item_key" if m.group(1) else "key"
+        return f"cast(((({key} * {pow(48271, int(m.group(2)) + 3, _PRIME)}) % {_PRIME}) >> 12) % 65536 as int)"
+    return re.sub(r"@(i?)(\d+)", one, text)
+
+
+def _mixed(key: str) -> str:
+    """One nonlinear round, so that neighbouring keys do not give neighbouring slices."""
+    return f"({key} * (({key} >> 15) + 40503)) % {_PRIME}"
 
 
 CELL = """case concat(l_returnflag, l_linestatus)
@@ -35,15 +46,15 @@ BASELINE_CELL = "level_a_qwen7b_bf16_math500_seed0"
 
 # Stages of the scored view: (name, expression) lists on top of the columns before.
 _BASE = [
-    ("cell_id", CELL), ("id", "cast(l_orderkey as string)"), ("pk", "cast(l_partkey as string)"),
-    ("sk", "cast(l_suppkey as string)"), ("ln", "l_linenumber"), ("px", "l_extendedprice"),
+    ("cell_id", CELL), ("id", "cast(l_orderkey as string)"), ("okey", "l_orderkey"), ("pk", "l_partkey"),
+    ("sk", "l_suppkey"), ("ln", "l_linenumber"), ("px", "l_extendedprice"),
     ("qty", "l_quantity"), ("sd", "l_shipdate"), ("run_no", "cast(l_suppkey % 40 as int)"),
 ]
 _INDEXED = [("sample_index", "cast(row_number() over (partition by cell_id, id order by ln, pk, sk, px, sd) - 1 as int)")]
+_KEYED = [("raw_key", f"((okey * 997 + length(cell_id) * 5 + ascii(substr(cell_id, 7, 1))) * 31 + sample_index) % {_PRIME}")]
 _HASHED = [
-    ("h", "md5(concat_ws('|', cell_id, id, cast(sample_index as string)))"),
-    ("h2", "md5(concat_ws('|', '2', cell_id, id, cast(sample_index as string)))"),
-    ("item_h", "md5(concat('i|', id))"),
+    ("key", _mixed("raw_key")),
+    ("item_key", f"(okey * 104729 + 17) % {_PRIME}"),
     ("task", "case when cell_id like '%gsm8k%' then 'gsm8k' when cell_id like '%gpqa%' then 'gpqa_diamond' else 'math500' end"),
     ("quant_config", "case when cell_id like '%bf16%' then 'bf16' when cell_id like '%gptq4%' then 'gptq4' when cell_id like '%awq4%' then 'awq4' else 'fp8' end"),
     ("seed", "case when cell_id like '%seed0' then 0 else 1 end"),
@@ -51,7 +62,7 @@ _HASHED = [
     ("run_cell", "concat(cell_id, '_r', cast(run_no as string))"),
 ]
 _ANSWERS = [
-    ("gold_no", "{item_slice} % 4"),
+    ("gold_no", "@i0 % 4"),
 ]
 _SCORED = [
     ("gold_answer", "case when task = 'gpqa_diamond' then substr('ABCD', gold_no + 1, 1) else cast(10 + gold_no as string) end"),
@@ -84,21 +95,12 @@ _FINAL = [
     ("answer_parse_success", "coalesce(pred_answer <> '', false)"),
     ("boxed", "concat(chr(92), 'boxed{', coalesce(pred_answer, ''), '}')"),
 ]
-_STAGES = [_BASE, _INDEXED, _HASHED, _ANSWERS, _SCORED, _JUDGED, _FINAL]
-
-
-def _item_slice(engine: str) -> str:
-    part = "substr(item_h, 1, 4)"
-    return f"cast(conv({part}, 16, 10) as int)" if engine == "spark" else f"cast('0x' || {part} as int)"
-
-
-def _expr(text: str, engine: str) -> str:
-    return _slices(text.replace("{item_slice}", _item_slice(engine)), engine)
+_STAGES = [_BASE, _INDEXED, _KEYED, _HASHED, _ANSWERS, _SCORED, _JUDGED, _FINAL]
 
 
 def _derive(df: DataFrame, stages: list[list[tuple[str, str]]]) -> DataFrame:
     for n, stage in enumerate(stages):
-        exprs = [f"{_expr(e, 'spark')} as {name}" for name, e in stage]
+        exprs = [f"{_slices(e)} as {name}" for name, e in stage]
         df = df.selectExpr(*([] if n == 0 else ["*"]), *exprs)
     return df
 
@@ -107,7 +109,7 @@ def _ctes(source: str, name: str, stages: list[list[tuple[str, str]]]) -> str:
     out, prev = [], source
     for n, stage in enumerate(stages):
         cur = name if n == len(stages) - 1 else f"{name}_{n}"
-        cols = ", ".join(f"{_expr(e, 'duckdb')} as {c}" for c, e in stage)
+        cols = ", ".join(f"{_slices(e)} as {c}" for c, e in stage)
         out.append(f"{cur} as (select {'' if n == 0 else '*, '}{cols} from {prev})")
         prev = cur
     return ",\n".join(out)
@@ -124,7 +126,8 @@ SCORED_SQL = "with " + _ctes("lineitem", "scored", _STAGES)
 # Long texts: a document with an answer in one of ten forms at its end.
 _TEXT_STAGES = [
     [("doc_id", "doc_id"), ("id", "cast(doc_id as string)"), ("cell_id", "concat('docs_', lang)"), ("text", "text"),
-     ("h", "md5(cast(doc_id as string))"), ("h2", "md5(concat('2|', cast(doc_id as string)))"), ("sample_index", "0")],
+     ("raw_key", f"((doc_id + 3) * 104729 + 31) % {_PRIME}"), ("sample_index", "0")],
+    [("key", _mixed("raw_key"))],
     [("task", "case @0 % 3 when 0 then 'gpqa_diamond' when 1 then 'gsm8k' else 'math500' end"),
      ("gold_no", "@3 % 3"), ("form", "@1 % 10"), ("bs", "chr(92)"),
      ("v", "case when @4 % 2 = 0 then cast(10 + @3 % 3 as string) else cast(10 + @5 % 5 as string) end"),
@@ -147,7 +150,7 @@ _TEXT_STAGES = [
 
 def text_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One raw response per document, its text in full."""
-    return _derive(table(spark, sf_dir, "documents"), _TEXT_STAGES).drop("text", "body", "h", "h2", "bs")
+    return _derive(table(spark, sf_dir, "documents"), _TEXT_STAGES).drop("text", "body", "raw_key", "key", "bs")
 
 
 TEXT_SQL = "with " + _ctes("documents", "raw", _TEXT_STAGES)
