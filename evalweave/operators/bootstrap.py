@@ -93,7 +93,8 @@ def replicate_sums(
     a, b = steps.alias("a"), nodes.alias("b")
     on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*group_cols, "depth", "node")]
     paths = a.join(b, on).select(
-        *[F.col(f"a.{c}") for c in group_cols], "a.chunk", "a.depth", "a.node", "b.node_rows", "b.left_rows"
+        # New names for the keys: both sides of the cogroup below come from ``levels``.
+        *[F.col(f"a.{c}").alias(c) for c in (*group_cols, "chunk")], "a.depth", "a.node", "b.node_rows", "b.left_rows"
     )
 
     width = len(group_cols)

@@ -1 +1,131 @@
-"""Registered queries."""
+"""Paired comparison, multiple-testing and bootstrap queries."""
+
+from pyspark.sql import functions as F
+
+from evalweave.functions.scoring import is_true
+from evalweave.functions.stats import ERFC_COEFFICIENTS, erfc_expression
+from evalweave.operators import bootstrap, comparison, sampling
+from evalweave.plans import reports
+from evalweave.registry import views as V
+from evalweave.registry.catalog import query
+from evalweave.registry.summary_queries import run_summaries, runs_sql
+
+
+def _erfc_sql(x: str) -> str:
+    t = f"(1.0e0 / (1.0e0 + 0.5e0 * {x}))"
+    poly = f"{ERFC_COEFFICIENTS[-1]}e0"
+    for c in reversed(ERFC_COEFFICIENTS[:-1]):
+        poly = f"({c}e0 + {t} * {poly})"
+    return f"({t} * exp(-({x}) * ({x}) + {poly}))"
+
+
+_ITEMS = V.SCORED_SQL + f""",
+  items as (select cell_id, id, coalesce(correct, false) as ok from scored
+    qualify row_number() over (partition by cell_id, id order by sample_index desc) = 1),
+  pairs as (select v.cell_id, v.id, b.ok as base, v.ok as var from items v join items b on b.id = v.id
+    and b.cell_id = '{V.BASELINE_CELL}' and v.cell_id <> b.cell_id)"""
+_COUNTS = f"""counts as (select cell_id, count(*) as n_items, avg(cast(base as int)) as bp, avg(cast(var as int)) as vp,
+    count_if(base and not var) as b, count_if(var and not base) as c from pairs group by cell_id),
+  stats as (select *, case when b + c = 0 then 0 else (abs(b - c) - 1) * (abs(b - c) - 1) / cast(b + c as double) end as stat from counts),
+  tested as (select *, case when b + c = 0 then 1 else {_erfc_sql('sqrt(stat / 2)')} end as p from stats),
+  ranked as (select *, row_number() over (order by p, cell_id) as k, count(*) over () as m from tested),
+  holm as (select *, max(least(1, (m - k + 1) * p)) over (order by k rows unbounded preceding) as p_holm from ranked)"""
+
+
+@query("last_row_wins", _ITEMS + " select cell_id, id, ok as correct from items")
+def last_row_wins(spark, sf_dir):
+    return comparison.last_per_item(V.scored(spark, sf_dir))
+
+
+@query("paired_items", _ITEMS + " select cell_id, id, base, var from pairs")
+def paired_items(spark, sf_dir):
+    return comparison.paired_items(V.scored(spark, sf_dir), V.BASELINE_CELL).select("cell_id", "id", "base", "var")
+
+
+@query("mcnemar_holm", f"""{_ITEMS}, {_COUNTS}
+  select cell_id, '{V.BASELINE_CELL}' as baseline, n_items, round(bp, 6) as baseline_pass_at_1, round(vp, 6) as variant_pass_at_1,
+    b, c, b + c as n_discordant, round(stat, 6) as statistic, round(p, 4) as p_value,
+    round(case when b + c = 0 then 0 else vp - bp end, 6) as effect_rate_diff, round(p_holm, 4) as p_value_holm from holm""")
+def mcnemar_holm(spark, sf_dir):
+    df = V.rounded(comparison.compare_with_baseline(V.scored(spark, sf_dir), V.BASELINE_CELL))
+    return df.withColumns({c: F.round(c, 4) for c in ("p_value", "p_value_holm")})
+
+
+@query("holm_adjustment", V.SCORED_SQL + f""", {runs_sql()},
+  tests as (select family, cell_id, {_erfc_sql('abs(pass_at_1 - 0.45) * sqrt(n)')} as p from runs),
+  ranked as (select *, row_number() over w as k, count(*) over (partition by family) as m from tests
+    window w as (partition by family order by p, cell_id))
+  select family, cell_id, round(p, 6) as p_value,
+    round(max(least(1, (m - k + 1) * p)) over (partition by family order by k rows unbounded preceding), 6) as p_value_holm from ranked""")
+def holm_adjustment(spark, sf_dir):
+    tests = run_summaries(spark, sf_dir).select(
+        "family", "cell_id", erfc_expression(F.abs(F.col("pass_at_1") - 0.45) * F.sqrt("n")).alias("p_value"))
+    return V.rounded(comparison.holm_adjusted(tests, "p_value", ["family"], ["cell_id"]))
+
+
+@query("bootstrap_pass_rate")
+def bootstrap_pass_rate(spark, sf_dir):
+    return bootstrap.bootstrap_ci(V.scored(spark, sf_dir), {"x": is_true(F.col("correct")).cast("int")})
+
+
+@query("bootstrap_mean_latency")
+def bootstrap_mean_latency(spark, sf_dir):
+    rows = V.scored(spark, sf_dir).filter(F.col("latency_sec").isNotNull())
+    return bootstrap.bootstrap_ci(rows, {"x": F.col("latency_sec")}, n_resamples=400)
+
+
+@query("cluster_bootstrap")
+def cluster_bootstrap(spark, sf_dir):
+    return bootstrap.cluster_bootstrap_ci(V.scored(spark, sf_dir))
+
+
+@query("cost_per_correct_bootstrap")
+def cost_per_correct_bootstrap(spark, sf_dir):
+    return bootstrap.cost_per_correct_ci(V.scored(spark, sf_dir), n_resamples=400)
+
+
+# The point values that the intervals surround, with an oracle of their own.
+@query("bootstrap_point_values", V.SCORED_SQL + """,
+  clusters as (select cell_id, id, avg(cast(correct as int)) as m from scored where correct is not null group by 1, 2),
+  cl as (select cell_id, avg(m) as cluster_mean, count(*) as n_clusters from clusters group by 1)
+  select s.cell_id, count(*) as n, round(avg(cast(coalesce(correct, false) as int)), 6) as pass_rate,
+    round(any_value(cluster_mean), 6) as cluster_mean, any_value(n_clusters) as n_clusters,
+    round(sum(latency_sec) / count_if(correct and latency_sec is not null), 6) as cost_ratio, true as inside
+  from scored s join cl using (cell_id) group by s.cell_id""")
+def bootstrap_point_values(spark, sf_dir):
+    df = V.scored(spark, sf_dir)
+    few = {"n_resamples": 200}
+    named = lambda d, v: d.select("cell_id", F.col("value").alias(v), F.col("value").between("ci_low", "ci_high").alias(f"{v}_inside"),
+                                  *[c for c in ("n", "n_clusters") if c in d.columns and v != "cost_ratio"])
+    out = comparison.join_groups([
+        named(bootstrap.bootstrap_ci(df, {"x": is_true(F.col("correct")).cast("int")}, **few), "pass_rate"),
+        named(bootstrap.cluster_bootstrap_ci(df, **few), "cluster_mean"),
+        named(bootstrap.cost_per_correct_ci(df, **few), "cost_ratio"),
+    ], ["cell_id"])
+    inside = F.col("pass_rate_inside") & F.col("cluster_mean_inside") & F.col("cost_ratio_inside")
+    return V.rounded(out.select("cell_id", "n", "pass_rate", "cluster_mean", "n_clusters", "cost_ratio", inside.alias("inside")))
+
+
+@query("paired_report")
+def paired_report(spark, sf_dir):
+    return comparison.paired_report(V.scored(spark, sf_dir), V.BASELINE_CELL)
+
+
+@query("score_run_report")
+def score_run_report(spark, sf_dir):
+    return reports.score_run(V.scored(spark, sf_dir), n_resamples=200)
+
+
+_AUDIT = """keyed as (select *, not coalesce(correct, false) or not answer_parse_success as is_failure,
+    md5(concat_ws('|', '7', id, cast(sample_index as varchar))) as k from scored),
+  sizes as (select cell_id, count_if(is_failure) as f, count_if(not is_failure) as s from keyed group by 1),
+  placed as (select *, row_number() over (partition by cell_id, is_failure order by k, id, sample_index) as place from keyed),
+  quota as (select *, least(f, greatest(25, 50 - least(s, 25))) as take_f from sizes)"""
+
+
+@query("audit_sample", V.SCORED_SQL + f""", {_AUDIT}
+  select p.cell_id, id, sample_index, is_failure, task, completion, pred_answer, gold_answer, correct, answer_parse_success,
+    cast(null as varchar) as reviewer_decision, cast(null as varchar) as adjudication_notes
+  from placed p join quota q using (cell_id) where place <= case when is_failure then take_f else 50 - take_f end""")
+def audit_sample(spark, sf_dir):
+    return sampling.audit_sample(V.scored(spark, sf_dir), n=50, seed=7)
