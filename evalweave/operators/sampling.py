@@ -20,7 +20,7 @@ def audit_sample(
     Ranking stops at ``n`` rows per class, a literal bound that Spark also applies before the
     shuffle, so a large group never travels whole.
     """
-    df = ensure_columns(df, sample_index="int", gold_letter="string", gold_answer="string", completion="string",
+    df = ensure_columns(df, sample_index="int", gold_letter="string", gold_answer="string", pred_answer="string", completion="string",
                         task="string", answer_parse_success="boolean")
     failed = ~is_true(F.col("correct")) | ~is_true(F.col("answer_parse_success"))
     order_key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id"), F.coalesce("sample_index", F.lit(0)).cast("string")))

@@ -24,7 +24,7 @@ def integrate_samples(
     bucket length.
     """
     df = ensure_columns(samples, mem_bytes="long", util="double", power="double", sample_id="long")
-    second = F.col("ts").cast("double")
+    second = F.col("ts").cast("timestamp").cast("double")
     df = df.withColumns({"_sec": second, "_bucket": F.floor(second / bucket_seconds)})
     in_bucket = Window.partitionBy(*group_cols, "_bucket").orderBy("ts", "sample_id")
     gap = F.greatest(F.lit(0.0), F.col("_sec") - F.lag("_sec").over(in_bucket))

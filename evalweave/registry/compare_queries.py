@@ -6,6 +6,7 @@ from evalweave.functions.scoring import is_true
 from evalweave.functions.stats import ERFC_COEFFICIENTS, erfc_expression
 from evalweave.operators import bootstrap, comparison, sampling
 from evalweave.plans import reports
+from evalweave.plans.shared import cut
 from evalweave.registry import views as V
 from evalweave.registry.catalog import query
 from evalweave.registry.summary_queries import run_summaries, runs_sql
@@ -95,7 +96,7 @@ def cost_per_correct_bootstrap(spark, sf_dir):
 def bootstrap_point_values(spark, sf_dir):
     df = V.scored(spark, sf_dir)
     few = {"n_resamples": 200}
-    named = lambda d, v: d.select("cell_id", F.col("value").alias(v), F.col("value").between("ci_low", "ci_high").alias(f"{v}_inside"),
+    named = lambda d, v: d.select("cell_id", F.col("value").alias(v), F.col("value").between(F.col("ci_low"), F.col("ci_high")).alias(f"{v}_inside"),
                                   *[c for c in ("n", "n_clusters") if c in d.columns and v != "cost_ratio"])
     out = comparison.join_groups([
         named(bootstrap.bootstrap_ci(df, {"x": is_true(F.col("correct")).cast("int")}, **few), "pass_rate"),
@@ -113,7 +114,8 @@ def paired_report(spark, sf_dir):
 
 @query("score_run_report")
 def score_run_report(spark, sf_dir):
-    return reports.score_run(V.scored(spark, sf_dir), n_resamples=200)
+    # A stored scored table, as every report reads it.
+    return reports.score_run(cut(V.scored(spark, sf_dir)), n_resamples=200)
 
 
 _AUDIT = """keyed as (select *, not coalesce(correct, false) or not answer_parse_success as is_failure,

@@ -1 +1,126 @@
-"""Registered queries."""
+"""Reader and writer queries: tables written to the shared folder and read back."""
+
+from pyspark.sql import functions as F
+
+from evalweave.functions import scoring
+from evalweave.plans.shared import scratch_path
+from evalweave.registry import views as V
+from evalweave.registry.catalog import query
+from evalweave.registry.summary_queries import run_summaries, runs_sql
+from evalweave.sources import readers, writers
+
+
+@query("jsonl_roundtrip", V.SCORED_SQL + """
+  select cell_id, id, sample_index, task, seed, latency_sec, completion_tokens, finish_reason, truncated, confidence, confidence_source from scored""")
+def jsonl_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "responses")
+    writers.write_jsonl(V.raw_responses(spark, sf_dir).drop("sd"), path, partition_cols=["cell_id"])
+    return readers.read_responses(spark, path).select(
+        "cell_id", "id", "sample_index", "task", "seed", "latency_sec", "completion_tokens", "finish_reason", "truncated",
+        "confidence", "confidence_source")
+
+
+@query("archive_rescore", V.SCORED_SQL + """,
+    ext as (select *, case when task = 'gpqa_diamond' then case when pred_answer in ('A', 'B', 'C', 'D') then pred_answer end
+            else nullif(coalesce(pred_answer, ''), '') end as pred from scored)
+    select cell_id, count(*) as n, count_if(coalesce(pred = gold_answer, false)) as num_correct,
+        count_if(pred is not null) as parsed, cast(sum(2) as bigint) as steps from ext group by cell_id""")
+def archive_rescore(spark, sf_dir):
+    """All raw files of an archive in one job."""
+    path = scratch_path(spark, "raw")
+    writers.write_jsonl(V.raw_responses(spark, sf_dir).drop("sd"), path, partition_cols=["cell_id"])
+    rows = scoring.score_responses(readers.read_responses(spark, path), keep_text=False)
+    return rows.groupBy("cell_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("num_correct"),
+        F.count_if("answer_parse_success").alias("parsed"), F.sum("reasoning_steps").alias("steps"))
+
+
+_LINES = """with docs as (select event_id, event_type,
+    case when event_type = 'error' and event_id % 50 = 3 then '{"k": ' when event_id % 11 = 0 then '   ' else props end as value from events)"""
+
+
+def _event_lines(spark, sf_dir, broken="error"):
+    """Event properties as line files per event type; some lines blank, some of one type broken."""
+    path = scratch_path(spark, "lines")
+    lines = V.table(spark, sf_dir, "events").select(
+        "event_type",
+        F.when((F.col("event_type") == broken) & (F.col("event_id") % 50 == 3), '{"k": ')
+        .when(F.col("event_id") % 11 == 0, "   ").otherwise(F.col("props")).alias("value"))
+    lines.write.partitionBy("event_type").text(path)
+    found = readers.read_lines(spark, path)
+    return found.withColumn("name", F.regexp_extract("path", "event_type=([a-z]+)", 1))
+
+
+@query("line_validity", _LINES + """
+  select event_type as name, count(*) filter (trim(value) <> '' and value <> '{"k": ') as good_rows,
+    count(*) filter (value = '{"k": ') as bad_rows, count(*) filter (value = '{"k": ') = 0 as valid from docs group by 1""")
+def line_validity(spark, sf_dir):
+    return readers.line_validity(_event_lines(spark, sf_dir), ["name"])
+
+
+@query("corrupt_lines_set_aside", _LINES + """
+  select event_type as name, count(*) filter (trim(value) <> '' and value <> '{"k": ') as parsed,
+    cast(sum(try_cast(regexp_extract(value, ': (\\d+)', 1) as bigint)) as bigint) as k_sum,
+    count(*) filter (value = '{"k": ') as set_aside from docs group by 1""")
+def corrupt_lines_set_aside(spark, sf_dir):
+    lines = _event_lines(spark, sf_dir)
+    by_name = F.regexp_extract("path", "event_type=([a-z]+)", 1)
+    good, bad = readers.split_corrupt(lines.drop("name"), V.small_table(spark, [], "k long").schema)
+    parsed = good.groupBy(by_name.alias("name")).agg(F.count(F.lit(1)).alias("parsed"), F.sum("k").alias("k_sum"))
+    aside = bad.groupBy(by_name.alias("name")).agg(F.count(F.lit(1)).alias("set_aside"))
+    return parsed.join(aside, "name", "left").withColumn("set_aside", F.coalesce("set_aside", F.lit(0)))
+
+
+@query("mirror_preferred", """select distinct event_type as name, case event_type when 'error' then 'mirror' else 'primary' end as source from events""")
+def mirror_preferred(spark, sf_dir):
+    by_name = ["name"]
+    primary = readers.line_validity(_event_lines(spark, sf_dir, "error"), by_name).withColumn("path", F.lit("primary"))
+    mirror = readers.line_validity(_event_lines(spark, sf_dir, "view"), by_name).withColumn("path", F.lit("mirror"))
+    return readers.prefer_valid_copy(primary, mirror).select("name", "source")
+
+
+@query("parquet_by_cell", V.SCORED_SQL + f"""
+  select cell_id, count(*) as n, round(sum(latency_sec), 6) as total_seconds from scored where cell_id = '{V.BASELINE_CELL}' group by 1""")
+def parquet_by_cell(spark, sf_dir):
+    path = scratch_path(spark, "scored")
+    writers.write_parquet(V.scored(spark, sf_dir).select("cell_id", "id", "sample_index", "latency_sec", "correct"), path)
+    cell = spark.read.parquet(path).filter(F.col("cell_id") == V.BASELINE_CELL)
+    return V.rounded(cell.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"), F.sum("latency_sec").alias("total_seconds")))
+
+
+@query("flatten_nested", """select o_orderkey as id, o_orderstatus as "cell.status", o_totalprice as "cell.cost.total",
+    o_custkey as "cell.cost.customer" from orders""")
+def flatten_nested(spark, sf_dir):
+    nested = V.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"),
+        F.struct(F.col("o_orderstatus").alias("status"),
+                 F.struct(F.col("o_totalprice").alias("total"), F.col("o_custkey").alias("customer")).alias("cost")).alias("cell"))
+    return writers.flatten(nested)
+
+
+@query("csv_table", V.SCORED_SQL + f""", {runs_sql()}
+  select cell_id, task, cast(null as varchar) as model_family, quant_config, cast(n as varchar) as n,
+    cast(num_parse_failures as varchar) as num_parse_failures, cast(num_truncated as varchar) as num_truncated from runs""")
+def csv_table(spark, sf_dir):
+    path = scratch_path(spark, "csv")
+    writers.write_csv(run_summaries(spark, sf_dir), path, writers.FAILURE_FIELDS)
+    back = spark.read.option("header", True).csv(path)
+    return back.select("cell_id", "task", "model_family", "quant_config", "n", "num_parse_failures", "num_truncated")
+
+
+@query("response_cache", V.SCORED_SQL + """
+  select id, task, cast(null as varchar) as prompt, completion, pred_answer, nullif(gold_answer, '') as gold_answer, correct, cell_id, quant_config, seed from scored""")
+def response_cache(spark, sf_dir):
+    return writers.response_cache(V.scored(spark, sf_dir))
+
+
+@query("response_cache_limited", V.SCORED_SQL + """
+  select id, task, completion, pred_answer, gold_answer, correct, cell_id, quant_config, seed from scored
+  order by cell_id, id, sample_index limit 500""")
+def response_cache_limited(spark, sf_dir):
+    return writers.response_cache(V.scored(spark, sf_dir), limit=500).drop("prompt")
+
+
+@query("file_hashes")
+def file_hashes(spark, sf_dir):
+    return readers.file_hashes(spark, sf_dir, "*.parquet")

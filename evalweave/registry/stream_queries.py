@@ -1 +1,76 @@
-"""Registered queries."""
+"""Streaming queries, run over the given tables until all input is processed."""
+
+from pyspark.sql import functions as F
+
+from evalweave.plans.shared import scratch_path
+from evalweave.registry import views as V
+from evalweave.registry.catalog import query
+from evalweave.streaming import jobs
+
+
+def stream_table(spark, sf_dir, name):
+    schema = V.table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+_KEYED = [
+    ("cell_id", V.CELL), ("id", "cast(l_orderkey as string)"), ("sample_index", "l_linenumber"),
+    ("ok", "(l_orderkey + l_linenumber) % 3 = 0"), ("gold", "cast(l_orderkey % 90 + 10 as string)"),
+]
+
+
+def stream_responses(spark, sf_dir):
+    """Responses whose columns depend on the key alone; the source holds copies of some keys."""
+    rows = stream_table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} as {n}" for n, e in _KEYED])
+    return rows.select(
+        "cell_id", "id", "sample_index", F.lit("math500").alias("task"),
+        F.concat(F.lit("It is \\boxed{"), F.when(F.col("ok"), F.col("gold")).otherwise(F.lit("0")), F.lit("}")).alias("completion"),
+        F.concat(F.lit("\\boxed{"), F.col("gold"), F.lit("}")).alias("gold_solution"),
+    )
+
+
+_UNIQUE = "with " + V._ctes("lineitem", "keyed", [_KEYED]) + ", uniq as (select distinct cell_id, id, sample_index, ok, gold from keyed)"
+
+
+@query("stream_scoring", _UNIQUE + """
+  select cell_id, id, sample_index, case when ok then gold else '0' end as pred_answer, ok as correct from uniq""")
+def stream_scoring(spark, sf_dir):
+    table, checkpoint = scratch_path(spark, "stream-scored"), scratch_path(spark, "stream-scored-state")
+    jobs.start_scoring(stream_responses(spark, sf_dir), table, checkpoint).awaitTermination()
+    return spark.read.parquet(table).select("cell_id", F.col("id").cast("string").alias("id"), "sample_index", "pred_answer", "correct")
+
+
+@query("stream_progress", _UNIQUE.split(", uniq")[0] + """
+  select cell_id, count(*) as rows_done, 500 as rows_total, 'completed' as status from keyed group by cell_id""")
+def stream_progress(spark, sf_dir):
+    table, checkpoint = scratch_path(spark, "progress"), scratch_path(spark, "progress-state")
+    rows = stream_responses(spark, sf_dir)
+    tasks = V.table(spark, sf_dir, "lineitem").selectExpr(f"{V.CELL} as cell_id").distinct().withColumn("task", F.lit("math500"))
+
+    def sink(batch, number):
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(table)
+
+    jobs.start_progress(rows, tasks, sink, checkpoint).awaitTermination()
+    latest = F.max_by(F.struct("rows_done", "rows_total", "status"), "batch").alias("x")
+    return spark.read.parquet(table).groupBy("cell_id").agg(latest).select("cell_id", "x.*")
+
+
+@query("stream_telemetry", V.SAMPLES_SQL + """
+  select epoch(time_bucket(interval '1 day', ts)) as window_start, device, count(*) as samples, max(mem_bytes) as peak_bytes,
+    avg(util) as gpu_util_mean, max(util) as gpu_util_max, max(power) as power_watts_max, round(sum(power) * 0.5, 6) as energy_joules
+  from samples group by 1, 2""")
+def stream_telemetry(spark, sf_dir):
+    table, checkpoint = scratch_path(spark, "telemetry"), scratch_path(spark, "telemetry-state")
+    samples = V.samples_of(stream_table(spark, sf_dir, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
+
+    def sink(batch, number):
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(table)
+
+    windows = jobs.telemetry_windows(samples, window="1 day", delay="1 hour")
+    (windows.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())
+    keys = ["window_start", "device"]
+    kept = spark.read.parquet(table)
+    latest = F.max_by(F.struct(*[c for c in kept.columns if c not in (*keys, "batch")]), "batch").alias("x")
+    out = kept.groupBy(*keys).agg(latest).select(*keys, "x.*")
+    return out.withColumns({"window_start": F.col("window_start").cast("double"), "energy_joules": F.round("energy_joules", 6)})

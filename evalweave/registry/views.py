@@ -177,7 +177,11 @@ def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Telemetry samples: one device per user, power from the event value."""
-    return table(spark, sf_dir, "events").select(
+    return samples_of(table(spark, sf_dir, "events"))
+
+
+def samples_of(events: DataFrame) -> DataFrame:
+    return events.select(
         F.concat(F.lit("gpu"), F.col("user_id").cast("string")).alias("device"),
         "ts",
         F.col("event_id").alias("sample_id"),

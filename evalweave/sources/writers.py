@@ -57,8 +57,8 @@ def write_csv(df: DataFrame, path: str, fields: Sequence[str]) -> None:
 
 def response_cache(scored: DataFrame, limit: int | None = None, order: Sequence[str] = ("cell_id", "id", "sample_index")) -> DataFrame:
     """Ten-column subset of scored rows, optionally the first ``limit`` in a fixed order."""
-    df = ensure_columns(scored, gold_letter="string", gold_answer="string", sample_index="int",
-                        **{f: "string" for f in CACHE_FIELDS if f not in ("correct", "seed")}, correct="boolean", seed="int")
+    types = {**{f: "string" for f in CACHE_FIELDS}, "correct": "boolean", "seed": "int"}
+    df = ensure_columns(scored, **types, gold_letter="string", sample_index="int")
     if limit:
         df = df.orderBy(*order).limit(limit)
     return df.withColumn("gold_answer", gold_or_letter()).select(*CACHE_FIELDS)
