@@ -25,8 +25,9 @@ WHITESPACE = (
 )
 SPACE = f"[{WHITESPACE}]"
 NON_SPACE = f"[^{WHITESPACE}]"
-# Characters that end a line.
-LINE_ENDS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
+# Characters besides the line feed that end a line, and one more that only counts as space.
+RARE_LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+RARE_ENDS = RARE_LINE_ENDS + "\x1f"
 NUMBER = r"-?\d+(?:,\d{3})*(?:\.\d+)?"
 FINAL_LINE = r"(?isd)final answer is:\s*(.+?)(?:\.\s*I hope it is correct|\.\s*$|\s*$)"
 
@@ -38,7 +39,7 @@ def strip(text: Column) -> Column:
 
 def repair_markers(text: Column) -> Column:
     """Turn leaked tokenizer markers back into a space and a line break."""
-    return F.translate(text, "ĠĊ", " \n")
+    return F.replace(F.replace(text, F.lit("Ġ"), F.lit(" ")), F.lit("Ċ"), F.lit("\n"))
 
 
 def _nested_braces(depth: int) -> str:
@@ -192,8 +193,18 @@ def numeric_answer(text: Column, boxed: Column) -> Column:
 
 
 def reasoning_steps(text: Column) -> Column:
-    """Paragraph count when there is more than one, else the number of non-blank lines."""
-    breaks = (F.length(text) - F.length(F.replace(text, F.lit("\n\n"), F.lit("")))) / 2
-    lines = F.regexp_count(text, F.lit(f"{NON_SPACE}[^{LINE_ENDS}]*"))
-    steps = F.when(breaks > 0, breaks.cast("int") + 1).otherwise(lines)
+    """Paragraph count when there is more than one, else the number of non-blank lines.
+
+    Texts without rare line ends, found by substring search, take a pattern with small character
+    classes, several times faster than the general one.
+    """
+    squeezed = F.octet_length(F.replace(text, F.lit("\n\n"), F.lit("")))
+    breaks = ((F.octet_length(text) - squeezed) / 2).cast("int")
+    rare = F.lit(False)
+    for end in RARE_ENDS:
+        rare = rare | text.contains(end)
+    lines = F.when(rare, F.regexp_count(text, F.lit(f"{NON_SPACE}[^\n{RARE_LINE_ENDS}]*"))).otherwise(
+        F.regexp_count(text, F.lit(r"(?U)\S[^\n]*"))
+    )
+    steps = F.when(breaks > 0, breaks + 1).otherwise(lines)
     return F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(steps).cast("int")

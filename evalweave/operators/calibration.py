@@ -44,6 +44,22 @@ def join_groups(parts: Sequence[DataFrame], group_cols: Sequence[str], how: str
     return reduce(pair, parts)
 
 
+def merge_groups(parts: Sequence[DataFrame], group_cols: Sequence[str], how: str = "left") -> DataFrame:
+    """Put results with one row per group side by side: a union and one small aggregate.
+
+    Unlike a chain of joins it needs a single shuffle, and the parts run side by side.  "left"
+    keeps the groups of the first part, "inner" those of all parts.
+    """
+    marked = [p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), marked)
+    names = [c for c in dict.fromkeys(c for p in parts for c in p.columns) if c not in group_cols]
+    kept = F.bool_or(F.col("_part") == 0) if how == "left" else F.count(F.lit(1)) == len(parts)
+    merged = stacked.groupBy(*group_cols).agg(
+        *[F.any_value(F.col(f"`{n}`"), F.lit(True)).alias(n) for n in names], kept.alias("_kept")
+    )
+    return merged.filter("_kept").drop("_kept")
+
+
 def fixed_bin(conf: Column, edges: Sequence[float]) -> Column:
     """Index of the bin (lo, hi] that holds the value, the first bin closed; OUTSIDE if none.
 
@@ -168,7 +184,7 @@ def _bundle(pairs: DataFrame, group_cols: Sequence[str], n_bins: int, full: bool
     ]
     if full:
         parts.append(adaptive_ece(ranked, group_cols=group_cols, n_bins=max(n_bins, 10)))
-    out = join_groups(parts, group_cols)
+    out = merge_groups(parts, group_cols, "inner")
     return out if full else out.drop("nll")
 
 
@@ -222,7 +238,7 @@ def calibration_summary(
         ).alias("reliability_bins")
     )
     metrics = _bundle(pairs, group_cols, 10, full=True).drop("n")
-    out = join_groups([gate, metrics, bins], group_cols, how="left")
+    out = merge_groups([gate, metrics, bins], group_cols)
     kept = [c for c in (*metrics.columns, "reliability_bins") if c not in group_cols]
     return out.withColumn("skipped", ~F.col("available")).withColumns(
         {c: F.when(F.col("available"), F.col(c)) for c in kept}

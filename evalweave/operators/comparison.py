@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evalweave.functions.scoring import is_true
 from evalweave.functions.stats import erfc, erfc_expression, mean_std_text
 from evalweave.operators.bootstrap import cluster_bootstrap_ci
-from evalweave.operators.calibration import join_groups
+from evalweave.operators.calibration import merge_groups
 
 
 def last_per_item(
@@ -67,7 +67,7 @@ def compare_with_baseline(
         F.count_if(~F.col("base") & F.col("var")).alias("c"),
     )
     variants = df.filter(F.col(cell_col) != baseline).select(cell_col).distinct()
-    out = join_groups([variants, counts], [cell_col], how="left").withColumn(
+    out = merge_groups([variants, counts], [cell_col]).withColumn(
         "n_items", F.coalesce("n_items", F.lit(0))
     )
     if require_overlap:
@@ -108,7 +108,7 @@ def paired_report(df: DataFrame, baseline: str, *, cell_col: str = "cell_id", **
     rows = compare_with_baseline(df, baseline, cell_col=cell_col)
     pairs = paired_items(df, baseline, cell_col=cell_col).withColumnRenamed("var", "correct")
     ci = cluster_bootstrap_ci(pairs, group_cols=[cell_col], **options).drop("value", "n_clusters")
-    return join_groups([rows, ci], [cell_col], how="left")
+    return merge_groups([rows, ci], [cell_col])
 
 
 def seed_variance(

@@ -17,41 +17,51 @@ REPORTED_ERRORS = 20
 
 # --- schema validation -----------------------------------------------------------------------
 
-def row_errors(rules: Mapping[str, Mapping[str, object]], document: Column) -> Column:
-    """Messages for one JSON document, held as VARIANT, against field rules.
+def with_row_errors(
+    lines: DataFrame, rules: Mapping[str, Mapping[str, object]], *, value_col: str = "value", name: str = "errors"
+) -> DataFrame:
+    """Add the rule violations of one JSON document per row as an array of messages.
 
     A rule may hold ``required``, ``types`` (JSON type names), ``enum``, ``pattern``, ``minimum``
-    and ``maximum``.
+    and ``maximum``.  A document is parsed once and each field taken from it once, in stages.
     """
+    fields = list(rules)
+    values = [f"_value_{i}" for i in range(len(fields))]
+    df = lines.withColumn("_doc", F.try_parse_json(F.col(value_col)))
+    df = df.withColumns({v: F.try_variant_get("_doc", f"$.{f}", "variant") for v, f in zip(values, fields)})
+    df = df.withColumns({f"{v}_schema": F.schema_of_variant(v) for v in values})
+    df = df.withColumns({f"{v}_kind": json_type(F.col(f"{v}_schema")) for v in values})
+    checks = [check for v, f in zip(values, fields) for check in _field_checks(f, rules[f], F.col(v), F.col(f"{v}_kind"))]
+    found = F.when(F.col("_doc").isNull(), F.array(F.lit("row: not valid JSON"))).otherwise(
+        F.array_compact(F.array(*checks))
+    )
+    return df.withColumn(name, found).drop("_doc", *[v + p for v in values for p in ("", "_schema", "_kind")])
+
+
+def _field_checks(field: str, rule: Mapping[str, object], value: Column, kind: Column) -> list[Column]:
+    message = lambda text: F.lit(f"{field}: {text}")
+    text, number = F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "double")
+    is_number = kind.isin("integer", "number")
     checks = []
-    for field, rule in rules.items():
-        value = F.try_variant_get(document, f"$.{field}", "variant")
-        kind = json_type(value)
-        text = F.try_variant_get(document, f"$.{field}", "string")
-        number = F.try_variant_get(document, f"$.{field}", "double")
-        found = value.isNotNull()
-        message = lambda m, field=field: F.lit(f"{field}: {m}")
-        if rule.get("required"):
-            checks.append(F.when(~found, message("required property missing")))
-        if rule.get("types"):
-            allowed = list(rule["types"])
-            if "number" in allowed:
-                allowed.append("integer")
-            checks.append(F.when(found & ~kind.isin(*allowed), message("is not of type " + "/".join(rule["types"]))))
-        if rule.get("enum"):
-            checks.append(F.when(found & ~F.coalesce(text.isin(*rule["enum"]), F.lit(False)), message("is not an allowed value")))
-        if rule.get("pattern"):
-            checks.append(F.when((kind == "string") & ~text.rlike(rule["pattern"]), message("does not match its pattern")))
-        if rule.get("minimum") is not None:
-            checks.append(F.when(kind.isin("integer", "number") & (number < F.lit(rule["minimum"])), message("is below its minimum")))
-        if rule.get("maximum") is not None:
-            checks.append(F.when(kind.isin("integer", "number") & (number > F.lit(rule["maximum"])), message("is above its maximum")))
-    return F.array_compact(F.array(*checks))
-
-
-def json_type(value: Column) -> Column:
-    """JSON type name of a VARIANT value; NULL when the value is absent."""
-    kind = F.schema_of_variant(value)
+    if rule.get("required"):
+        checks.append(F.when(value.isNull(), message("required property missing")))
+    if rule.get("types"):
+        allowed = [*rule["types"], *(["integer"] if "number" in rule["types"] else [])]
+        checks.append(F.when(~kind.isin(*allowed), message("is not of type " + "/".join(rule["types"]))))
+    if rule.get("enum"):
+        known = F.coalesce(text.isin(*rule["enum"]), F.lit(False))
+        checks.append(F.when(value.isNotNull() & ~known, message("is not an allowed value")))
+    if rule.get("pattern"):
+        checks.append(F.when((kind == "string") & ~text.rlike(rule["pattern"]), message("does not match its pattern")))
+    if rule.get("minimum") is not None:
+        checks.append(F.when(is_number & (number < F.lit(rule["minimum"])), message("is below its minimum")))
+    if rule.get("maximum") is not None:
+        checks.append(F.when(is_number & (number > F.lit(rule["maximum"])), message("is above its maximum")))
+    return checks
+
+
+def json_type(kind: Column) -> Column:
+    """JSON type name for the schema text of a VARIANT; NULL when the value is absent."""
     return (
         F.when(kind == "VOID", "null").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean")
         .when(kind == "BIGINT", "integer")
@@ -71,9 +81,8 @@ def validation_report(
     ``limit`` checks only rows numbered below it; by default every row is checked.
     """
     checked = F.lit(True) if limit is None else F.col(row_col) < limit
-    document = F.try_parse_json(F.col(value_col))
-    errors = F.when(document.isNull(), F.array(F.lit("row: not valid JSON"))).otherwise(row_errors(rules, document))
-    rows = lines.select(*group_cols, row_col, checked.alias("_checked"), F.when(checked, errors).alias("errors"))
+    numbered = lines.select(*group_cols, row_col, checked.alias("_checked"), F.when(checked, F.col(value_col)).alias("value"))
+    rows = with_row_errors(numbered, rules).withColumn("errors", F.when(F.col("_checked"), F.col("errors"))).drop("value")
     counts = rows.groupBy(*group_cols).agg(
         F.count_if("_checked").alias("rows_checked"),
         F.count(F.lit(1)).alias("total_rows"),
@@ -81,7 +90,8 @@ def validation_report(
     )
     first = Window.partitionBy(*group_cols).orderBy(row_col, "at")
     shown = (
-        rows.select(*group_cols, row_col, F.posexplode("errors").alias("at", "message"))
+        rows.select(*group_cols, row_col, F.posexplode_outer("errors").alias("at", "message"))
+        .filter(F.col("message").isNotNull())
         .withColumn("_n", F.row_number().over(first))
         .filter(F.col("_n") <= REPORTED_ERRORS)
         .groupBy(*group_cols)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.operators.calibration import TIE_KEYS, availability, confidence_pairs, join_groups
+from evalweave.operators.calibration import TIE_KEYS, availability, confidence_pairs, merge_groups
 from evalweave.plans.ranked import with_running
 
 TARGET_RISKS = (0.05, 0.10, 0.20)
@@ -64,12 +64,9 @@ def selective_risk_summary(
     ranked = descending(
         confidence_pairs(df, group_cols=group_cols, allow_parse_proxy=allow_parse_proxy), group_cols
     )
-    found = join_groups(
-        [aurc(ranked, group_cols=group_cols), coverage_at_risk(ranked, group_cols=group_cols, targets=targets)],
-        group_cols,
-    )
-    out = join_groups([gate, found], group_cols, how="left")
-    kept = [c for c in found.columns if c not in group_cols]
+    found = [aurc(ranked, group_cols=group_cols), coverage_at_risk(ranked, group_cols=group_cols, targets=targets)]
+    out = merge_groups([gate, *found], group_cols)
+    kept = [c for part in found for c in part.columns if c not in group_cols]
     return out.withColumn("skipped", ~F.col("available")).withColumns(
         {c: F.when(F.col("available"), F.col(c)) for c in kept}
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalweave.functions.scoring import ensure_columns, failure_flags, is_true, query_cost
-from evalweave.operators.calibration import join_groups
+from evalweave.operators.calibration import merge_groups
 from evalweave.operators.quantiles import percentile_columns
 
 # Telemetry fields of a summary; the marked ones also report their maximum.
@@ -118,7 +118,7 @@ def numeric_summary(
     """Mean, exact median and optional maximum of numeric fields (A3)."""
     base = df.groupBy(*group_cols).agg(*numeric_columns(fields))
     medians = percentile_columns(df, {f"{f}_p50": (f, 0.5) for f in fields}, group_cols=group_cols)
-    return join_groups([base, medians], group_cols, how="left")
+    return merge_groups([base, medians], group_cols)
 
 
 def cell_summary(
@@ -138,7 +138,7 @@ def cell_summary(
     reasons = finish_reason_counts(df, group_cols=group_cols).groupBy(*group_cols).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("finish_reason", "rows")))).alias("finish_reason_counts")
     )
-    return join_groups([*parts, reasons], group_cols, how="left")
+    return merge_groups([*parts, reasons], group_cols)
 
 
 def cost_from_totals(summaries: DataFrame, gpu_hour_rate: float | None = None) -> DataFrame:
@@ -156,7 +156,7 @@ def profile_summary(df: DataFrame, *, group_cols: Sequence[str] = ("cell_id",))
         F.avg("peak_vram_gb").alias("peak_vram_gb_mean"),
     )
     p50 = percentile_columns(df, {"latency_sec_p50": ("latency_sec", 0.5)}, group_cols=group_cols, upper=True)
-    return join_groups([base, p50], group_cols, how="left")
+    return merge_groups([base, p50], group_cols)
 
 
 def tail_latency(
@@ -167,4 +167,4 @@ def tail_latency(
     rate = df.groupBy(*group_cols).agg(
         F.try_divide(F.sum("completion_tokens"), F.sum("latency_sec")).alias("tokens_per_second")
     )
-    return join_groups([rate, percentile_columns(df, named, group_cols=group_cols)], group_cols, how="left")
+    return merge_groups([rate, percentile_columns(df, named, group_cols=group_cols)], group_cols)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evalweave.functions import identity
 from evalweave.functions.scoring import ensure_columns, is_true, resolve_confidence, score_responses
 from evalweave.operators import bootstrap, calibration, risk, summary
-from evalweave.operators.calibration import join_groups
+from evalweave.operators.calibration import join_groups, merge_groups
 from evalweave.sources import writers
 
 
@@ -34,13 +34,13 @@ def summary_with_intervals(
     clusters = bootstrap.cluster_bootstrap_ci(scored, **opts)
     # Cluster intervals only where every row has an id.
     complete = scored.groupBy(*group_cols).agg(F.bool_and(F.col("id").isNotNull()).alias("_ids"))
-    clusters = join_groups([clusters, complete], group_cols).filter("_ids")
+    clusters = merge_groups([clusters, complete], group_cols).filter("_ids")
     cluster_cols = rename(clusters, "pass_at_1_cluster")
     sizes = clusters.select(*group_cols, F.col("n_clusters").alias("pass_at_1_n_clusters"))
-    return join_groups(
+    return merge_groups(
         [summary.cell_summary(scored, group_cols=group_cols), rename(passes, "pass_at_1"),
          rename(costs, "cost_per_correct_seconds"), cluster_cols, sizes],
-        group_cols, how="left",
+        group_cols,
     )
 
 
@@ -63,7 +63,7 @@ def score_run(
             cal = cal.withColumn("valid_for_publication", publishable)
         own_risk = risk.selective_risk_summary(scored, allow_parse_proxy=allow_parse_proxy)
         parts += [cal, own_risk.select("cell_id", *[c for c in own_risk.columns if "_risk" in c])]
-    return join_groups(parts, ["cell_id"], how="left").withColumn("schema_version", F.lit("summary.v1"))
+    return merge_groups(parts, ["cell_id"]).withColumn("schema_version", F.lit("summary.v1"))
 
 
 def with_metadata(summaries: DataFrame, metadata: DataFrame) -> DataFrame:

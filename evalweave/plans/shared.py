@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Session settings the jobs rely on.
+
+    The JIT does not compile methods above 8000 bytes; beyond that size whole-stage code runs
+    interpreted and plain generated expressions are faster.
+    """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it in spark.checkpoint.dir.
 

@@ -98,7 +98,7 @@ def bootstrap_point_values(spark, sf_dir):
     few = {"n_resamples": 200}
     named = lambda d, v: d.select("cell_id", F.col("value").alias(v), F.col("value").between(F.col("ci_low"), F.col("ci_high")).alias(f"{v}_inside"),
                                   *[c for c in ("n", "n_clusters") if c in d.columns and v != "cost_ratio"])
-    out = comparison.join_groups([
+    out = comparison.merge_groups([
         named(bootstrap.bootstrap_ci(df, {"x": is_true(F.col("correct")).cast("int")}, **few), "pass_rate"),
         named(bootstrap.cluster_bootstrap_ci(df, **few), "cluster_mean"),
         named(bootstrap.cost_per_correct_ci(df, **few), "cost_ratio"),

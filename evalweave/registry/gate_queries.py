@@ -103,9 +103,8 @@ def schema_validation(spark, sf_dir):
 @query("schema_row_errors", _CELL_LINES + f"""
   select k, array_to_string(list_sort({_ERRORS}), '; ') as errors from docs""")
 def schema_row_errors(spark, sf_dir):
-    doc = F.try_parse_json("value")
-    errors = F.when(doc.isNull(), F.array(F.lit("row: not valid JSON"))).otherwise(gates.row_errors(CELL_RULES, doc))
-    return _cell_lines(spark, sf_dir).select("k", F.array_join(F.array_sort(errors), "; ").alias("errors"))
+    found = gates.with_row_errors(_cell_lines(spark, sf_dir), CELL_RULES)
+    return found.select("k", F.array_join(F.array_sort("errors"), "; ").alias("errors"))
 
 
 _CELLS = [

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from evalweave.functions import identity
 from evalweave.operators import comparison, frontier, quantiles, summary
 from evalweave.plans import reports
+from evalweave.plans.shared import cut
 from evalweave.registry import views as V
 from evalweave.registry.catalog import query
 from evalweave.registry.text_queries import _FLAGS
@@ -38,7 +39,7 @@ def run_summaries(spark, sf_dir, medians=False):
     names = df.groupBy("cell_id").agg(*[
         F.first(c).alias(c) for c in ("family", "run_no", "model_path", "task", "quant_config", "seed")
     ])
-    return summary.join_groups([summary.cell_summary(df, medians=medians), names], ["cell_id"])
+    return summary.merge_groups([summary.cell_summary(df, medians=medians), names], ["cell_id"])
 
 
 _SUMMARY_COLS = """n, round(pass_at_1, 6) as pass_at_1, num_correct, round(latency_sec_mean, 6) as latency_sec_mean,
@@ -66,7 +67,8 @@ _SUMMARY_COLS = """n, round(pass_at_1, 6) as pass_at_1, num_correct, round(laten
     round(energy_mean, 6) as energy_joules_mean, finish_reasons
   from runs join mids using (cell_id) join reasons using (cell_id)""")
 def cell_summary(spark, sf_dir):
-    df = summary.cell_summary(V.scored(spark, sf_dir))
+    # Several steps read the rows, as they would read a stored scored table.
+    df = summary.cell_summary(cut(V.scored(spark, sf_dir).drop("ts", "sd", "boxed", "wrong", "model_path", "run_cell")))
     reasons = F.array_join(
         F.transform(F.map_entries("finish_reason_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ","
     )
@@ -130,8 +132,9 @@ def cost_metrics(spark, sf_dir):
     select cell_id, 'completion_tokens', unnest([0.0, 0.025, 0.5, 0.95, 1.0]), count(completion_tokens),
       unnest(quantile_cont(cast(completion_tokens as double), [0.0, 0.025, 0.5, 0.95, 1.0])) from scored group by 1)""")
 def percentiles(spark, sf_dir):
+    rows = cut(V.scored(spark, sf_dir).select("cell_id", "latency_sec", "completion_tokens"))
     return V.rounded(quantiles.exact_percentiles(
-        V.scored(spark, sf_dir), ["latency_sec", "completion_tokens"], [0.0, 0.025, 0.5, 0.95, 1.0]))
+        rows, ["latency_sec", "completion_tokens"], [0.0, 0.025, 0.5, 0.95, 1.0]))
 
 
 @query("profile_summary", V.SCORED_SQL + """, ranked as (
@@ -215,7 +218,7 @@ def _tables(spark, sf_dir):
     meta = V.small_table(spark, _MODELS, "cell_id string, model_id string")
     df = V.scored(spark, sf_dir)
     names = df.groupBy("cell_id").agg(*[F.first(c).alias(c) for c in ("model_path", "task", "quant_config", "seed")])
-    rows = summary.join_groups([summary.cell_summary(df, medians=False), names], ["cell_id"])
+    rows = summary.merge_groups([summary.cell_summary(df, medians=False), names], ["cell_id"])
     return reports.report_tables(rows, meta)
 
 

@@ -84,7 +84,7 @@ def test_validation_rules(spark):
     assert report.errors[0] == "row 2: run_id: required property missing" and report.errors[-1] == "row 7: row: not valid JSON"
     assert gates.validation_report(lines, RESPONSE_RULES, limit=2).first().valid is True
     doc = spark.createDataFrame([('{"n": -1, "pass_at_1": 1.5}',)], "value string")
-    errors = doc.select(gates.row_errors(SUMMARY_RULES, F.try_parse_json("value")).alias("e")).first().e
+    errors = gates.with_row_errors(doc, SUMMARY_RULES).first().errors
     assert sorted(errors) == ["cell_id: required property missing", "n: is below its minimum", "pass_at_1: is above its maximum"]
 
 
