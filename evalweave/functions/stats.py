@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,3 +43,7 @@ def finite(value: Column) -> Column:
     """The value as a finite double; NULL, text, NaN and infinities become NULL (F2)."""
     number = value.try_cast("double")
     return F.when(~F.isnan(number) & (F.abs(number) < F.lit(float("inf"))), number)
+
+
+# Tasks receive these functions by value; workers need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

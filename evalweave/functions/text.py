@@ -8,8 +8,10 @@ brace.  Only those texts travel to an Arrow UDF; every other row sends it a NULL
 from __future__ import annotations
 
 import re
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -208,3 +210,7 @@ def reasoning_steps(text: Column) -> Column:
     )
     steps = F.when(breaks > 0, breaks + 1).otherwise(lines)
     return F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(steps).cast("int")
+
+
+# Tasks receive these functions by value; workers need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -12,10 +12,12 @@ exactly, whatever the size of the group, and does not depend on the partitioning
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -204,3 +206,7 @@ def cost_per_correct_ci(
     c = ci.alias("c")
     on = [F.col(f"c.{k}").eqNullSafe(F.col(f"h.{k}")) for k in group_cols]
     return c.join(hits, on).filter(F.col("_hits") > 0).select("c.*")
+
+
+# Tasks receive these functions by value; workers need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
