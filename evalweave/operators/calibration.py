@@ -173,14 +173,17 @@ def calibration_metrics(
     return _bundle(cut(pairs), group_cols, n_bins, full)
 
 
-def _bundle(pairs: DataFrame, group_cols: Sequence[str], n_bins: int, full: bool) -> DataFrame:
+def _bundle(
+    pairs: DataFrame, group_cols: Sequence[str], n_bins: int, full: bool, falling: DataFrame | None = None
+) -> DataFrame:
     from evalweave.operators.risk import aurc, descending
 
+    falling = descending(pairs, group_cols) if falling is None else falling
     ranked = ascending(pairs, group_cols)
     parts = [
         pointwise_metrics(pairs, group_cols=group_cols, n_bins=n_bins),
         auroc(ranked, group_cols=group_cols),
-        aurc(descending(pairs, group_cols), group_cols=group_cols),
+        aurc(falling, group_cols=group_cols),
     ]
     if full:
         parts.append(adaptive_ece(ranked, group_cols=group_cols, n_bins=max(n_bins, 10)))
@@ -227,17 +230,22 @@ def availability(
 
 
 def calibration_summary(
-    df: DataFrame, *, group_cols: Sequence[str] = ("cell_id",), allow_parse_proxy: bool = False
+    df: DataFrame, *, group_cols: Sequence[str] = ("cell_id",), allow_parse_proxy: bool = False,
+    pairs: DataFrame | None = None, falling: DataFrame | None = None,
 ) -> DataFrame:
-    """Metrics and bins where they are available; other groups are marked skipped."""
+    """Metrics and bins where they are available; other groups are marked skipped.
+
+    A caller that already holds the pairs, or their ranking by falling confidence, may pass them.
+    """
     gate = availability(df, group_cols=group_cols, allow_parse_proxy=allow_parse_proxy)
-    pairs = cut(confidence_pairs(df, group_cols=group_cols, allow_parse_proxy=allow_parse_proxy))
+    if pairs is None:
+        pairs = cut(confidence_pairs(df, group_cols=group_cols, allow_parse_proxy=allow_parse_proxy))
     bins = reliability_bins(pairs, group_cols=group_cols).groupBy(*group_cols).agg(
         F.array_sort(
             F.collect_list(F.struct("bin", "bin_lo", "bin_hi", "count", "accuracy", "confidence"))
         ).alias("reliability_bins")
     )
-    metrics = _bundle(pairs, group_cols, 10, full=True).drop("n")
+    metrics = _bundle(pairs, group_cols, 10, True, falling).drop("n")
     out = merge_groups([gate, metrics, bins], group_cols)
     kept = [c for c in (*metrics.columns, "reliability_bins") if c not in group_cols]
     return out.withColumn("skipped", ~F.col("available")).withColumns(

@@ -11,6 +11,7 @@ from evalweave.functions import identity
 from evalweave.functions.scoring import ensure_columns, is_true, resolve_confidence, score_responses
 from evalweave.operators import bootstrap, calibration, risk, summary
 from evalweave.operators.calibration import join_groups, merge_groups
+from evalweave.plans.shared import cut
 from evalweave.sources import writers
 
 
@@ -55,15 +56,23 @@ def score_run(
     ])
     parts = [summary_with_intervals(scored, n_resamples=n_resamples), names]
     if not skip_calibration:
-        cal = calibration.calibration_summary(scored, allow_parse_proxy=allow_parse_proxy)
+        group = ["cell_id"]
+        pairs = cut(calibration.confidence_pairs(scored, group_cols=group, allow_parse_proxy=allow_parse_proxy))
+        falling = risk.descending(pairs, group)
+        cal = calibration.calibration_summary(
+            scored, group_cols=group, allow_parse_proxy=allow_parse_proxy, pairs=pairs, falling=falling
+        )
         if require_calibration:
             publishable = F.when(F.col("valid_for_publication"), F.lit(True)).otherwise(
                 F.raise_error(F.concat(F.col("cell_id"), F.lit(": "), F.col("message")))
             )
             cal = cal.withColumn("valid_for_publication", publishable)
-        own_risk = risk.selective_risk_summary(scored, allow_parse_proxy=allow_parse_proxy)
-        parts += [cal, own_risk.select("cell_id", *[c for c in own_risk.columns if "_risk" in c])]
-    return merge_groups(parts, ["cell_id"]).withColumn("schema_version", F.lit("summary.v1"))
+        parts += [cal, risk.coverage_at_risk(falling, group_cols=group)]
+    out = merge_groups(parts, ["cell_id"])
+    if not skip_calibration:
+        # Risk figures follow the same gate as the calibration metrics.
+        out = out.withColumns({c: F.when(F.col("available"), F.col(c)) for c in out.columns if "_risk_" in c})
+    return out.withColumn("schema_version", F.lit("summary.v1"))
 
 
 def with_metadata(summaries: DataFrame, metadata: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ _ANSWERS = [
 _SCORED = [
     ("gold_answer", "case when task = 'gpqa_diamond' then substr('ABCD', gold_no + 1, 1) else cast(10 + gold_no as string) end"),
     ("wrong", "case when task = 'gpqa_diamond' then substr('ABCD', @9 % 4 + 1, 1) else cast(10 + @9 % 4 as string) end"),
-    ("latency_sec", "case when @0 % 50 = 0 then null else px / 3e3 end"),
+    ("latency_sec", "case when @0 % 50 = 0 then null else px / 2718e0 end"),
     ("prompt_tokens", "cast(qty * 10 as bigint)"),
     ("completion_tokens", "case when @1 % 20 = 0 then null when @1 % 20 = 1 then cast(0 as bigint) else cast(@1 as bigint) end"),
     ("peak_vram_gb", "case when @2 % 40 = 0 then null else 40 + (@2 % 3000) / 1e2 end"),
