@@ -1,7 +1,7 @@
 """Language identification by compression with per-language zstandard raw-content dictionaries.
 
-Each language's dictionary is sampled text of that language.  A text is lower-cased and cut into
-windows; the language whose dictionary compresses the windows to the fewest bytes is predicted, and
+Each language's dictionary is sampled text of that language.  A text is reduced to its
+lower-case words and cut into windows; the language whose dictionary compresses the windows to the fewest bytes is predicted, and
 the prediction is rejected (``accepted`` false) when the margin to the second is narrow.
 
 The fit uses at most SAMPLE texts of each of at most LANGUAGES languages, CHARS characters of each;
@@ -30,6 +30,13 @@ WINDOW = 2048
 MARGIN = 0.01
 BYTES_PER_NAT = 4.0
 UNKNOWN = "und"
+# The ASCII characters that are no letters, as a table to blanks.
+_BLANKS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
+
+
+def plain(text: str) -> bytes:
+    """Lower-case words with single blanks, as UTF-8."""
+    return b" " + b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_BLANKS).split()) + b" "
 
 
 def fit(rows: DataFrame) -> dict[str, bytes]:
@@ -39,10 +46,10 @@ def fit(rows: DataFrame) -> dict[str, bytes]:
     if names > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     sample = bounded_sample(known, SAMPLE).select("label", "draw", F.substring("text", 1, CHARS).alias("text"))
-    texts: dict[str, list[str]] = {}
+    texts: dict[str, list[bytes]] = {}
     for r in sorted(sample.collect(), key=lambda r: (r.label, r.draw)):  # LANGUAGES * SAMPLE texts of CHARS characters
-        texts.setdefault(r.label, []).append(r.text.lower())
-    return {lang: "\n".join(parts).encode("utf-8", "surrogatepass") for lang, parts in texts.items()}
+        texts.setdefault(r.label, []).append(plain(r.text))
+    return {lang: b"".join(parts) for lang, parts in texts.items()}
 
 
 class Judge:
@@ -61,7 +68,7 @@ class Judge:
         """(language, score, accepted); ties go to the first name."""
         if not self.names or text is None or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, False
-        raw = text.lower().encode("utf-8", "surrogatepass")
+        raw = plain(text)
         windows = [raw[k : k + WINDOW] for k in range(0, len(raw), WINDOW)]
         sizes = np.array([sum(len(side(w)) for w in windows) for side in self.sides], dtype=float)
         best = int(sizes.argmin())

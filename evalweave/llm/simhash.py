@@ -23,6 +23,7 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalweave.llm.common import identified, small_batches
 from evalweave.llm.components import roots
@@ -55,7 +56,7 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(votes * 2 > last, bitorder="little").view("<u8")[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _fingerprints(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in parts:
         yield pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))

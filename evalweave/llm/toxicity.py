@@ -7,10 +7,11 @@ costs 16 bytes where a dictionary lacks it and about three where it has it.  Bot
 the codes of the common words at the same places, followed by the codes over-represented in the
 toxic or in the ordinary sample.  A window of words has the margin "length with the ordinary
 dictionary less length with the toxic one"; the largest window margin and the sum of the positive
-ones go through a logistic calibration, fitted on sampled texts the dictionaries have not seen.
+ones go through a logistic calibration, fitted on sampled texts that trial dictionaries have not seen.
 
-The fit uses at most SAMPLE texts of each label (half for the dictionaries, half for the
-calibration), COMMON + CONTRAST codes per dictionary; scoring reads every word of every text.
+The fit uses at most SAMPLE texts of each label and COMMON + CONTRAST codes per dictionary: trial
+dictionaries of one half are calibrated on the other half, the final ones learn from both.  Scoring
+reads every word of every text.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import zstandard
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalweave.llm.common import bounded_sample, held_out, small_batches
 from evalweave.plans.shared import cut
@@ -38,7 +40,8 @@ WINDOW = 16
 LEVEL = 3
 STEM = 4
 RATIO = 10.0
-EVIDENCE = 30.0
+EVIDENCE = 20.0
+EVIDENCE_SHARE = 0.04
 THRESHOLD = 0.7
 CACHE = 200_000
 # The ASCII characters that do not belong to a word, as a table to blanks.
@@ -112,7 +115,7 @@ def _margins(toxic: bytes, ordinary: bytes):
     return measured
 
 
-@F.pandas_udf("array<binary>")
+@F.pandas_udf(T.ArrayType(T.BinaryType()))
 def _features(texts: pd.Series) -> pd.Series:
     return pd.Series([list({f for w in words_of(t) for f in features(w)}) for t in texts])
 
@@ -143,33 +146,43 @@ def fit(rows: DataFrame) -> Model:
     """
     small_batches(rows.sparkSession)
     sample = cut(bounded_sample(rows.where("label in (0, 1)"), SAMPLE))
-    half = F.pmod(F.xxhash64("draw"), F.lit(2))
-    dictionary, calibration = sample.where(half == 0), sample.where(half == 1)
-    sizes = {r[0]: r[1] for r in dictionary.groupBy("label").count().collect()}
+    sizes = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
         return Model(b"", b"", (0.0, 0.0), 30.0 if sizes.get(1) and not sizes.get(0) else -30.0)
-    n, m = float(sizes[1]), float(sizes[0])
-    found = cut(dictionary.select("label", F.explode(_features("text")).alias("f")).groupBy("f").agg(
+    half = F.pmod(F.xxhash64("draw"), F.lit(2))
+    trial = _dictionaries(sample.where(half == 0))
+    seen = sample.where(half == 1).select("label", _margins(*trial)("text").alias("m")).select("label", "m.*").toPandas()
+    weights = _logistic(_vector(seen["most"].to_numpy(), seen["total"].to_numpy()), seen["label"].to_numpy(float)) if len(
+        seen) else np.array([4.0, 0.0, -4.0])
+    return Model(*_dictionaries(sample), (float(weights[0]), float(weights[1])), float(weights[2]))
+
+
+def _dictionaries(sample: DataFrame) -> tuple[bytes, bytes]:
+    """The toxic and the ordinary dictionary of sampled rows (text, label)."""
+    sizes = {r[0]: float(r[1]) for r in sample.groupBy("label").count().collect()}
+    n, m = sizes.get(1, 0.5), sizes.get(0, 0.5)
+    found = cut(sample.select("label", F.explode(_features("text")).alias("f")).groupBy("f").agg(
         F.sum("label").cast("double").alias("a"), F.sum(1 - F.col("label")).cast("double").alias("b")))
 
     def over(mine: str, other: str, n: float, m: float) -> list[bytes]:
-        """The features over-represented in one sample, strongest first (log-likelihood ratio)."""
+        """The features over-represented in one sample, strongest first (log-likelihood ratio).
+
+        EVIDENCE keeps out chance in small samples, EVIDENCE_SHARE of the strongest one the words of
+        texts with many near copies in large ones.
+        """
         x, y, all_ = F.col(mine), F.col(other), F.col(mine) + F.col(other)
         part = lambda v, share: F.when(v > 0, v * F.log(v / (all_ * share))).otherwise(0.0)
         weight = 2 * (part(x, n / (n + m)) + part(y, m / (n + m)))
         top = found.withColumn("g", weight).where(
             (F.col("g") > EVIDENCE) & (x / n > RATIO * (y + 0.5) / m)).orderBy(F.desc("g"), "f").limit(CONTRAST)
-        return [bytes(r.f) for r in top.select("f").collect()]
+        best = top.select("f", "g").collect()
+        return [bytes(r.f) for r in best if r.g > EVIDENCE_SHARE * best[0].g]
 
     own, other = over("a", "b", n, m), over("b", "a", m, n)
     skip = set(own) | set(other)
-    common = [bytes(r.f) for r in found.orderBy(F.desc(F.col("a") + F.col("b")), "f").limit(COMMON + 2 * CONTRAST).select("f").collect()]
-    common = [f for f in common if f not in skip][:COMMON]
-    toxic, ordinary = _dictionary(common, own, "toxic"), _dictionary(common, other, "ordinary")
-    seen = calibration.select("label", _margins(toxic, ordinary)("text").alias("m")).select("label", "m.*").toPandas()
-    w = _logistic(_vector(seen["most"].to_numpy(), seen["total"].to_numpy()), seen["label"].to_numpy(float)) if len(
-        seen) else np.array([4.0, 0.0, -4.0])
-    return Model(toxic, ordinary, (float(w[0]), float(w[1])), float(w[2]))
+    top = found.orderBy(F.desc(F.col("a") + F.col("b")), "f").limit(COMMON + 2 * CONTRAST)
+    common = [f for f in (bytes(r.f) for r in top.select("f").collect()) if f not in skip][:COMMON]
+    return _dictionary(common, own, "toxic"), _dictionary(common, other, "ordinary")
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
