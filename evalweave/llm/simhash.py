@@ -83,12 +83,13 @@ def links(prints: DataFrame) -> DataFrame:
     """
     spark = prints.sparkSession
     spread = prints.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
-    rows = variants(spread)
-    shared = cut(rows.groupBy("slot", "rest").agg(
-        F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
-    pairs = shared.where(f"n = 2 and bit_count(a ^ b) <= {DISTANCE}").select("a", "b")
-    crowded = shared.where("n > 2").select("slot", "rest")
-    dense = cut(rows.join(crowded, ["slot", "rest"], "left_semi").select("fp").distinct())
+    # One exchange serves the counts and the members.
+    rows = variants(spread).repartition("slot", "rest")
+    counts = rows.groupBy("slot", "rest").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut(rows.join(counts.hint("merge"), ["slot", "rest"]))
+    pairs = shared.where("n = 2").groupBy("slot", "rest").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where(
+        f"bit_count(a ^ b) <= {DISTANCE}").select("a", "b")
+    dense = cut(shared.where("n > 2").select("fp").distinct())
     points = dense.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(BITS - 1))).alias("bit")).select(
         "fp", F.expr("case when bit < 0 then fp else fp ^ shiftleft(1L, bit) end").alias("point"))
     heads = points.groupBy("point").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
