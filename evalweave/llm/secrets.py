@@ -135,8 +135,10 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: s
     values = judged.select(F.col("row").alias(row), live.alias("_live_of_secret_scan"))
     joined = dirty.join(values, row, "left")
     hit = F.coalesce(F.size("_live_of_secret_scan"), F.lit(0)) > 0
-    new = {text: F.when(hit, _masked(F.col(text), F.col("_live_of_secret_scan"))).otherwise(F.col(text))}
+    changed = joined.withColumn("_hit_of_secret_scan", hit).withColumn(
+        text, F.when(F.col("_hit_of_secret_scan"), _masked(F.col(text), F.col("_live_of_secret_scan"))).otherwise(F.col(text)))
     if n_chars in docs.columns:
-        new[n_chars] = F.when(hit, F.length(new[text]).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars))
+        changed = changed.withColumn(n_chars, F.when(F.col("_hit_of_secret_scan"), F.length(text)).otherwise(
+            F.col(n_chars)).cast(docs.schema[n_chars].dataType))
     return marked.where(F.size("_spans_of_secret_scan") == 0).select(docs.columns).unionByName(
-        joined.withColumns(new).select(docs.columns))
+        changed.select(docs.columns))
