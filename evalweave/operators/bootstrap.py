@@ -46,16 +46,8 @@ def _chunk_draws(path: pd.DataFrame, seed: int, group: tuple, n_resamples: int)
 
 def _spread(draws: np.ndarray, levels: np.ndarray, rows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Per replicate: sums of each value column over ``draws`` draws from the chunk."""
-    total = int(rows.sum())
     out = np.empty((len(draws), levels.shape[1]))
-    if total <= 4 * len(rows):
-        # Few repeats: draw row numbers and count them per level.
-        level_of = np.repeat(np.arange(len(rows)), rows)
-        for r, n in enumerate(draws):
-            hit = np.bincount(level_of[rng.integers(0, total, int(n))], minlength=len(rows))
-            out[r] = hit @ levels
-        return out
-    share = rows / total
+    share = rows / rows.sum()
     for start in range(0, len(draws), 100):
         block = draws[start : start + 100]
         out[start : start + 100] = rng.multinomial(block, share) @ levels
@@ -78,18 +70,22 @@ def replicate_sums(
         .groupBy(*group_cols, *names)
         .agg(F.count(F.lit(1)).alias("rows"))
     )
-    largest = levels.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
-    depth = max(0, int(np.ceil(np.log2(largest / chunk_levels)))) if largest else 0
-    levels = levels.withColumn("chunk", F.pmod(F.xxhash64(*names), F.lit(2**depth)).cast("long"))
-
-    chunks = levels.groupBy(*group_cols, "chunk").agg(F.sum("rows").alias("rows"))
-    steps = chunks.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(depth)))).withColumn(
-        "node", F.expr(f"shiftright(chunk, {depth} - depth)")
+    # The depth of a group's tree depends on that group alone, so its draws never change with the others.
+    deep = F.greatest(F.lit(0), F.ceil(F.log2(F.count(F.lit(1)) / chunk_levels))).cast("int")
+    sizes = levels.groupBy(*[F.col(c).alias(f"_of_{c}") for c in group_cols]).agg(deep.alias("_deep"))
+    own = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group_cols]
+    levels = levels.join(sizes, own).drop(*[f"_of_{c}" for c in group_cols]).withColumn(
+        "chunk", F.pmod(F.xxhash64(*names), F.expr("shiftleft(1L, _deep)")))
+
+    chunks = levels.groupBy(*group_cols, "chunk", "_deep").agg(F.sum("rows").alias("rows"))
+    levels = levels.drop("_deep")
+    steps = chunks.withColumn("depth", F.explode(F.sequence(F.lit(0), F.col("_deep")))).withColumn(
+        "node", F.expr("shiftright(chunk, _deep - depth)")
     )
     nodes = steps.groupBy(*group_cols, "depth", "node").agg(
         F.sum("rows").alias("node_rows"),
         F.coalesce(
-            F.sum(F.when(F.expr(f"shiftright(chunk, {depth} - depth - 1) % 2 = 0"), F.col("rows"))), F.lit(0)
+            F.sum(F.when(F.expr("depth < _deep and shiftright(chunk, greatest(_deep - depth - 1, 0)) % 2 = 0"), F.col("rows"))), F.lit(0)
         ).alias("left_rows"),
     )
     a, b = steps.alias("a"), nodes.alias("b")

@@ -11,9 +11,6 @@ from evalweave.functions import identity
 from evalweave.functions.scoring import ensure_columns
 from evalweave.operators.calibration import join_groups
 
-FORBIDDEN_SOURCES = ("outputs-hpc-2a100-main-2026-06-29",)  # fixed value: archives never to resume
-REPORTED_ERRORS = 20
-
 
 # --- schema validation -----------------------------------------------------------------------
 
@@ -75,10 +72,13 @@ def json_type(kind: Column) -> Column:
 def validation_report(
     lines: DataFrame, rules: Mapping[str, Mapping[str, object]], *, value_col: str = "value",
     row_col: str = "row", group_cols: Sequence[str] = ("path",), limit: int | None = None,
+    reported: int | None = None,
 ) -> DataFrame:
     """Rows checked, total rows, validity and the first errors per file.
 
-    ``limit`` checks only rows numbered below it; by default every row is checked.
+    ``limit`` checks only rows numbered below it and ``reported`` lists only so many errors per
+    file; by default every row is checked and every error listed.  For files with very many errors
+    take the long form, ``with_row_errors``.
     """
     checked = F.lit(True) if limit is None else F.col(row_col) < limit
     numbered = lines.select(*group_cols, row_col, checked.alias("_checked"), F.when(checked, F.col(value_col)).alias("value"))
@@ -93,7 +93,7 @@ def validation_report(
         rows.select(*group_cols, row_col, F.posexplode_outer("errors").alias("at", "message"))
         .filter(F.col("message").isNotNull())
         .withColumn("_n", F.row_number().over(first))
-        .filter(F.col("_n") <= REPORTED_ERRORS)
+        .filter(F.lit(True) if reported is None else F.col("_n") <= reported)
         .groupBy(*group_cols)
         .agg(F.array_sort(F.collect_list(F.struct("_n", row_col, "message"))).alias("found"))
         .select(*group_cols, F.transform("found", lambda e: F.format_string("row %s: %s", e[row_col].cast("string"), e["message"])).alias("errors"))
@@ -107,7 +107,8 @@ def validation_report(
 # --- provenance ------------------------------------------------------------------------------
 
 def provenance_guard(
-    rows: DataFrame, cells: DataFrame, *, allow_resume: bool = False, source_col: str | None = None
+    rows: DataFrame, cells: DataFrame, *, allow_resume: bool = False, source_col: str | None = None,
+    forbidden_sources: Sequence[str] = (),
 ) -> DataFrame:
     """First reason, if any, not to continue each cell's existing rows.
 
@@ -119,7 +120,7 @@ def provenance_guard(
     )
     source = F.col(source_col) if source_col else F.lit("")
     forbidden = F.lit(False)
-    for marker in FORBIDDEN_SOURCES:
+    for marker in forbidden_sources:
         forbidden = forbidden | source.contains(marker)
     commit = F.nullif(F.col("git_commit"), F.lit(""))
     digest = F.nullif(F.col("config_hash"), F.lit(""))

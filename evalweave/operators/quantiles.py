@@ -17,6 +17,9 @@ from evalweave.plans.shared import small_side
 ACCURACY = 10_000
 # The sketch errs by at most n / ACCURACY ranks; the bracket allows ten times that.
 MARGIN = 10.0 / ACCURACY
+# From here on the margin is worth five ranks, more than the sketch and the two neighbours of an
+# interpolated rank need; the bracket of a smaller group is its whole range.
+WHOLE_ROWS = 5 * ACCURACY // 10
 
 
 def _positions(n: Column, prob: float, upper: bool) -> tuple[Column, Column]:
@@ -51,8 +54,12 @@ def exact_percentiles(
     brackets = small_side(
         rows.groupBy(*group_cols).agg(
             *[F.count(f).alias(f"_n{i}") for i, f in enumerate(fields)],
+            *[F.array(F.min(f), F.max(f)).alias(f"_all{i}") for i, f in enumerate(fields)],
             *[bracket(f, p).alias(f"_b{i}_{j}") for i, f, j, p in pairs],
-        )
+        ).withColumns({
+            f"_b{i}_{j}": F.when(F.col(f"_n{i}") < WHOLE_ROWS, F.col(f"_all{i}")).otherwise(F.col(f"_b{i}_{j}"))
+            for i, _, j, _ in pairs
+        }).drop(*[f"_all{i}" for i in range(len(fields))])
     )
     same_group = [rows[c].eqNullSafe(brackets[c]) for c in group_cols]
     joined = rows.join(brackets, same_group, "inner").drop(*[brackets[c] for c in group_cols])

@@ -72,7 +72,7 @@ def bootstrap_pass_rate(spark, sf_dir):
 @query("bootstrap_mean_latency")
 def bootstrap_mean_latency(spark, sf_dir):
     rows = V.scored(spark, sf_dir).filter(F.col("latency_sec").isNotNull())
-    return bootstrap.bootstrap_ci(rows, {"x": F.col("latency_sec")}, n_resamples=400)
+    return bootstrap.bootstrap_ci(rows, {"x": F.col("latency_sec")})
 
 
 @query("cluster_bootstrap")
@@ -82,7 +82,7 @@ def cluster_bootstrap(spark, sf_dir):
 
 @query("cost_per_correct_bootstrap")
 def cost_per_correct_bootstrap(spark, sf_dir):
-    return bootstrap.cost_per_correct_ci(V.scored(spark, sf_dir), n_resamples=400)
+    return bootstrap.cost_per_correct_ci(V.scored(spark, sf_dir))
 
 
 # The point values that the intervals surround, with an oracle of their own.
@@ -95,13 +95,12 @@ def cost_per_correct_bootstrap(spark, sf_dir):
   from scored s join cl using (cell_id) group by s.cell_id""")
 def bootstrap_point_values(spark, sf_dir):
     df = V.scored(spark, sf_dir)
-    few = {"n_resamples": 200}
     named = lambda d, v: d.select("cell_id", F.col("value").alias(v), F.col("value").between(F.col("ci_low"), F.col("ci_high")).alias(f"{v}_inside"),
                                   *[c for c in ("n", "n_clusters") if c in d.columns and v != "cost_ratio"])
     out = comparison.merge_groups([
-        named(bootstrap.bootstrap_ci(df, {"x": is_true(F.col("correct")).cast("int")}, **few), "pass_rate"),
-        named(bootstrap.cluster_bootstrap_ci(df, **few), "cluster_mean"),
-        named(bootstrap.cost_per_correct_ci(df, **few), "cost_ratio"),
+        named(bootstrap.bootstrap_ci(df, {"x": is_true(F.col("correct")).cast("int")}), "pass_rate"),
+        named(bootstrap.cluster_bootstrap_ci(df), "cluster_mean"),
+        named(bootstrap.cost_per_correct_ci(df), "cost_ratio"),
     ], ["cell_id"])
     inside = F.col("pass_rate_inside") & F.col("cluster_mean_inside") & F.col("cost_ratio_inside")
     return V.rounded(out.select("cell_id", "n", "pass_rate", "cluster_mean", "n_clusters", "cost_ratio", inside.alias("inside")))
@@ -115,7 +114,7 @@ def paired_report(spark, sf_dir):
 @query("score_run_report")
 def score_run_report(spark, sf_dir):
     # A stored scored table, as every report reads it.
-    return reports.score_run(cut(V.scored(spark, sf_dir)), n_resamples=200)
+    return reports.score_run(cut(V.scored(spark, sf_dir)))
 
 
 _AUDIT = """keyed as (select *, not coalesce(correct, false) or not answer_parse_success as is_failure,

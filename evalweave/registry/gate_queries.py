@@ -95,7 +95,7 @@ def _cell_lines(spark, sf_dir):
     least(20, sum(len(e))) as n_shown, any_value(first_row) as first_error_row
   from errs d join (select path, min(k) as first_row from per_row group by 1) m using (path) group by d.path""")
 def schema_validation(spark, sf_dir):
-    report = gates.validation_report(_cell_lines(spark, sf_dir), CELL_RULES, row_col="k")
+    report = gates.validation_report(_cell_lines(spark, sf_dir), CELL_RULES, row_col="k", reported=20)
     first = F.regexp_extract(F.try_element_at("errors", F.lit(1)), r"^row (\d+)", 1).cast("long")
     return report.select("path", "rows_checked", "n_errors", "valid", F.size("errors").alias("n_shown"), first.alias("first_error_row"))
 

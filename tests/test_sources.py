@@ -96,8 +96,8 @@ def test_guard_reasons(spark):
     out = {r.cell_id: r.reason for r in gates.provenance_guard(df, cells).collect()}
     assert out == {"a": "missing_repetition_penalty", "b": "git_commit_mismatch", "c": "config_hash_mismatch", "d": None, "e": "unknown_cell", "f": None}
     assert not any(r.blocked for r in gates.provenance_guard(df, cells, allow_resume=True).collect())
-    marked = df.withColumn("src", F.lit(f"/x/{gates.FORBIDDEN_SOURCES[0]}/raw/a.jsonl"))
-    assert {r.reason for r in gates.provenance_guard(marked, cells, source_col="src").collect()} == {"forbidden_source"}
+    marked = df.withColumn("src", F.lit("/x/old-archive/raw/a.jsonl"))
+    assert {r.reason for r in gates.provenance_guard(marked, cells, source_col="src", forbidden_sources=["old-archive"]).collect()} == {"forbidden_source"}
 
 
 def test_low_pass_rate_fails_its_gate(spark):

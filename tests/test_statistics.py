@@ -239,3 +239,17 @@ def test_audit_quota(spark, failures, successes, want):
     out = sampling.audit_sample(df, n=10).collect()
     assert (sum(r.is_failure for r in out), sum(not r.is_failure for r in out)) == want
     assert len({r.id for r in out}) == len(out)
+
+
+def test_interval_does_not_depend_on_other_cells(spark):
+    from evalweave.operators import bootstrap
+
+    small = spark.range(300).select(F.lit("a").alias("cell_id"), (F.xxhash64("id") % 997).cast("double").alias("x"))
+    large = spark.range(9000).select(F.lit("b").alias("cell_id"), (F.xxhash64("id") % 99_991).cast("double").alias("x"))
+
+    def of(df):
+        sums = bootstrap.replicate_sums(df, {"x": F.col("x")}, n_resamples=50, chunk_levels=200)
+        return sorted(sums.where("cell_id = 'a'").select("replicate", "n", "x").collect())
+
+    alone = of(small)
+    assert len(alone) == 50 and alone == of(small.union(large))
