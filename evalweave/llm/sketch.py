@@ -74,24 +74,24 @@ def edited_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     but the last have themselves as next.  NULL texts count as empty.
     """
     # Plain equality on these columns identifies a row's id and text, and keeps one partitioning for all joins.
-    key = ["number", "hash", "n_chars"]
+    key = ["unnamed", "number", "hash", "n_chars"]
     keyed = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select(
-        F.coalesce("id", F.lit(0)).alias("number"), F.xxhash64("text", F.col("id").isNull()).alias("hash"),
-        F.length("text").alias("n_chars"), "id", "text")
-    ranked = with_running(keyed.groupBy(*key, "id").agg(F.count("*").alias("copies")), [],
-                          [F.col("id").desc_nulls_last(), F.col("hash"), F.col("n_chars")])
+        F.col("id").isNull().alias("unnamed"), F.coalesce("id", F.lit(0)).alias("number"), F.xxhash64("text").alias("hash"),
+        F.length("text").alias("n_chars"), "text")
+    ranked = with_running(keyed.groupBy(*key).agg(F.count("*").alias("copies")), [],
+                          [F.col("unnamed"), F.col("number").desc(), F.col("hash"), F.col("n_chars")])
     named = lambda prefix: [F.col(c).alias(f"{prefix}_{c}") for c in key]
     before = ranked.select((F.col("rank") % F.col("group_rows") + 1).alias("rank"), *named("own"))
     follow = before.join(ranked.select("rank", *key), "rank").drop("rank").withColumn("times", F.lit(1))
     itself = ranked.where("copies > 1").select(*named("own"), *key, (F.col("copies") - 1).cast("int").alias("times"))
     edges = follow.unionByName(itself)
 
-    texts = keyed.repartition(*key).groupBy(*key).agg(F.min("id").alias("id"), F.min("text").alias("text"))
+    texts = keyed.repartition(*key).groupBy(*key).agg(F.min("text").alias("text"))  # one exchange, used twice
     half = F.floor(F.col("own_n_chars") / 2).cast("int")
-    heads = with_sketch(texts.drop("id").join(edges, key), "text", "next_sketch").select(
+    heads = with_sketch(texts.join(edges, key), "text", "next_sketch").select(
         *[F.col(f"own_{c}").alias(c) for c in key], "times", F.substring("text", F.lit(1), half).alias("head"), "next_sketch")
     kept = F.col("n_chars") - F.floor(F.col("n_chars") / 2).cast("int")
     return texts.join(heads, key).select(
-        F.col("id").alias(doc_id), F.col("n_chars").cast("long").alias("n_chars"), "text",
+        F.when(~F.col("unnamed"), F.col("number")).alias(doc_id), F.col("n_chars").cast("long").alias("n_chars"), "text",
         F.concat(F.substring("text", F.lit(1), kept), "head").alias("edited"), "next_sketch",
         F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).drop("copy")
