@@ -144,6 +144,8 @@ def resolve_confidence(df: DataFrame, *, allow_parse_proxy: bool = False) -> Dat
     raw = F.col("confidence").cast("double")
     source = F.coalesce(F.nullif(F.col("confidence_source"), F.lit("")), F.lit("explicit"))
     given = raw.isNotNull()
+    # Where the flag is missing, a row with an extracted answer counts as parsed.
+    has_answer = F.coalesce(F.col("extracted_answer") != "", F.lit(False)) if "extracted_answer" in df.columns else F.lit(False)
     if allow_parse_proxy:
         value = F.coalesce(raw, is_true(F.col("answer_parse_success")).cast("double"))
         fallback_source = F.lit(PARSE_PROXY)
@@ -153,6 +155,7 @@ def resolve_confidence(df: DataFrame, *, allow_parse_proxy: bool = False) -> Dat
         "confidence_value": value,
         "confidence_source": F.when(given, source).otherwise(fallback_source),
         "confidence_valid_for_calibration": given & source.isin(*VALID_CONFIDENCE_SOURCES),
+        "answer_parse_success": F.coalesce(F.col("answer_parse_success"), has_answer),
     })
 
 

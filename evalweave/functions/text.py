@@ -30,7 +30,8 @@ NON_SPACE = f"[^{WHITESPACE}]"
 # Characters besides the line feed that end a line, and one more that only counts as space.
 RARE_LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 RARE_ENDS = RARE_LINE_ENDS + "\x1f"
-NUMBER = r"-?\d+(?:,\d{3})*(?:\.\d+)?"
+# What counts as a number (any decimal digits) and as a final-answer line.
+NUMBER = r"-?\p{Nd}+(?:,\p{Nd}{3})*(?:\.\p{Nd}+)?"
 FINAL_LINE = r"(?isd)final answer is:\s*(.+?)(?:\.\s*I hope it is correct|\.\s*$|\s*$)"
 
 
@@ -175,10 +176,10 @@ def normalize_letter(letter: Column) -> Column:
 def last_number(text: Column) -> Column:
     """Last number in the text.
 
-    Numbers use only the characters ``0-9 , . -``; so the last one lies in the last run of
+    Numbers use only decimal digits and ``, . -``; so the last one lies in the last run of
     those characters that holds a digit, and only that short run is searched for numbers.
     """
-    run = F.regexp_extract(text, r"(?s)^(?:.*[^0-9,.\-])?([0-9,.\-]*[0-9])", 1)
+    run = F.regexp_extract(text, r"(?s)^(?:.*[^\p{Nd},.\-])?([\p{Nd},.\-]*\p{Nd})", 1)
     return F.try_element_at(F.regexp_extract_all(run, F.lit(f"({NUMBER})"), 1), F.lit(-1))
 
 

@@ -19,7 +19,8 @@ def scored_table(responses: DataFrame, path: str, *, allow_parse_proxy: bool = F
     """Score once and store without text; every report then reads only the columns it needs."""
     scored = resolve_confidence(score_responses(responses, keep_text=False), allow_parse_proxy=allow_parse_proxy)
     writers.write_parquet(scored, path)
-    return responses.sparkSession.read.parquet(path)
+    # The written types: a partition folder named 007 stays the text 007.
+    return responses.sparkSession.read.schema(scored.schema).parquet(path)
 
 
 def summary_with_intervals(

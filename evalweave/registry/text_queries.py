@@ -17,7 +17,7 @@ def _nested(depth: int) -> str:
 _WS = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
 _BOX = r"(?:\\boxed|\\fbox)[{](" + _nested(10) + ")[}]"
 _FINAL = r"(?is)final answer is:\s*(.+?)(?:\.\s*I hope it is correct|\.\s*$|\s*$)"
-_NUM = r"-?\d+(?:,\d{3})*(?:\.\d+)?"
+_NUM = r"-?\p{Nd}+(?:,\p{Nd}{3})*(?:\.\p{Nd}+)?"
 
 
 def _norm(x: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,12 +21,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def _json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).json(path)
-
-
 def read_responses(spark: SparkSession, path: str, schema: T.StructType = RESPONSES) -> DataFrame:
     """Line-delimited JSON responses of all cells; a missing path is empty.
 
@@ -45,9 +39,18 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.filter(F.col("value").rlike(r"\S"))
 
 
+def is_row(value: Column) -> Column:
+    """Whether a line is exactly one JSON object; repeated keys and NaN are allowed, as in the reader.
+
+    The line is parsed as the only element of an array, so nothing may follow the object.
+    """
+    parsed = F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<map<string,string>>")
+    return F.coalesce((F.size(parsed) == 1) & F.get(parsed, F.lit(0)).isNotNull() & value.rlike(r"\}\s*$"), F.lit(False))
+
+
 def line_validity(lines: DataFrame, group_cols: Sequence[str] = ("path",)) -> DataFrame:
     """Good and bad line counts per file, and whether all lines parse."""
-    good = F.try_parse_json(F.col("value")).isNotNull()
+    good = is_row(F.col("value"))
     return lines.groupBy(*group_cols).agg(
         F.count_if(good).alias("good_rows"),
         F.count_if(~good).alias("bad_rows"),
@@ -56,8 +59,8 @@ def line_validity(lines: DataFrame, group_cols: Sequence[str] = ("path",)) -> Da
 
 
 def split_corrupt(lines: DataFrame, schema: T.StructType = RESPONSES) -> tuple[DataFrame, DataFrame]:
-    """(parsed rows, lines that are not JSON) from text lines (S3)."""
-    good = F.try_parse_json(F.col("value")).isNotNull()
+    """(parsed rows, lines that are no JSON object) from text lines (S3)."""
+    good = is_row(F.col("value"))
     parsed = lines.filter(good).select("path", F.from_json("value", schema).alias("row")).select("path", "row.*")
     return parsed, lines.filter(~good)
 
@@ -114,14 +117,14 @@ def file_row_counts(spark: SparkSession, path: str, suffix: str = ".jsonl") -> D
 def read_harness_results(spark: SparkSession, path: str) -> DataFrame:
     """Entries of the newest results file that has a ``results`` object (S12): pos, key, metrics.
 
-    Files are compared by path; documents stay VARIANT, as task names and metrics are open.
+    Files are compared by path; ``pos`` is the order in the document, as maps of text keep it.
     """
     docs = (
         spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "results*.json")
         .option("wholetext", True).text(path)
-        .select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("doc"))
+        .select(F.col("_metadata.file_path").alias("path"), F.from_json("value", "results map<string,string>").alias("doc"))
     )
-    results = F.try_variant_get("doc", "$.results", "map<string,variant>")
+    results = F.col("doc.results")
     newest = docs.withColumn("results", results).filter(F.col("results").isNotNull()).agg(
         F.max_by("results", "path").alias("results")
     )
@@ -129,7 +132,7 @@ def read_harness_results(spark: SparkSession, path: str) -> DataFrame:
         "pos", "key",
         F.map_filter(
             F.transform_values(
-                F.try_variant_get("entry", "$", "map<string,variant>"),
+                F.try_variant_get(F.try_parse_json("entry"), "$", "map<string,variant>"),
                 lambda k, v: F.try_variant_get(v, "$", "double"),
             ),
             lambda k, v: v.isNotNull(),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -23,14 +24,36 @@ FAILURE_FIELDS = """cell_id task model_family quant_config n parse_failure_rate
 CACHE_FIELDS = "id task prompt completion pred_answer gold_answer correct cell_id quant_config seed".split()
 
 
+def _replace(df: DataFrame, path: str, kind: str, partition_cols: Sequence[str], **options: object) -> None:
+    """Write beside the table and swap at the end: a failed job leaves the old table as it was.
+
+    Partitioned tables are dealt out by their partition columns first, so that a small partition is
+    one file; AQE splits large ones.
+    """
+    spark, base = df.sparkSession, path.rstrip("/")
+    staged, old = (f"{base}.{part}-{uuid.uuid4().hex}" for part in ("staged", "old"))
+    if partition_cols:
+        df = df.hint("rebalance", *[F.col(c) for c in partition_cols])
+    df.write.format(kind).options(**options).partitionBy(*partition_cols).save(staged)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    files = at(base).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    moved = files.exists(at(base))
+    if moved and not files.rename(at(base), at(old)):
+        raise OSError(f"cannot set aside {base}; the new table is {staged}")
+    if not files.rename(at(staged), at(base)):
+        raise OSError(f"cannot move {staged} to {base}; the old table is {old}")
+    if moved:
+        files.delete(at(old), True)
+
+
 def write_jsonl(df: DataFrame, path: str, *, partition_cols: Sequence[str] = ()) -> None:
-    """Replace a line-JSON table; the commit protocol keeps readers off partial output."""
-    df.write.mode("overwrite").option("ignoreNullFields", False).partitionBy(*partition_cols).json(path)
+    """Replace a line-JSON table once the new one is complete."""
+    _replace(df, path, "json", partition_cols, ignoreNullFields=False)
 
 
 def write_parquet(df: DataFrame, path: str, *, partition_cols: Sequence[str] = ("cell_id",)) -> None:
     """Replace a Parquet table, by default one directory per cell so that cell filters prune."""
-    df.write.mode("overwrite").partitionBy(*partition_cols).parquet(path)
+    _replace(df, path, "parquet", partition_cols)
 
 
 def flatten(df: DataFrame) -> DataFrame:

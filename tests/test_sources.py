@@ -150,3 +150,25 @@ def test_score_run_report(spark):
     assert out["c"].finish_reason_counts == {"stop": 30} and out["d"].pass_at_1_n_clusters == 5
     with pytest.raises(Exception, match="no confidence values"):
         reports.score_run(df, require_calibration=True, n_resamples=50).collect()
+
+
+def test_lines_are_judged_like_the_reader_does(spark):
+    lines = ['{"a":1}', '{"a":1,"a":2}', '{"a":NaN}', "{}", "5", "[1]", '{"a":1', '{"a":1} x', '{"a":1},{"b":2}', '{"a":1}]', "null", None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(lines)], "i int, value string")
+    good = df.filter(readers.is_row(F.col("value"))).orderBy("i").collect()
+    assert [r.i for r in good] == [0, 1, 2, 3]
+
+
+def test_replacing_keeps_cell_names_and_leaves_nothing_beside(spark, tmp_path):
+    cells = spark.createDataFrame([("007", 1), ("08", 2), ("7", 3), (None, 4)], "cell_id string, x int")
+    for _ in range(2):
+        writers.write_parquet(cells, f"{tmp_path}/t")
+    back = spark.read.schema(cells.schema).parquet(f"{tmp_path}/t").select("cell_id", "x").collect()
+    assert sorted(back, key=lambda r: r.x) == [("007", 1), ("08", 2), ("7", 3), (None, 4)]
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_harness_entries_keep_the_document_order(spark, tmp_path):
+    (tmp_path / "results_1.json").write_text('{"results": {"gsm8k_zero": {"acc": 0.9}, "gsm8k_cot": {"acc": 0.1}}}')
+    rows = readers.read_harness_results(spark, str(tmp_path)).orderBy("pos").collect()
+    assert [r.key for r in rows] == ["gsm8k_zero", "gsm8k_cot"]
