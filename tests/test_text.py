@@ -120,3 +120,10 @@ def test_confidence_rules(spark):
     assert got(False) == [(0.9, "explicit", True), (0.2, "explicit", True), (0.3, "explicit", True), (0.4, "mystery", False),
                           (0.5, "answer_parse_success", False), (None, None, False)]
     assert got(True)[5] == (1.0, "answer_parse_success", False)
+
+
+def test_numbers_of_any_decimal_digits(spark):
+    texts = ["उत्तर ४२", "a 1,234.5 b", "-3", "none", "x ١٢٣ y"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select("i", text.last_number(F.col("t")).alias("n")).orderBy("i").collect()
+    assert [r.n for r in got] == ["४२", "1,234.5", "-3", None, "١٢٣"]
