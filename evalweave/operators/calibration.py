@@ -152,16 +152,17 @@ def adaptive_ece(ranked: DataFrame, *, group_cols: Sequence[str] = ("cell_id",),
     return chunks.groupBy(*group_cols).agg((F.sum("gap") / F.sum("m")).alias("adaptive_ece"))
 
 
-def auroc(ranked: DataFrame, *, group_cols: Sequence[str] = ("cell_id",)) -> DataFrame:
-    """AUROC by mid-ranks over rows ranked by ``ascending``; NULL for a single class."""
-    levels = ranked.groupBy(*group_cols, "conf").agg(
-        F.sum("y").alias("pos"), F.count(F.lit(1)).alias("m"),
-        ((F.min("rank") + F.max("rank")) / 2.0).alias("mid_rank"),
-    )
+def auroc(pairs: DataFrame, *, group_cols: Sequence[str] = ("cell_id",)) -> DataFrame:
+    """AUROC by mid-ranks; NULL for a single class.
+
+    Rows collapse to tie levels before the shuffle; only the levels are ordered.
+    """
+    levels = pairs.groupBy(*group_cols, "conf").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("m"))
+    mid_rank = F.col("upto") - (F.col("m") - 1) / 2.0
     p = F.sum("pos").cast("double")
     q = (F.sum("m") - F.sum("pos")).cast("double")
-    return levels.groupBy(*group_cols).agg(
-        F.try_divide(F.sum(F.col("pos") * F.col("mid_rank")) - p * (p + 1) / 2, p * q).alias("auroc")
+    return with_running(levels, group_cols, [F.asc("conf")], {"upto": "m"}).groupBy(*group_cols).agg(
+        F.try_divide(F.sum(F.col("pos") * mid_rank) - p * (p + 1) / 2, p * q).alias("auroc")
     )
 
 
@@ -179,14 +180,13 @@ def _bundle(
     from evalweave.operators.risk import aurc, descending
 
     falling = descending(pairs, group_cols) if falling is None else falling
-    ranked = ascending(pairs, group_cols)
     parts = [
         pointwise_metrics(pairs, group_cols=group_cols, n_bins=n_bins),
-        auroc(ranked, group_cols=group_cols),
+        auroc(pairs, group_cols=group_cols),
         aurc(falling, group_cols=group_cols),
     ]
     if full:
-        parts.append(adaptive_ece(ranked, group_cols=group_cols, n_bins=max(n_bins, 10)))
+        parts.append(adaptive_ece(ascending(pairs, group_cols), group_cols=group_cols, n_bins=max(n_bins, 10)))
     out = merge_groups(parts, group_cols, "inner")
     return out if full else out.drop("nll")
 

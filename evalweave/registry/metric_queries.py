@@ -73,7 +73,7 @@ def adaptive_ece(spark, sf_dir):
 
 @query("auroc", f"{_PAIRS}, {_AUROC} select cell_id, round(auroc, 6) as auroc from auroc")
 def auroc(spark, sf_dir):
-    return V.rounded(C.auroc(C.ascending(pairs(spark, sf_dir), G)))
+    return V.rounded(C.auroc(pairs(spark, sf_dir)))
 
 
 _BUNDLE = f"""{_PAIRS}, {_ASC}, {_DESC}, {_POINTWISE}, {_ECE}, {_AUROC}, {_AURC}, {_adaptive(10)}"""
