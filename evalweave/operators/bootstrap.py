@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from evalweave.plans.shared import cut
 
-CHUNK_LEVELS = 20_000
+CHUNK_LEVELS = 5_000
 RESAMPLES = 2_000
 
 
@@ -116,7 +116,10 @@ def replicate_sums(
         return pd.concat([out, pd.DataFrame(sums, columns=names)], axis=1)
 
     by = [*group_cols, "chunk"]
-    parts = levels.groupBy(*by).cogroup(paths.groupBy(*by)).applyInPandas(draw, schema)
+    # The levels are few bytes but much work: a fixed number of partitions keeps them from being merged into one task.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = levels.repartition(tasks, *by), paths.repartition(tasks, *by)
+    parts = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(draw, schema)
     return parts.groupBy(*group_cols, "replicate").agg(
         F.sum("n").alias("n"), *[F.sum(n).alias(n) for n in names]
     )
