@@ -1,5 +1,7 @@
 """Paired comparison, multiple-testing and bootstrap queries."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from evalweave.functions.scoring import is_true
@@ -9,7 +11,12 @@ from evalweave.plans import reports
 from evalweave.plans.shared import cut
 from evalweave.registry import views as V
 from evalweave.registry.catalog import query
-from evalweave.registry.summary_queries import run_summaries, runs_sql
+from evalweave.registry.metric_queries import _AVAILABLE, _BUNDLE, _BUNDLE_FROM
+from evalweave.registry.summary_queries import _SUMMARY_COLS, run_summaries, runs_sql
+
+SUMMARY_NAMES = re.findall(r"(\w+)(?=,|$)", re.sub(r"round\(\w+, 6\) as ", "", _SUMMARY_COLS))
+CALIBRATION_NAMES = ["brier", "ece", "nll", "auroc", "aurc", "adaptive_ece"]
+_GATED = ", ".join(f"case when reason is null then round({m}, 6) end as {m}" for m in CALIBRATION_NAMES)
 
 
 def _erfc_sql(x: str) -> str:
@@ -64,25 +71,55 @@ def holm_adjustment(spark, sf_dir):
     return V.rounded(comparison.holm_adjusted(tests, "p_value", ["family"], ["cell_id"]))
 
 
-@query("bootstrap_pass_rate")
+def _with_error(intervals, rows, std_error):
+    """Resampled intervals beside the exact standard error, which SQL can derive, and their agreement with it."""
+    errors = rows.groupBy("cell_id").agg(std_error.alias("std_error"))
+    out = comparison.merge_groups([intervals, errors], ["cell_id"])
+    near = V.near_normal(F.col("value"), F.col("std_error")).alias("interval_near_normal")
+    return V.rounded(out.select(*[c for c in out.columns if c not in ("ci_low", "ci_high")], near))
+
+
+def _mean_error(value):
+    return F.stddev_pop(value) / F.sqrt(F.count(value))
+
+
+@query("bootstrap_pass_rate", V.SCORED_SQL + """
+  select cell_id, count(*) as n, round(avg(x), 6) as value, round(stddev_pop(x) / sqrt(count(x)), 6) as std_error, true as interval_near_normal
+  from (select cell_id, cast(coalesce(correct, false) as int) as x from scored) group by cell_id""")
 def bootstrap_pass_rate(spark, sf_dir):
-    return bootstrap.bootstrap_ci(V.scored(spark, sf_dir), {"x": is_true(F.col("correct")).cast("int")})
+    rows, hit = V.scored(spark, sf_dir), is_true(F.col("correct")).cast("int")
+    return _with_error(bootstrap.bootstrap_ci(rows, {"x": hit}), rows, _mean_error(hit))
 
 
-@query("bootstrap_mean_latency")
+@query("bootstrap_mean_latency", V.SCORED_SQL + """
+  select cell_id, count(*) as n, round(avg(latency_sec), 6) as value, round(stddev_pop(latency_sec) / sqrt(count(*)), 6) as std_error,
+    true as interval_near_normal from scored where latency_sec is not null group by cell_id""")
 def bootstrap_mean_latency(spark, sf_dir):
     rows = V.scored(spark, sf_dir).filter(F.col("latency_sec").isNotNull())
-    return bootstrap.bootstrap_ci(rows, {"x": F.col("latency_sec")})
+    return _with_error(bootstrap.bootstrap_ci(rows, {"x": F.col("latency_sec")}), rows, _mean_error(F.col("latency_sec")))
 
 
-@query("cluster_bootstrap")
+@query("cluster_bootstrap", V.SCORED_SQL + """,
+  clusters as (select cell_id, id, avg(cast(correct as int)) as m from scored where correct is not null and id is not null group by 1, 2)
+  select cell_id, round(avg(m), 6) as value, count(*) as n_clusters, round(stddev_pop(m) / sqrt(count(*)), 6) as std_error,
+    true as interval_near_normal from clusters group by cell_id""")
 def cluster_bootstrap(spark, sf_dir):
-    return bootstrap.cluster_bootstrap_ci(V.scored(spark, sf_dir))
+    rows = V.scored(spark, sf_dir)
+    clusters = rows.filter("correct is not null and id is not null").groupBy("cell_id", "id").agg(F.avg(F.col("correct").cast("int")).alias("m"))
+    return _with_error(bootstrap.cluster_bootstrap_ci(rows), clusters, _mean_error(F.col("m")))
 
 
-@query("cost_per_correct_bootstrap")
+@query("cost_per_correct_bootstrap", V.SCORED_SQL + """,
+  timed as (select cell_id, latency_sec as c, cast(coalesce(correct, false) as int) as h from scored where latency_sec is not null),
+  ratios as (select cell_id, sum(c) / sum(h) as r, count(*) as n from timed group by cell_id having sum(h) > 0)
+  select cell_id, any_value(n) as n, round(any_value(r), 6) as value, round(stddev_pop(c - r * h) * sqrt(count(*)) / sum(h), 6) as std_error,
+    true as interval_near_normal from timed join ratios using (cell_id) group by cell_id""")
 def cost_per_correct_bootstrap(spark, sf_dir):
-    return bootstrap.cost_per_correct_ci(V.scored(spark, sf_dir))
+    rows = V.scored(spark, sf_dir)
+    timed = rows.filter("latency_sec is not null").select("cell_id", F.col("latency_sec").alias("c"), is_true(F.col("correct")).cast("int").alias("h"))
+    ratio = F.sum("c") / F.sum("h")
+    spread = F.var_pop("c") + ratio * ratio * F.var_pop("h") - 2 * ratio * F.covar_pop("c", "h")  # of c - ratio * h
+    return _with_error(bootstrap.cost_per_correct_ci(rows), timed, F.sqrt(spread * F.count(F.lit(1))) / F.sum("h"))
 
 
 # The point values that the intervals surround, with an oracle of their own.
@@ -106,15 +143,32 @@ def bootstrap_point_values(spark, sf_dir):
     return V.rounded(out.select("cell_id", "n", "pass_rate", "cluster_mean", "n_clusters", "cost_ratio", inside.alias("inside")))
 
 
-@query("paired_report")
+@query("paired_report", f"""{_ITEMS}, {_COUNTS},
+  errors as (select cell_id, stddev_pop(cast(var as int)) / sqrt(count(*)) as std_error from pairs group by cell_id)
+  select cell_id, n_items, round(bp, 6) as baseline_pass_at_1, round(vp, 6) as variant_pass_at_1, b, c, round(p, 4) as p_value,
+    round(p_holm, 4) as p_value_holm, round(std_error, 6) as std_error, true as interval_near_normal from holm join errors using (cell_id)""")
 def paired_report(spark, sf_dir):
-    return comparison.paired_report(V.scored(spark, sf_dir), V.BASELINE_CELL)
+    rows = V.scored(spark, sf_dir)
+    errors = comparison.paired_items(rows, V.BASELINE_CELL).groupBy("cell_id").agg(_mean_error(F.col("var").cast("int")).alias("std_error"))
+    out = comparison.merge_groups([comparison.paired_report(rows, V.BASELINE_CELL), errors], ["cell_id"])
+    near = V.near_normal(F.col("variant_pass_at_1"), F.col("std_error")).alias("interval_near_normal")
+    df = V.rounded(out.select("cell_id", "n_items", "baseline_pass_at_1", "variant_pass_at_1", "b", "c", "p_value", "p_value_holm", "std_error", near))
+    return df.withColumns({c: F.round(c, 4) for c in ("p_value", "p_value_holm")})
 
 
-@query("score_run_report")
+@query("score_run_report", f"""{_BUNDLE}, {_AVAILABLE}, {runs_sql('cell_id')},
+  errors as (select cell_id, stddev_pop(cast(coalesce(correct, false) as int)) / sqrt(count(*)) as std_error from scored group by cell_id)
+  select r.cell_id, r.quant_config, r.seed, r.task, {_SUMMARY_COLS.replace('n, round', 'r.n, round', 1)}, d.n_pairs, d.reason is not null as skipped,
+    {_GATED}, round(std_error, 6) as std_error, true as interval_near_normal
+  from runs r join errors using (cell_id) join decided d using (cell_id) left join (select cell_id, brier, ece, nll, auroc, aurc, adaptive_ece from {_BUNDLE_FROM}) using (cell_id)""")
 def score_run_report(spark, sf_dir):
     # A stored scored table, as every report reads it.
-    return reports.score_run(cut(V.scored(spark, sf_dir)))
+    scored = cut(V.scored(spark, sf_dir))
+    errors = scored.groupBy("cell_id").agg(_mean_error(is_true(F.col("correct")).cast("int")).alias("std_error"))
+    out = comparison.merge_groups([reports.score_run(scored), errors], ["cell_id"])
+    near = V.near_normal(F.col("pass_at_1"), F.col("std_error"), "pass_at_1_ci95_low", "pass_at_1_ci95_high").alias("interval_near_normal")
+    return V.rounded(out.select(
+        "cell_id", "quant_config", "seed", "task", *SUMMARY_NAMES, "n_pairs", "skipped", *CALIBRATION_NAMES, "std_error", near))
 
 
 _AUDIT = """keyed as (select *, not coalesce(correct, false) or not answer_parse_success as is_failure,

@@ -121,6 +121,26 @@ def response_cache_limited(spark, sf_dir):
     return writers.response_cache(V.scored(spark, sf_dir), limit=500).drop("prompt")
 
 
-@query("file_hashes")
+@query("file_hashes", """select s_suppkey, sha256(concat(s_name, '|', s_nationkey, chr(10))) as sha256,
+    cast(strlen(concat(s_name, '|', s_nationkey)) + 1 as bigint) as n_bytes from supplier""")
 def file_hashes(spark, sf_dir):
-    return readers.file_hashes(spark, sf_dir, "*.parquet")
+    """One text file per supplier, hashed."""
+    path = scratch_path(spark, "files")
+    rows = V.table(spark, sf_dir, "supplier").select("s_suppkey", F.concat_ws("|", "s_name", "s_nationkey").alias("value"))
+    rows.write.partitionBy("s_suppkey").text(path)
+    key = F.regexp_extract("path", "s_suppkey=([0-9]+)", 1).cast("long").alias("s_suppkey")
+    return readers.file_hashes(spark, path).select(key, "sha256", "n_bytes")
+
+
+@query("items_of_split", """select p_partkey as id, p_name as problem, 'test' as split from part where p_partkey % 3 = 1""")
+def items_of_split(spark, sf_dir):
+    """One split of a stored item table."""
+    path = scratch_path(spark, "items")
+    split = F.when(F.col("p_partkey") % 3 == 1, "test").otherwise("train").alias("split")
+    V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("problem"), split).write.parquet(path)
+    return readers.read_items(spark, path, split="test")
+
+
+@query("response_cache_manifest", V.SCORED_SQL + " select 'archive' as source, 'none' as git_commit, count(*) as n_rows from scored")
+def response_cache_manifest(spark, sf_dir):
+    return writers.cache_manifest(writers.response_cache(V.scored(spark, sf_dir)), source="archive", git_commit="none")

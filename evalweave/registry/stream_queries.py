@@ -8,9 +8,15 @@ from evalweave.registry.catalog import query
 from evalweave.streaming import jobs
 
 
+BATCHES = 3
+DELAY = "90 days"  # the files are in no order of time: longer than the table's span, so that no row comes too late
+
+
 def stream_table(spark, sf_dir, name):
-    schema = V.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """A table as a stream of several files, one per micro-batch, so that state crosses batches."""
+    rows, path = V.table(spark, sf_dir, name), scratch_path(spark, f"stream-{name}")
+    rows.repartition(BATCHES).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 _KEYED = [
@@ -40,12 +46,15 @@ def stream_scoring(spark, sf_dir):
     return spark.read.parquet(table).select("cell_id", F.col("id").cast("string").alias("id"), "sample_index", "pred_answer", "correct")
 
 
-@query("stream_progress", _UNIQUE.split(", uniq")[0] + """
-  select cell_id, count(*) as rows_done, 500 as rows_total, 'completed' as status from keyed group by cell_id""")
+@query("stream_progress", _UNIQUE.split(", uniq")[0] + """  , counted as (select 'supplier_' || l_suppkey as cell_id, count(*) as rows_done, any_value(l_suppkey % 3) as kind from lineitem group by 1),
+  expected as (select *, case kind when 0 then 500 when 1 then 1319 else 198 end as rows_total from counted)
+  select cell_id, rows_done, rows_total, case when rows_done >= rows_total then 'completed' else 'in_progress' end as status from expected""")
 def stream_progress(spark, sf_dir):
     table, checkpoint = scratch_path(spark, "progress"), scratch_path(spark, "progress-state")
-    rows = stream_responses(spark, sf_dir)
-    tasks = V.table(spark, sf_dir, "lineitem").selectExpr(f"{V.CELL} as cell_id").distinct().withColumn("task", F.lit("math500"))
+    cell = F.concat(F.lit("supplier_"), F.col("l_suppkey").cast("string")).alias("cell_id")
+    rows = stream_table(spark, sf_dir, "lineitem").select(cell)
+    task = F.element_at(F.array(*map(F.lit, ("math500", "gsm8k", "gpqa_diamond"))), (F.col("l_suppkey") % 3 + 1).cast("int"))
+    tasks = V.table(spark, sf_dir, "lineitem").select(cell, task.alias("task")).distinct()
 
     def sink(batch, number):
         batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(table)
@@ -66,7 +75,7 @@ def stream_telemetry(spark, sf_dir):
     def sink(batch, number):
         batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(table)
 
-    windows = jobs.telemetry_windows(samples, window="1 day", delay="1 hour")
+    windows = jobs.telemetry_windows(samples, window="1 day", delay=DELAY)
     (windows.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
     keys = ["window_start", "device"]

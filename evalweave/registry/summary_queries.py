@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from evalweave.functions import identity
+from evalweave.functions.scoring import is_true
 from evalweave.operators import comparison, frontier, quantiles, summary
 from evalweave.plans import reports
 from evalweave.plans.shared import cut
@@ -201,6 +202,14 @@ def frontier_overview(spark, sf_dir):
     return df.withColumn("frontier_cells", F.array_join("frontier_cell_ids", ",")).drop("frontier_cell_ids")
 
 
+@query("frontier_report", V.SCORED_SQL + f""", {runs_sql()}, {_FRONTIER}
+  select family, cell_id, quant_config, round_even(pass_at_1, 4) as pass_at_1, round_even(cost_per_correct_seconds, 2) as cost_per_correct_seconds,
+    round_even(latency_sec_mean, 2) as latency_sec_mean, round(peak_vram_gb_max, 6) as peak_vram_gb_max, on_front as on_pareto_frontier from marked""")
+def frontier_report(spark, sf_dir):
+    """The frontier table as it is printed."""
+    return V.rounded(frontier.frontier_report(run_summaries(spark, sf_dir), family_cols=["family"]))
+
+
 _MODELS = [(c, m) for c, m in (
     ("level_a_qwen7b_bf16_math500_seed0", "deepseek-ai/DeepSeek-R1-Distill-Qwen-7B"),
     ("level_c_llama8b_bf16_math500_seed0", "deepseek-ai/DeepSeek-R1-Distill-Llama-8B"),
@@ -214,19 +223,25 @@ _WITH_META = f"""meta as (select * from {V.values_sql(_MODELS)} t(cell_id, model
   tabled as (select *, {_FAMILY_SQL} as model_family from named)"""
 
 
-def _tables(spark, sf_dir):
+def _tables(spark, sf_dir, intervals=True):
     meta = V.small_table(spark, _MODELS, "cell_id string, model_id string")
-    df = V.scored(spark, sf_dir)
+    df = cut(V.scored(spark, sf_dir))
     names = df.groupBy("cell_id").agg(*[F.first(c).alias(c) for c in ("model_path", "task", "quant_config", "seed")])
-    rows = summary.merge_groups([summary.cell_summary(df, medians=False), names], ["cell_id"])
-    return reports.report_tables(rows, meta)
+    errors = df.groupBy("cell_id").agg(
+        (F.stddev_pop(is_true(F.col("correct")).cast("int")) / F.sqrt(F.count(F.lit(1)))).alias("std_error"))
+    made = reports.summary_with_intervals(df) if intervals else summary.cell_summary(df, medians=False)
+    rows = summary.merge_groups([made, names], ["cell_id"])
+    return reports.report_tables(rows, meta), errors
 
 
 @query("report_table_main", V.SCORED_SQL + f""", {runs_sql('cell_id')}, {_WITH_META}
   select cell_id, task, model_family, model_id, quant_config, seed, n, round(pass_at_1, 6) as pass_at_1,
-    cast(null as varchar) as pass_at_1_ci95_low, cast(null as varchar) as pass_at_1_ci95_high, num_correct from tabled""")
+    round(sqrt(pass_at_1 * (1 - pass_at_1) / n), 6) as std_error, true as interval_near_normal, num_correct from tabled""")
 def report_table_main(spark, sf_dir):
-    return V.rounded(_tables(spark, sf_dir)["main"])
+    tables, errors = _tables(spark, sf_dir)
+    ends = ["pass_at_1_ci95_low", "pass_at_1_ci95_high"]
+    out = summary.merge_groups([tables["main"], errors], ["cell_id"])
+    return V.rounded(out.withColumn("interval_near_normal", V.near_normal(F.col("pass_at_1"), F.col("std_error"), *ends)).drop(*ends))
 
 
 @query("report_table_efficiency", V.SCORED_SQL + f""", {runs_sql('cell_id')}, {_WITH_META}
@@ -234,11 +249,16 @@ def report_table_main(spark, sf_dir):
     round(peak_vram_gb_max, 6) as peak_vram_gb_max, round(peak_vram_gb_mean, 6) as peak_vram_gb_mean,
     round(prompt_tokens_mean, 6) as prompt_tokens_mean, round(completion_tokens_mean, 6) as completion_tokens_mean,
     round(reasoning_steps_mean, 6) as reasoning_steps_mean, round(total_gpu_seconds, 6) as total_gpu_seconds,
-    round(cost_per_correct_seconds, 6) as cost_per_correct_seconds, round(cost_of_pass_seconds, 6) as cost_of_pass_seconds from tabled""")
+    round(cost_per_correct_seconds, 6) as cost_per_correct_seconds, round(cost_of_pass_seconds, 6) as cost_of_pass_seconds,
+    round(latency_sec_p50, 6) as latency_sec_p50, round(completion_tokens_p50, 6) as completion_tokens_p50,
+    true as interval_around_cost
+  from tabled join (select cell_id, median(latency_sec) as latency_sec_p50, median(completion_tokens) as completion_tokens_p50
+    from scored group by cell_id) using (cell_id)""")
 def report_table_efficiency(spark, sf_dir):
-    table = V.rounded(_tables(spark, sf_dir)["efficiency"])
-    empty = ["latency_sec_p50", "completion_tokens_p50", "cost_per_correct_seconds_ci95_low", "cost_per_correct_seconds_ci95_high"]
-    return table.drop(*empty)
+    low, high, cost = (F.col(f"cost_per_correct_seconds{end}") for end in ("_ci95_low", "_ci95_high", ""))
+    around = (low < cost) & (cost < high) & (high - low < cost / 2)
+    return V.rounded(_tables(spark, sf_dir)[0]["efficiency"].withColumn("interval_around_cost", around).drop(
+        "cost_per_correct_seconds_ci95_low", "cost_per_correct_seconds_ci95_high"))
 
 
 @query("report_table_failures", V.SCORED_SQL + f""", {runs_sql('cell_id')}, {_WITH_META}
@@ -246,7 +266,7 @@ def report_table_efficiency(spark, sf_dir):
     round(empty_completion_rate, 6) as empty_completion_rate, round(truncation_rate, 6) as truncation_rate,
     round(invalid_answer_rate, 6) as invalid_answer_rate, num_parse_failures, num_empty_completions, num_truncated, num_invalid_answers from tabled""")
 def report_table_failures(spark, sf_dir):
-    return V.rounded(_tables(spark, sf_dir)["failures"])
+    return V.rounded(_tables(spark, sf_dir, intervals=False)[0]["failures"])
 
 
 @query("leaderboard", V.SCORED_SQL + f""", {runs_sql()}

@@ -213,6 +213,12 @@ def values_sql(rows: list[tuple]) -> str:
     return "(values " + ", ".join("(" + ", ".join(one(v) for v in r) + ")" for r in rows) + ")"
 
 
+def near_normal(value, std_error, low: str = "ci_low", high: str = "ci_high"):
+    """Whether both ends of a 95 % interval lie within 0.4 standard errors of the normal interval."""
+    off = lambda end, z: F.abs(F.col(end) - (value + z * std_error)) <= 0.4 * std_error
+    return off(low, -1.959964) & off(high, 1.959964)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded for comparison: sums differ in their last bits by the order of addition."""
     return df.select(*[

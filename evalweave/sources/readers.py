@@ -98,10 +98,10 @@ def read_documents(spark: SparkSession, path: str, pattern: str = "*.json") -> D
 
 
 def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """SHA-256 and size of every file (S11); a file is hashed in one piece, at most 2 GB."""
+    """Path, name, SHA-256 and size of every file (S11); a file is hashed in one piece, at most 2 GB."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(name.alias("file_name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("n_bytes"))
+    return files.select("path", name.alias("file_name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("n_bytes"))
 
 
 def file_row_counts(spark: SparkSession, path: str, suffix: str = ".jsonl") -> DataFrame:
