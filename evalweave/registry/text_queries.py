@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from evalweave.functions import scoring, text
+from evalweave.functions import scoring, sql, text
 from evalweave.registry import views as V
 from evalweave.registry.catalog import query
 
@@ -87,6 +87,16 @@ def answer_normalisation(spark, sf_dir):
                      text.normalize_answer(F.col("ending")).alias("ending_normal"))
 
 
+@query("sql_functions", _REPAIRED + f"""
+    select id, form, md5({_norm('completion')}) as normal_md5, {_norm("ending")} as ending_normal, {_boxed('t')} as answer from rep""")
+def sql_functions(spark, sf_dir):
+    """The registered functions, called from SQL."""
+    sql.register(spark)
+    rows = V.text_responses(spark, sf_dir)
+    return spark.sql("""select id, form, md5(answer_norm(completion)) as normal_md5, answer_norm(ending) as ending_normal,
+        boxed_answer(translate(completion, 'ĠĊ', ' \n')) as answer from {rows}""", rows=rows)
+
+
 @query("choice_letter", _REPAIRED + f" select id, {_letter('t')} as letter from rep")
 def choice_letter(spark, sf_dir):
     df = V.text_responses(spark, sf_dir)
