@@ -14,11 +14,13 @@ import json
 import math
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.llm.common import identified
 from evalweave.plans.ranked import with_running
+from evalweave.plans.shared import cut, small_side
 
 PERIOD = 1000
 BLOCK_ROWS = 32
@@ -114,3 +116,23 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", weigh
         F.col(doc_id), F.lit(SEED)).alias("draw"))
     place = positions(rows, weights).select(F.col("key").alias(row), F.col("position").alias("_position_of_mixing"))
     return marked.join(place, row).repartitionByRange("_position_of_mixing").sortWithinPartitions("_position_of_mixing").select(docs.columns)
+
+
+def stored_position(docs: DataFrame, out: str = "position") -> DataFrame:
+    """Add the place, from 0, that each row has in a table written by ``mixed`` and read again.
+
+    A reader packs files by size, so the order comes from the files: the rows of all files before
+    (by the number in the name) and the row's index in its own file.  Only one row per file is
+    ranked.  Other inputs than a scan of files are numbered in the order they come in.
+    """
+    file, index = "_file_of_mixing", "_index_of_mixing"
+    try:
+        marked = docs.withColumns({file: F.col("_metadata.file_path"), index: F.col("_metadata.row_index")})
+    except AnalysisException:  # not a scan of files; a table written from it keeps its order
+        return stored_position(cut(docs), out)
+    name = F.element_at(F.split(file, "/"), -1)
+    number = F.coalesce(F.regexp_extract(name, "^part-([0-9]+)", 1).try_cast("long"), F.lit(-1).cast("long"))
+    files = marked.groupBy(file).agg(F.count("*").alias("rows")).withColumns({"number": number, "name": name})
+    ends = with_running(files, [], [F.col("number"), F.col("name"), F.col(file)], {"upto": "rows"})
+    begins = small_side(ends.select(file, (F.col("upto") - F.col("rows")).alias("_rows_before_of_mixing")))
+    return marked.join(begins, file).withColumn(out, F.col("_rows_before_of_mixing") + F.col(index)).drop(file, index, "_rows_before_of_mixing")

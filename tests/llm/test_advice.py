@@ -3,7 +3,7 @@
 import random
 from itertools import combinations
 
-from evalweave.llm import near
+from evalweave.llm import mixing, near
 import corpus_pipeline
 
 
@@ -64,3 +64,23 @@ def test_near_copies_edges(spark):
     kept = near.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 4, 6, 7]
     assert near.keep_one(docs.where("doc_id is null")).count() == 1 and near.keep_one(docs.where("1 = 0")).count() == 0
+
+
+def test_tokens_know_their_place_in_the_mix(spark, tmp_path):
+    """Files that a reader packs out of order still give the schedule's position."""
+    rng = random.Random(2)
+    data = [(i, " ".join(["word"] * rng.randrange(1, 300)), "abc"[min(i % 7, 2)]) for i in range(3000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    want = {r.doc_id: r.position for r in mixing.order(docs).collect()}
+    path = str(tmp_path / "mixed")
+    corpus_pipeline.mix_sources(spark, docs, "").write.parquet(path)
+    got = corpus_pipeline.tokenize(spark, spark.read.parquet(path), "").collect()
+    assert {r.doc_id: r.position for r in got} == want and len(got) == 3000
+    assert {r.doc_id: r.position for r in mixing.stored_position(mixing.mixed(docs)).collect()} == want
+
+
+def test_many_files_in_numeric_order(spark, tmp_path):
+    path = str(tmp_path / "parts")
+    spark.range(0, 500, 1, 25).selectExpr("id as doc_id").write.parquet(path)
+    got = mixing.stored_position(spark.read.parquet(path)).collect()
+    assert len(got) == 500 and all(r.doc_id == r.position for r in got)
