@@ -1,8 +1,8 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame functions only.
 
 Base spans come from three patterns; each match is found with its place by splitting the text at the
-matches.  Bare credential-like tokens (20 or more characters with lower case, upper case and digits)
-are further candidates.  The hash of every candidate value is counted over distinct documents
+matches.  Bare credential-like tokens (20 or more characters with lower case, upper case and digits;
+padding and dot-joined segments belong to them) are further candidates, alone or after ``NAME=``.  The hash of every candidate value is counted over distinct documents
 (repositories) and distinct sources (owners).  A value that many owners hold is a copied example; a
 value of few owners is live.  Live bare tokens become spans of kind ``owned``; base spans always stay.
 """
@@ -21,7 +21,11 @@ ASSIGN_VALUE = 12
 ACCESS = "(AKIA[A-Z0-9]{14,})"  # whole runs of capitals and digits: 18 characters with AKIA
 HEX = "([0-9a-f]{16,})"
 # Own values: what counts as a bare token, and from how many owners on a value is a copied example.
-TOKEN = "(?<![A-Za-z0-9+/_.=-])([A-Za-z0-9+/_-]{20,})(?![A-Za-z0-9+/_.=-])"
+# A bare token is a run of segments joined by single dots, one of them of 20 characters or more, with its '=' padding.
+# A name before '=' is none, nor is the host and path of an address with dots; the loops are possessive, so none backtracks.
+SEGMENT = "[A-Za-z0-9+/_-]"
+TOKEN = (f"(?<!{SEGMENT})(?<!{SEGMENT}[.])(?!(?<=:)//[A-Za-z0-9_-]++[.])(?=[A-Za-z0-9+/_.-]*?{SEGMENT}{{20}})"
+         f"({SEGMENT}++(?:[.]{SEGMENT}++)*+(?:=++(?![\"']?{SEGMENT}))?+)(?!=)")
 EXAMPLE_OWNERS = 3
 KINDS = ("assign", "access", "hex", "owned")
 SALTS = 16
@@ -58,7 +62,7 @@ def with_spans(docs: DataFrame, text: str, out: str) -> DataFrame:
         base: F.concat(
             _found(source, 0, ASSIGN, lambda v: F.length(v) >= ASSIGN_VALUE),
             _found(source, 1, ACCESS, everything), _found(source, 2, HEX, everything)),
-        bare: _found(source, 3, TOKEN, lambda v: v.rlike("[0-9]") & v.rlike("[a-z]") & v.rlike("[A-Z]")),
+        bare: _found(source, 3, TOKEN, lambda v: v.rlike(SEGMENT + "{20}") & v.rlike("[0-9]") & v.rlike("[a-z]") & v.rlike("[A-Z]")),
     })
     own = F.filter(bare, lambda t: ~F.exists(base, lambda s: (s["start"] < t["stop"]) & (t["start"] < s["stop"])))
     return found.withColumn(out, F.array_sort(F.concat(F.col(base), own))).drop(base, bare)

@@ -3,7 +3,7 @@
 import random
 from itertools import combinations
 
-from evalweave.llm import mixing, near
+from evalweave.llm import mixing, near, secrets
 import corpus_pipeline
 
 
@@ -84,3 +84,28 @@ def test_many_files_in_numeric_order(spark, tmp_path):
     spark.range(0, 500, 1, 25).selectExpr("id as doc_id").write.parquet(path)
     got = mixing.stored_position(spark.read.parquet(path)).collect()
     assert len(got) == 500 and all(r.doc_id == r.position for r in got)
+
+
+KEY = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY"
+JWT = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+
+
+def owned(spark, texts):
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    spans = {r.doc_id: r.spans for r in secrets.scan(docs).collect()}
+    masked = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    return [([texts[i][s.start : s.stop] for s in spans[i]], masked[i]) for i in range(len(texts))]
+
+
+def test_tokens_beside_equals_signs_and_dots(spark):
+    padded = "QWxhZGRpbjpvcGVuIHNlc2FtZTEyMw=="
+    frames = [("aws_secret_access_key={}", KEY), ("auth={};", KEY), ("https://a.example.org/x?sig={}&y=1", KEY), ("use {} now", padded),
+              ("hash={}", padded), ("Bearer {}", JWT), ("It was {}.", KEY), ("It was {}. Next", JWT), ("see .{}", KEY), ("v=\"{}\"", padded)]
+    got = owned(spark, [f.format(v) for f, v in frames])
+    assert got == [([v], f.format("[SECRET]")) for f, v in frames]
+
+
+def test_names_addresses_and_long_runs_are_no_tokens(spark):
+    texts = ["MyService2ClientKeyOfProduction=short", "https://www.example.org/Shop/Item12345/Overview", "version 1.2.3.4 of Abc1.Def2.Ghi3.Jkl4.Mno5",
+             "a1B." * 50_000, "xy" * 100_000]
+    assert owned(spark, texts) == [([], t) for t in texts]
