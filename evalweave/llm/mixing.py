@@ -1,18 +1,24 @@
-"""Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
-
-Weights are whole parts of a period of PERIOD blocks.  Block i (from 1) of a source with p parts is
-released at floor((i - 1) * PERIOD / p) and due at ceil(i * PERIOD / p).  Earliest deadline first
-over released blocks fills every slot of the period and meets every deadline, so at any slot each
-source is less than one block away from its share.  The schedule repeats with the period, so a
-driver loop over PERIOD slots (a parameter, whatever the data) gives the slot of every block.  Rows
-get their rank in the source in a seeded random order; a source that ends leaves its slots empty.
+"""Mixing sources to target weights by Pfair scheduling.
+
+Block i (from 1) of a source of weight w (all weights sum to 1) is released at floor((i - 1) / w) and
+due at ceil(i / w), in exact whole numbers.  Earliest deadline first over released blocks meets every
+deadline, so at any slot each source is less than one block away from its share w, however long the
+corpus and however many the sources.  Rows get their rank in the source in a seeded random order; a
+source that ends leaves its slots empty, save that blocks which wait may take them.
+
+The order of blocks is settled on the driver, one step of a heap per block of BLOCK_ROWS rows, and
+written out in pieces of PIECE blocks; rows never pass through it.
 """
 
 from __future__ import annotations
 
-import json
+import heapq
 import math
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from itertools import islice
+
+import pyarrow as pa
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -20,10 +26,11 @@ from pyspark.sql import functions as F
 
 from evalweave.llm.common import identified
 from evalweave.plans.ranked import with_running
-from evalweave.plans.shared import cut, small_side
+from evalweave.plans.shared import cut, scratch_path, small_side
 
-PERIOD = 1000
+PERIOD = 1000  # of parts() alone
 BLOCK_ROWS = 32
+PIECE = 100_000
 SEED = 17
 TEMPERATURE = 0.5
 
@@ -62,9 +69,52 @@ def schedule(shares: Mapping[str | None, int]) -> list[dict]:
     return table
 
 
-def _table(spark: SparkSession, rows: list[dict]) -> DataFrame:
-    schema = "array<struct<source:string,parts:int,turn:int,slot:bigint,release:bigint,deadline:bigint>>"
-    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), schema)))
+def blocks(counts: Mapping[str | None, int], weights: Mapping[str | None, float]) -> Iterator[tuple]:
+    """(source, block, release, deadline, slot, first position), in slot order, for sources of so many rows.
+
+    Weights are taken as the exact values of their floats.  Ties of deadlines go by name.
+    """
+    if lost := [s for s in counts if s not in weights]:
+        raise ValueError(f"no weight for sources {lost[:5]}")
+    if any(not 0 < w < math.inf for w in weights.values()):
+        raise ValueError("weights must be positive")
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    whole = {s: int(w * scale) for s, w in exact.items()}
+    total = sum(whole.values())
+    names = sorted((s for s in counts if counts[s]), key=lambda s: (s is None, s or ""))
+    share, rows = [whole[s] for s in names], [counts[s] for s in names]
+    ends = [-(-n // BLOCK_ROWS) for n in rows]
+    waiting = [(0, k, 0) for k in range(len(names))]  # by release
+    ready: list[tuple] = []  # by deadline
+    slot = first = 0
+    while waiting or ready:
+        if not ready and waiting[0][0] > slot:
+            slot = waiting[0][0]
+        while waiting and waiting[0][0] <= slot:
+            release, k, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(i + 1) * total // share[k]), k, i, release))
+        deadline, k, i, release = heapq.heappop(ready)
+        if deadline >= 1 << 63:
+            raise ValueError(f"the weight of source {names[k]} is too small for 64-bit slots")
+        yield names[k], i, release, deadline, slot, first
+        first += min(BLOCK_ROWS, rows[k] - i * BLOCK_ROWS)
+        if i + 1 < ends[k]:
+            heapq.heappush(waiting, ((i + 1) * total // share[k], k, i + 1))
+        slot += 1
+
+
+def _table(spark: SparkSession, rows: Iterator[tuple]) -> DataFrame:
+    """The blocks as a scratch table; the driver holds one piece at a time."""
+    names = ("named", "at", "release", "deadline", "slot", "first")
+    kinds = pa.schema([(n, pa.string() if n == "named" else pa.int64()) for n in names])
+    path = scratch_path(spark, "blocks")
+    piece = list(islice(rows, PIECE))
+    while True:
+        table = pa.table(dict(zip(names, zip(*piece) if piece else [[]] * len(names))), schema=kinds)
+        spark.createDataFrame(table).write.mode("append").parquet(path)
+        if not (piece := list(islice(rows, PIECE))):
+            return spark.read.parquet(path)
 
 
 def positions(rows: DataFrame, weights: Mapping[str | None, float] | None = None) -> DataFrame:
@@ -73,27 +123,15 @@ def positions(rows: DataFrame, weights: Mapping[str | None, float] | None = None
     ``weights`` maps every source to a positive weight; by default they are the row counts to the
     power TEMPERATURE.  ``draw`` orders the rows of a source; NULL is a source of its own.
     """
-    spark = rows.sparkSession
+    counts = {r["source"]: r["count"] for r in rows.groupBy("source").count().collect()}  # one row per source
     if weights is None:
-        counts = {r["source"]: r["count"] for r in rows.groupBy("source").count().limit(PERIOD + 1).collect()}
         weights = {s: n ** TEMPERATURE for s, n in counts.items()}
-    if not weights:
-        table = _table(spark, [])
-    else:
-        table = _table(spark, schedule(parts(weights)))
+    look = _table(rows.sparkSession, blocks(counts, weights))
     ranked = with_running(rows, ["source"], [F.col("draw"), F.col("key")])
-    block = F.floor((F.col("rank") - 1) / BLOCK_ROWS)
-    placed = ranked.withColumn("block", block)
-    shares = table.select(F.col("source").alias("named"), "parts").distinct()
-    # both lookups have PERIOD rows at most
-    turned = placed.join(F.broadcast(shares), F.col("source").eqNullSafe(F.col("named"))).drop("named").withColumn(
-        "turn", (F.col("block") % F.col("parts")).cast("int"))
-    look = table.select(F.col("source").alias("named"), F.col("turn").alias("at"), "slot", "release", "deadline")
-    cycle = F.floor(F.col("block") / F.col("parts")) * PERIOD
-    timed = turned.join(F.broadcast(look), F.col("source").eqNullSafe(F.col("named")) & (F.col("turn") == F.col("at"))).select(
-        "key", "source", "block", *[(F.col(c) + cycle).alias(c) for c in ("release", "deadline", "slot")], F.col("rank").alias("turn_rank"))
-    return with_running(timed, [], [F.col("slot"), F.col("turn_rank")]).select(
-        "key", "source", "block", "release", "deadline", "slot", (F.col("rank") - 1).alias("position"))
+    placed = ranked.withColumn("block", F.floor((F.col("rank") - 1) / BLOCK_ROWS))
+    timed = placed.join(look, F.col("source").eqNullSafe(F.col("named")) & (F.col("block") == F.col("at")))
+    return timed.select("key", "source", "block", "release", "deadline", "slot",
+                        (F.col("first") + (F.col("rank") - 1) % BLOCK_ROWS).alias("position"))
 
 
 def order(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", weights: Mapping[str | None, float] | None = None) -> DataFrame:

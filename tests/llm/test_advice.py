@@ -1,8 +1,11 @@
 """Planted cases for the parts of the job that the corpus operators once left out."""
 
+import math
 import random
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from evalweave.llm import mixing, near, secrets
 import corpus_pipeline
 
@@ -109,3 +112,28 @@ def test_names_addresses_and_long_runs_are_no_tokens(spark):
     texts = ["MyService2ClientKeyOfProduction=short", "https://www.example.org/Shop/Item12345/Overview", "version 1.2.3.4 of Abc1.Def2.Ghi3.Jkl4.Mno5",
              "a1B." * 50_000, "xy" * 100_000]
     assert owned(spark, texts) == [([], t) for t in texts]
+
+
+def test_lag_against_the_weights_themselves():
+    """A long corpus of unequal sources, small ones, and more sources than a period of 1,000 has blocks."""
+    long = {"hot": 3_000_000} | {f"s{i}": 6_000_000 // 19 for i in range(19)}
+    tiny = {"a": 400_000, "b": 400_000, "c": 400}
+    many = {f"s{i}": 40 + i for i in range(1500)} | {None: 70}
+    for counts, weights in ((long, None), (tiny, {"a": 0.7, "b": 0.2999, "c": 0.0001}), (many, None)):
+        weights = weights or {s: n ** mixing.TEMPERATURE for s, n in counts.items()}
+        total = math.fsum(weights.values())
+        left = {s: -(-n // mixing.BLOCK_ROWS) for s, n in counts.items()}
+        done, slots, first, rows = dict.fromkeys(counts, 0), -1, 0, []
+        for source, block, release, deadline, slot, start in mixing.blocks(counts, weights):
+            assert block == done[source] and slots < slot and release <= slot < deadline and start == first
+            share = weights[source] / total
+            # the lag of a source is greatest just before and just after its own blocks
+            assert abs(block - share * slot) < 1 + 1e-6 and abs(block + 1 - share * (slot + 1)) < 1 + 1e-6
+            done[source], slots = block + 1, slot
+            first += min(mixing.BLOCK_ROWS, counts[source] - block * mixing.BLOCK_ROWS)
+        assert done == left and first == sum(counts.values())
+
+
+def test_more_sources_than_a_period(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 1250).cast("string").alias("source"))
+    assert sorted(r.position for r in mixing.order(docs).collect()) == list(range(5000))
