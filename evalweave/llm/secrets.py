@@ -3,8 +3,8 @@
 Base spans come from three patterns; each match is found with its place by splitting the text at the
 matches.  Bare credential-like tokens (20 or more characters with lower case, upper case and digits;
 padding and dot-joined segments belong to them) are further candidates, alone or after ``NAME=``.  The hash of every candidate value is counted over distinct documents
-(repositories) and distinct sources (owners).  A value that many owners hold is a copied example; a
-value of few owners is live.  Live bare tokens become spans of kind ``owned``; base spans always stay.
+(repositories) and distinct sources (owners).  A value that many owners or many documents hold is a
+copied example; a value in few documents of few owners is live.  Live bare tokens become spans of kind ``owned``; base spans always stay.
 """
 
 from __future__ import annotations
@@ -20,13 +20,14 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ASSIGN_VALUE = 12
 ACCESS = "(AKIA[A-Z0-9]{14,})"  # whole runs of capitals and digits: 18 characters with AKIA
 HEX = "([0-9a-f]{16,})"
-# Own values: what counts as a bare token, and from how many owners on a value is a copied example.
+# Own values: what counts as a bare token, and from how many owners (or documents) on a value is a copied example.
 # A bare token is a run of segments joined by single dots, one of them of 20 characters or more, with its '=' padding.
 # A name before '=' is none, nor is the host and path of an address with dots; the loops are possessive, so none backtracks.
 SEGMENT = "[A-Za-z0-9+/_-]"
 TOKEN = (f"(?<!{SEGMENT})(?<!{SEGMENT}[.])(?!(?<=:)//[A-Za-z0-9_-]++[.])(?=[A-Za-z0-9+/_.-]*?{SEGMENT}{{20}})"
          f"({SEGMENT}++(?:[.]{SEGMENT}++)*+(?:=++(?![\"']?{SEGMENT}))?+)(?!=)")
 EXAMPLE_OWNERS = 3
+EXAMPLE_DOCUMENTS = 20  # or from how many distinct documents on, whatever the owners
 KINDS = ("assign", "access", "hex", "owned")
 SALTS = 16
 MASK = "[SECRET]"
@@ -69,14 +70,15 @@ def with_spans(docs: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """Per candidate hash: documents, owners and whether it is live, for rows (spans, owner).
+    """Per candidate hash: distinct documents, distinct owners and whether it is live, for rows (spans, id, owner).
 
-    NULL owners count as one owner.  Counts combine before both shuffles.
+    NULL ids count as one document, NULL owners as one owner.  Counts combine before every shuffle and
+    no step holds the documents of one hash.
     """
-    each = found.select("owner", F.explode(F.array_distinct(F.transform("spans", lambda s: s["hash"]))).alias("hash"))
-    by_owner = each.groupBy("hash", "owner").agg(F.count("*").alias("documents"))
-    return by_owner.groupBy("hash").agg(
-        F.sum("documents").alias("documents"), F.count("*").alias("owners")).withColumn("live", F.col("owners") < EXAMPLE_OWNERS)
+    each = found.select("id", "owner", F.explode(F.array_distinct(F.transform("spans", lambda s: s["hash"]))).alias("hash"))
+    distinct = lambda c: F.count_distinct(F.struct(c))  # noqa: E731  the struct of a NULL counts
+    live = (F.col("owners") < EXAMPLE_OWNERS) & (F.col("documents") < EXAMPLE_DOCUMENTS)
+    return each.groupBy("hash").agg(distinct("id").alias("documents"), distinct("owner").alias("owners")).withColumn("live", live)
 
 
 def _judged(found: DataFrame) -> DataFrame:
@@ -134,7 +136,7 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: s
     row = "_row_identity_of_secret_scan"
     marked = cut(with_spans(identified(docs, row), text, "_spans_of_secret_scan"))
     dirty = marked.where(F.size("_spans_of_secret_scan") > 0)
-    judged = _judged(dirty.select(F.col(row).alias("row"), F.col(owner).alias("owner"), F.col("_spans_of_secret_scan").alias("spans")))
+    judged = _judged(dirty.select(F.col(row).alias("row"), F.col(doc_id).alias("id"), F.col(owner).alias("owner"), F.col("_spans_of_secret_scan").alias("spans")))
     live = F.array_sort(F.transform(F.filter("spans", lambda s: s["live"]), lambda s: F.struct(s["value"].alias("value"), s["stop"].alias("stop"))))
     values = judged.select(F.col("row").alias(row), live.alias("_live_of_secret_scan"))
     joined = dirty.join(values, row, "left")

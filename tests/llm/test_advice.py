@@ -137,3 +137,15 @@ def test_lag_against_the_weights_themselves():
 def test_more_sources_than_a_period(spark):
     docs = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 1250).cast("string").alias("source"))
     assert sorted(r.position for r in mixing.order(docs).collect()) == list(range(5000))
+
+
+def test_examples_in_many_documents_of_few_owners(spark):
+    live, example, again = (f"{c}B3" * 8 for c in "xyz")
+    data = [(i, f"see {example} here", "hot" if i % 2 else "other") for i in range(60)]
+    data += [(100, f"my {live}", "hot"), (101, f"my {live}", "hot")]
+    data += [(200, f"one {again}", "hot")] * 60  # sixty rows of one document
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    spans = {(r.doc_id, len(r.spans)) for r in secrets.scan(docs).collect()}
+    assert spans == {(i, 0) for i in range(60)} | {(100, 1), (101, 1), (200, 1)}
+    masked = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert masked[5] == data[5][1] and masked[100] == "my [SECRET]" and masked[200] == "one [SECRET]"
