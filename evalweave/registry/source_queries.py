@@ -132,6 +132,12 @@ def file_hashes(spark, sf_dir):
     return readers.file_hashes(spark, path).select(key, "sha256", "n_bytes")
 
 
+@query("given_file_hashes")
+def given_file_hashes(spark, sf_dir):
+    """Every Parquet file of the given folder, hashed; SQL has no access to the bytes, tests use hashlib."""
+    return readers.file_hashes(spark, sf_dir, "*.parquet")
+
+
 @query("items_of_split", """select p_partkey as id, p_name as problem, 'test' as split from part where p_partkey % 3 = 1""")
 def items_of_split(spark, sf_dir):
     """One split of a stored item table."""

@@ -172,3 +172,13 @@ def test_harness_entries_keep_the_document_order(spark, tmp_path):
     (tmp_path / "results_1.json").write_text('{"results": {"gsm8k_zero": {"acc": 0.9}, "gsm8k_cot": {"acc": 0.1}}}')
     rows = readers.read_harness_results(spark, str(tmp_path)).orderBy("pos").collect()
     assert [r.key for r in rows] == ["gsm8k_zero", "gsm8k_cot"]
+
+
+def test_hashes_of_all_given_files(spark, tmp_path):
+    import hashlib
+    from evalweave.registry import catalog
+    spark.range(30).write.parquet(str(tmp_path / "many.parquet"))
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "one.parquet"))
+    got = {r.path.removeprefix("file:"): (r.sha256, r.n_bytes) for r in catalog.load()[0]["given_file_hashes"](spark, str(tmp_path)).collect()}
+    want = {str(f): (hashlib.sha256(f.read_bytes()).hexdigest(), f.stat().st_size) for f in tmp_path.rglob("*.parquet") if f.is_file()}
+    assert got == want and len(want) > 2
