@@ -28,7 +28,7 @@ SCALE = 256
 BLOCK_ROWS = 8192
 QUERY_ROWS = 128
 GRID = 16
-LIMIT = 1 << 24  # quantised components of this size or more cannot be scored exactly in 64 bits
+LIMIT = 1 << 62  # quantised components of this size or more do not fit in a long
 BLOCK = "part long, rows int, dims int, bits int, ids binary, slices binary"
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -137,16 +137,19 @@ def _matrix(vectors: list, dims: int) -> np.ndarray:
 
 def _clean(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """(id, q): quantised vectors that take part."""
-    fine = lambda x: x.isNotNull() & (F.abs(x.cast("double") * SCALE) < LIMIT)  # noqa: E731  NaN is greater
+    scaled = lambda x: x.cast("double") * SCALE
+    fine = lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf"))  # noqa: E731  NaN is greater
+    whole = lambda x: F.when(F.abs(scaled(x)) < float(LIMIT), F.floor(scaled(x))).otherwise(
+        F.raise_error(F.lit("a vector component is too large for a 64-bit index")).cast("long"))
     return vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where(
-        F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", fine)).select(
-        "id", F.transform("v", lambda x: F.floor(x.cast("double") * SCALE)).alias("q"))
+        F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", fine)).select("id", F.transform("v", whole).alias("q"))
 
 
 def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The bit-sliced blocks of all vectors (columns of BLOCK), fixed in a table.
 
-    Left out: NULL keys, NULL vectors, vectors with a NULL, non-finite or huge component (LIMIT).
+    Left out: NULL keys, NULL vectors, vectors with a NULL or non-finite component.
+    Components and scores that do not fit in 64 bits raise an error.
     Shorter vectors count as padded with zeros; repeated keys are rows of their own.
     """
     def blocks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,7 +200,10 @@ def search(index: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", ve
                 queries_here = np.frombuffer(r.values, dtype="<i8").reshape(r.n, r.q_dims)
                 out = []
                 for q_id, q in zip(np.frombuffer(r.query_ids, dtype="<i8"), queries_here):
-                    width = min(64, r.bits + 1 + int(np.abs(q).sum()).bit_length())
+                    reach = sum(map(int, np.abs(q))).bit_length()
+                    if r.bits + reach > 64:
+                        raise ValueError(f"scores of query {q_id} do not fit in 64 bits; scale the vectors down")
+                    width = min(64, r.bits + 1 + reach)
                     result, valid = add_slices(q, both, width), all_rows
                     own = np.flatnonzero(ids == q_id)
                     if len(own):

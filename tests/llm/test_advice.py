@@ -4,9 +4,10 @@ import math
 import random
 from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
-from evalweave.llm import mixing, near, secrets
+from evalweave.llm import mixing, near, secrets, topk
 import corpus_pipeline
 
 
@@ -149,3 +150,14 @@ def test_examples_in_many_documents_of_few_owners(spark):
     assert spans == {(i, 0) for i in range(60)} | {(100, 1), (101, 1), (200, 1)}
     masked = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
     assert masked[5] == data[5][1] and masked[100] == "my [SECRET]" and masked[200] == "one [SECRET]"
+
+
+def test_large_components_are_scored_or_refused(spark):
+    vectors = spark.createDataFrame([(1, [100000.0, 1.0]), (2, [-3.0, 200000.5]), (3, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.search(topk.build_index(vectors), vectors.where("vec_id < 3"), 2).collect())
+    q = {1: (25600000, 256), 2: (-768, 51200128), 3: (128, 128)}
+    dot = lambda a, b: sum(x * y for x, y in zip(q[a], q[b]))
+    assert got == [(a, k + 1, b, dot(a, b)) for a in (1, 2) for k, b in enumerate(sorted({1, 2, 3} - {a}, key=lambda b: -dot(a, b)))]
+    huge = spark.createDataFrame([(1, [1e12]), (2, [1e12])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.search(topk.build_index(huge), huge, 1).collect()
