@@ -50,3 +50,16 @@ def bounded_sample(rows: DataFrame, per_label: int) -> DataFrame:
     # labels x per_label rows; the callers bound the number of labels
     return hashed.join(F.broadcast(cut(chosen.select("label", "draw"))), ["label", "draw"]).groupBy("label", "draw").agg(
         F.min("text").alias("text"))
+
+
+def labelled_sample(docs: DataFrame, known: DataFrame, per_label: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """At most ``per_label`` different texts of each label of ``known`` (doc_id, label): (label, draw, text).
+
+    As ``bounded_sample``, for labels in a table of their own: they meet a narrow list of ids and text
+    hashes, and only the chosen texts are read again.  The callers bound the number of labels.
+    """
+    hashed = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("draw"))
+    marked = hashed.select("id", "draw").join(known.where("label is not null").select(F.col("doc_id").alias("id"), "label"), "id")
+    chosen = marked.groupBy("label", F.pmod("draw", F.lit(per_label)).alias("bucket")).agg(F.min("draw").alias("draw"))
+    fixed = cut(chosen.select("label", "draw"))
+    return hashed.join(F.broadcast(fixed), "draw").groupBy("label", "draw").agg(F.min("text").alias("text"))

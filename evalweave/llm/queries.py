@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from evalweave.llm import bpe, language, mixing, secrets, sharding, simhash, sketch, topk, toxicity, urls
+from evalweave.llm import bpe, language, mixing, negatives, quality, runs, secrets, sharding, simhash, sketch, topk, toxicity, urls
 from evalweave.llm.common import held_out
 from evalweave.plans.shared import cut
 
@@ -112,13 +112,68 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document.  A tenth of the documents, by the hash of the id, first repeats
+    the words of a stretch to its end."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    chosen = docs.withColumns({"g": F.floor(h / 10), "words": F.when(h % 10 == 0, words)}).withColumn("n", F.size("words"))
+    placed = chosen.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn(
+        "p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    index = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    repeated = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - F.lit(1).cast("long")), lambda i: F.get("words", index(i))), " ")
+    changed = placed.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+    found = runs.with_runs(changed)
+    longest = F.try_element_at(F.array_sort(F.transform("runs", lambda r: F.struct(
+        (-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period")))), F.lit(1))
+    top = found.withColumn("top", longest)
+    return top.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.start").alias("start"), (-F.col("top.shorter")).alias("length"),
+        F.col("top.period").alias("period"), F.floor(-F.col("top.shorter") * 1000 / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), ""), 256).alias(
+            "runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; the label of every seventh is moved on by one."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, labels learned from four fifths of them."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_bounded_ring, op2_language, op3_bit_sliced_topk, op4_bpe_round_trip, op5_toxicity, op6_url_lists,
-    op7_secret_ownership, op8_bottom_k, op9_pfair_mix, op10_simhash, pipeline)}
-ORACLES: dict[str, str] = {}
+    op7_secret_ownership, op8_bottom_k, op9_pfair_mix, op10_simhash, op11_runs, op12_hard_negatives, op13_quality, pipeline)}
+_VECTORS = """with v as (select vec_id, label, list_transform(embedding, x -> floor(256 * x::double)) as q from embeddings
+  where vec_id is not null and embedding is not null and list_bool_and(list_transform(embedding, x -> coalesce(isfinite(x), false))))"""
+ORACLES: dict[str, str] = {
+    "op3_bit_sliced_topk": _VECTORS + f"""
+select query_id, rank::int as rank, vec_id, score from (
+  select a.vec_id as query_id, b.vec_id, list_inner_product(a.q, b.q)::bigint as score,
+    row_number() over (partition by a.vec_id order by list_inner_product(a.q, b.q) desc, b.vec_id) as rank
+  from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0) where rank <= {TOP}""",
+    "op12_hard_negatives": _VECTORS + """,
+l as (select vec_id, q, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label from v where label is not null),
+s as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_inner_product(a.q, b.q)::bigint as score
+  from l a join l b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (select p.*, s.vec_id as negative_id, s.score as negative_score,
+    row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id) as rank
+  from p join s on p.anchor_id = s.anchor_id and not s.same
+    and 80 * p.positive_score <= 100 * s.score and 100 * s.score <= 100 * p.positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 5""",
+}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
