@@ -155,8 +155,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_bounded_ring, op2_language, op3_bit_sliced_topk, op4_bpe_round_trip, op5_toxicity, op6_url_lists,
     op7_secret_ownership, op8_bottom_k, op9_pfair_mix, op10_simhash, op11_runs, op12_hard_negatives, op13_quality, pipeline)}
-_VECTORS = """with v as (select vec_id, label, list_transform(embedding, x -> floor(256 * x::double)) as q from embeddings
-  where vec_id is not null and embedding is not null and list_bool_and(list_transform(embedding, x -> coalesce(isfinite(x), false))))"""
+_VECTORS = """with v as (select vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)) as q from embeddings
+  where vec_id is not null and embedding is not null and list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))))"""
 ORACLES: dict[str, str] = {
     "op3_bit_sliced_topk": _VECTORS + f"""
 select query_id, rank::int as rank, vec_id, score from (
