@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalweave.plans.ranked import with_running
+from evalweave.plans.shared import cut
 
 K = 64
 WORDS = 5
@@ -35,8 +36,13 @@ def merged(a: Column, b: Column, k: int = K) -> Column:
 
 
 def merge_parts(parts: DataFrame, keys: Sequence[str], sketch: str, k: int = K) -> DataFrame:
-    """One sketch per group of part sketches: a group of any size keeps k hashes per task and one group of k."""
-    hashes = parts.select(*keys, F.explode(sketch).alias("hash")).groupBy(*keys, "hash").agg(F.lit(1))
+    """One sketch per group of part sketches: a group of any size keeps k hashes per task and one group of k.
+
+    The sketches are written out first: a filter that the optimizer derives from the explode would else
+    be pushed into the computation of the sketch and repeat it for every shingle.
+    """
+    fixed = cut(parts.select(*keys, sketch))
+    hashes = fixed.select(*keys, F.explode(sketch).alias("hash")).groupBy(*keys, "hash").agg(F.lit(1))
     least = hashes.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("hash"))).where(F.col("n") <= k)
     return least.groupBy(*keys).agg(F.array_sort(F.collect_list("hash")).alias(sketch))
 
