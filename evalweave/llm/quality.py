@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,6 +30,7 @@ EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.02
 THRESHOLD = 0.3
 CACHE = 200_000
+TOGETHER = 200_000  # words whose features are sorted together
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 # Words have letters as a, A and, beyond ASCII, u; digits as 0; all other characters stay.
 _KINDS = bytes(ord("u") if c >= 128 else ord("a") if chr(c).islower() else ord("A") if chr(c).isupper() else ord("0") if chr(c).isdigit() else c
@@ -37,32 +38,59 @@ _KINDS = bytes(ord("u") if c >= 128 else ord("a") if chr(c).islower() else ord("
 _ROW = re.compile(rb"(.)\1+", re.S)
 
 
-class Hasher:
-    """Feature numbers of texts; hashes of words are kept."""
+class _Words(dict):
+    """Numbers of words; ``table`` has the hashes of the word and of its shape under each number."""
 
     def __init__(self) -> None:
-        self.known: dict[bytes, tuple[int, int]] = {}
+        super().__init__()
+        self.table = np.empty((CACHE, 2), dtype=np.uint64)
 
-    def _of(self, word: bytes) -> tuple[int, int]:
-        if len(self.known) > CACHE:
-            self.known.clear()
+    def __missing__(self, word: bytes) -> int:
+        number = len(self)
+        if number == len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
         shape = _ROW.sub(rb"\1", word.translate(_KINDS))
-        both = xxhash.xxh64_intdigest(word.lower(), 1), xxhash.xxh64_intdigest(shape, 2)
-        self.known[word] = both
-        return both
-
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct feature numbers, ascending, and their values; none for a text without words."""
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        if not words:
-            return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32)
-        known = self.known
-        single = np.array([known.get(w) or self._of(w) for w in words], dtype=np.uint64)
-        pairs = (single[:-1] * _MIX) ^ single[1:]
-        twice = (single[:-1, 0] == single[1:, 0]).astype(np.uint64)
-        mixed = np.concatenate([single.ravel(), pairs.ravel() * _MIX, twice]) * _MIX
-        features, counts = np.unique((mixed >> np.uint64(64 - BITS)).astype(np.int32), return_counts=True)
-        return features, np.sqrt(counts / len(mixed)).astype(np.float32)
+        self.table[number] = xxhash.xxh64_intdigest(word.lower(), 1), xxhash.xxh64_intdigest(shape, 2)
+        self[word] = number
+        return number
+
+
+class Hasher:
+    """Features of texts; the hashes of words are kept between calls."""
+
+    def __init__(self) -> None:
+        self.words = _Words()
+
+    def __call__(self, texts: Iterable[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(texts, text number, feature, value) of consecutive parts, by text and feature."""
+        held: list[bytes] = []
+        sizes: list[int] = []
+        for text in texts:
+            own = (text or "").encode("utf-8", "surrogatepass").split()
+            if sizes and (len(held) + len(own) > TOGETHER or len(sizes) == 1 << 31 - BITS):
+                yield self._features(held, sizes)
+                held, sizes = [], []
+            held += own
+            sizes.append(len(own))
+        if sizes:
+            yield self._features(held, sizes)
+
+    def _features(self, words: list[bytes], sizes: list[int]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        if len(self.words) > CACHE:
+            self.words = _Words()
+        numbers = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        single = self.words.table[numbers]
+        text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        inside = text[:-1] == text[1:]
+        left, right = single[:-1][inside], single[1:][inside]
+        mixed = np.concatenate([single[:, 0], single[:, 1], *((left * _MIX) ^ right).T * _MIX, (left[:, 0] == right[:, 0]).astype(np.uint64)])
+        of = np.concatenate([text, text, *[text[1:][inside]] * 3])
+        keys = np.sort((of << BITS) | ((mixed * _MIX) >> np.uint64(64 - BITS)).astype(np.int32))
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        counts, keys = np.diff(np.append(first, len(keys))), keys[first]
+        of = keys >> BITS
+        share = counts / np.bincount(of, weights=counts, minlength=len(sizes))[of]
+        return len(sizes), of, keys & (DIMENSIONS - 1), np.sqrt(share).astype(np.float32)
 
 
 def leader(z: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -98,7 +126,11 @@ def fit(sample: DataFrame) -> DataFrame:
     def hashed(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
         for texts in parts:
-            yield pd.DataFrame([hasher(t) for t in texts], columns=["at", "value"], dtype=object)
+            out = []
+            for n, of, features, values in hasher(texts):
+                ends = np.searchsorted(of, np.arange(1, n))
+                out += zip(np.split(features, ends), np.split(values, ends))
+            yield pd.DataFrame(out, columns=["at", "value"], dtype=object)
 
     def learned(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [r for part in parts for r in zip(part["draw"], part["label"], part["at"], part["value"])]
@@ -130,10 +162,8 @@ def score(docs: DataFrame, model: DataFrame, text: str = "text", out: str = "sco
         weights[features] = values
         hasher = Hasher()
         for texts in parts:
-            z = np.empty(len(texts))
-            for k, t in enumerate(texts):
-                own, value = hasher(t)
-                z[k] = bias + weights[own] @ value
+            z = np.concatenate([np.zeros(0), *(bias + np.bincount(of, weights=weights[features] * values, minlength=n)
+                                               for n, of, features, values in hasher(texts))])
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     return docs.withColumn(out, scored(F.col(text)))

@@ -35,13 +35,24 @@ def test_steps_against_the_plain_formula(monkeypatch):
     assert np.allclose([*weights, bias], [weight(i) for i in range(7)])
 
 
-def test_features():
-    hasher = quality.Hasher()
-    at, value = hasher("One one TWO two?? 12")
-    assert (np.diff(at) > 0).all() and np.isclose((value**2).sum(), 1) and 0 <= at.min() and at.max() < quality.DIMENSIONS
-    assert len(hasher(None)[0]) == len(hasher(" \n")[0]) == 0
-    assert len(set(hasher("Wow!!")[0]) & set(hasher("Hey!")[0])) == 1  # the shape
-    assert len(set(hasher("no no")[0]) & set(hasher("ça ça")[0])) == 1  # the repetition
+def features(text):
+    n, of, at, value = next(quality.Hasher()([text]))
+    assert n == 1 and not of.any() and (np.diff(at) > 0).all()
+    return set(at.tolist()), value
+
+
+def test_features(monkeypatch):
+    at, value = features("One one TWO two?? 12")
+    assert np.isclose((value**2).sum(), 1) and 0 <= min(at) and max(at) < quality.DIMENSIONS
+    assert features(None)[0] == features(" \n")[0] == set()
+    assert len(features("Wow!!")[0] & features("Hey!")[0]) == 1  # the shape
+    assert len(features("no no")[0] & features("ça ça")[0]) == 1  # the repetition
+    texts = ["a b", None, "c " * 50, "", "a b c d"] * 30
+    whole = list(quality.Hasher()(texts))
+    monkeypatch.setattr(quality, "TOGETHER", 60)
+    parts = list(quality.Hasher()(texts))
+    assert len(whole) == 1 < len(parts) and sum(p[0] for p in parts) == len(texts)
+    assert np.array_equal(whole[0][2], np.concatenate([p[2] for p in parts])) and np.array_equal(whole[0][3], np.concatenate([p[3] for p in parts]))
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
