@@ -6,8 +6,10 @@ deadline, so at any slot each source is less than one block away from its share
 corpus and however many the sources.  Rows get their rank in the source in a seeded random order; a
 source that ends leaves its slots empty, save that blocks which wait may take them.
 
-The order of blocks is settled on the driver, one step of a heap per block of BLOCK_ROWS rows, and
-written out in pieces of PIECE blocks; rows never pass through it.
+Earliest deadline first is sequential, so the order of blocks is settled on the driver, one step of a heap
+per block.  A block has BLOCK_ROWS rows, and more in a corpus of over BLOCKS such blocks, so that the
+driver takes about BLOCKS steps (and one more per source) whatever the number of rows; rows never pass
+through it.  Deviations are below one block, at most 1 / BLOCKS of such a corpus.
 """
 
 from __future__ import annotations
@@ -16,9 +18,6 @@ import heapq
 import math
 from collections.abc import Iterator, Mapping
 from fractions import Fraction
-from itertools import islice
-
-import pyarrow as pa
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -26,50 +25,20 @@ from pyspark.sql import functions as F
 
 from evalweave.llm.common import identified
 from evalweave.plans.ranked import with_running
-from evalweave.plans.shared import cut, scratch_path, small_side
+from evalweave.plans.shared import cut, small_side
 
-PERIOD = 1000  # of parts() alone
 BLOCK_ROWS = 32
-PIECE = 100_000
+BLOCKS = 1 << 17
 SEED = 17
 TEMPERATURE = 0.5
 
 
-def parts(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
-    """Whole parts of the period by largest remainder, at least one each; ties go by name."""
-    names = sorted(weights, key=lambda s: (s is None, s or ""))
-    if len(names) > period:
-        raise ValueError(f"{len(names)} sources need a period of that many blocks; merge sources first")
-    if any(not weights[s] > 0 for s in names):
-        raise ValueError("weights must be positive")
-    total = math.fsum(weights[s] for s in names)
-    ideal = {s: weights[s] / total * period for s in names}
-    out = {s: max(1, math.floor(ideal[s])) for s in names}
-    while sum(out.values()) != period:
-        if sum(out.values()) < period:
-            s = max(names, key=lambda s: ideal[s] - out[s])
-            out[s] += 1
-        else:
-            s = max((s for s in names if out[s] > 1), key=lambda s: out[s] - ideal[s])
-            out[s] -= 1
-    return out
-
-
-def schedule(shares: Mapping[str | None, int]) -> list[dict]:
-    """One period: source, turn (block number in the period), slot, release and deadline of each block."""
-    period = sum(shares.values())
-    turn = dict.fromkeys(shares, 0)
-    table = []
-    for slot in range(period):
-        due = [(-(-(i + 1) * period // shares[s]), k, s, i) for k, (s, i) in enumerate(turn.items())
-               if i < shares[s] and i * period // shares[s] <= slot]
-        deadline, _, s, i = min(due)
-        table.append({"source": s, "parts": shares[s], "turn": i, "slot": slot, "release": i * period // shares[s], "deadline": deadline})
-        turn[s] += 1
-    return table
-
-
-def blocks(counts: Mapping[str | None, int], weights: Mapping[str | None, float]) -> Iterator[tuple]:
+def block_rows(total: int) -> int:
+    """Rows of a block in a corpus of so many rows."""
+    return max(BLOCK_ROWS, -(-total // BLOCKS))
+
+
+def blocks(counts: Mapping[str | None, int], weights: Mapping[str | None, float], size: int = BLOCK_ROWS) -> Iterator[tuple]:
     """(source, block, release, deadline, slot, first position), in slot order, for sources of so many rows.
 
     Weights are taken as the exact values of their floats.  Ties of deadlines go by name.
@@ -84,7 +53,7 @@ def blocks(counts: Mapping[str | None, int], weights: Mapping[str | None, float]
     total = sum(whole.values())
     names = sorted((s for s in counts if counts[s]), key=lambda s: (s is None, s or ""))
     share, rows = [whole[s] for s in names], [counts[s] for s in names]
-    ends = [-(-n // BLOCK_ROWS) for n in rows]
+    ends = [-(-n // size) for n in rows]
     waiting = [(0, k, 0) for k in range(len(names))]  # by release
     ready: list[tuple] = []  # by deadline
     slot = first = 0
@@ -98,23 +67,16 @@ def blocks(counts: Mapping[str | None, int], weights: Mapping[str | None, float]
         if deadline >= 1 << 63:
             raise ValueError(f"the weight of source {names[k]} is too small for 64-bit slots")
         yield names[k], i, release, deadline, slot, first
-        first += min(BLOCK_ROWS, rows[k] - i * BLOCK_ROWS)
+        first += min(size, rows[k] - i * size)
         if i + 1 < ends[k]:
             heapq.heappush(waiting, ((i + 1) * total // share[k], k, i + 1))
         slot += 1
 
 
 def _table(spark: SparkSession, rows: Iterator[tuple]) -> DataFrame:
-    """The blocks as a scratch table; the driver holds one piece at a time."""
-    names = ("named", "at", "release", "deadline", "slot", "first")
-    kinds = pa.schema([(n, pa.string() if n == "named" else pa.int64()) for n in names])
-    path = scratch_path(spark, "blocks")
-    piece = list(islice(rows, PIECE))
-    while True:
-        table = pa.table(dict(zip(names, zip(*piece) if piece else [[]] * len(names))), schema=kinds)
-        spark.createDataFrame(table).write.mode("append").parquet(path)
-        if not (piece := list(islice(rows, PIECE))):
-            return spark.read.parquet(path)
+    """The blocks as a scratch table; there are about BLOCKS of them."""
+    kinds = "named string, at long, release long, deadline long, slot long, first long"
+    return cut(spark.createDataFrame(list(rows), kinds))
 
 
 def positions(rows: DataFrame, weights: Mapping[str | None, float] | None = None) -> DataFrame:
@@ -126,12 +88,13 @@ def positions(rows: DataFrame, weights: Mapping[str | None, float] | None = None
     counts = {r["source"]: r["count"] for r in rows.groupBy("source").count().collect()}  # one row per source
     if weights is None:
         weights = {s: n ** TEMPERATURE for s, n in counts.items()}
-    look = _table(rows.sparkSession, blocks(counts, weights))
+    size = block_rows(sum(counts.values()))
+    look = _table(rows.sparkSession, blocks(counts, weights, size))
     ranked = with_running(rows, ["source"], [F.col("draw"), F.col("key")])
-    placed = ranked.withColumn("block", F.floor((F.col("rank") - 1) / BLOCK_ROWS))
+    placed = ranked.withColumn("block", F.floor((F.col("rank") - 1) / size))
     timed = placed.join(look, F.col("source").eqNullSafe(F.col("named")) & (F.col("block") == F.col("at")))
     return timed.select("key", "source", "block", "release", "deadline", "slot",
-                        (F.col("first") + (F.col("rank") - 1) % BLOCK_ROWS).alias("position"))
+                        (F.col("first") + (F.col("rank") - 1) % size).alias("position"))
 
 
 def order(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", weights: Mapping[str | None, float] | None = None) -> DataFrame:

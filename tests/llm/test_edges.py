@@ -136,12 +136,32 @@ def test_mixing(rows, empty, spark):
     got = mixing.order(rows).toPandas()
     assert sorted(got.position) == list(range(9)) and mixing.order(empty).count() == 0
     assert mixing.mixed(rows).columns == rows.columns and mixing.mixed(rows).count() == 9
-    table = mixing.schedule(mixing.parts({"a": 5, "b": 3, None: 2}, 10))
-    assert [r["slot"] for r in table] == list(range(10)) and all(r["release"] <= r["slot"] < r["deadline"] for r in table)
     with pytest.raises(ValueError):
-        mixing.parts({"a": 0.0})
-    many = mixing.parts({str(i): 1 + i % 7 for i in range(333)})
-    assert sum(many.values()) == mixing.PERIOD and all(r["slot"] < r["deadline"] for r in mixing.schedule(many))
+        list(mixing.blocks({"a": 5}, {"a": 0.0}))
+    with pytest.raises(ValueError):
+        list(mixing.blocks({"a": 5}, {"b": 1.0}))
+
+
+@pytest.mark.parametrize("size", [1, 32, 1000])
+def test_mixing_lag(size):
+    """Every source stays within one block of its share, and every block in its window, while all sources last."""
+    counts = {f"s{i}": 40 * size + 13 * i for i in range(9)} | {None: 90 * size}
+    weights = {s: n ** 0.5 if s != "s3" else 1e-3 for s, n in counts.items()}
+    table = list(mixing.blocks(counts, weights, size))
+    total, ends = sum(weights.values()), {s: -(-n // size) for s, n in counts.items()}
+    assert sorted((r[0] or "", r[1]) for r in table) == sorted((s or "", i) for s, n in ends.items() for i in range(n))
+    assert all(r[2] <= r[4] < r[3] for r in table) and [r[4] for r in table] == sorted({r[4] for r in table})
+    done, last = dict.fromkeys(counts, 0), min(max(r[4] for r in table if r[0] == s) for s in counts if s != "s3")
+    for t, r in enumerate(table):
+        if t > last:
+            break
+        done[r[0]] += 1
+        assert all(abs(done[s] - weights[s] / total * (t + 1)) < 1 for s in counts)
+
+
+def test_mixing_work_is_bounded():
+    assert mixing.block_rows(1000) == mixing.BLOCK_ROWS
+    assert 10**10 / mixing.block_rows(10**10) <= mixing.BLOCKS
 
 
 def test_simhash(rows, empty):

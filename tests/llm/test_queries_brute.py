@@ -139,14 +139,14 @@ def test_op9(spark, docs):
     assert sorted(got.doc_id) == sorted(docs.doc_id) and sorted(got.position) == list(range(len(docs)))
     assert ((got.release <= got.slot) & (got.slot < got.deadline)).all()
     n = docs.groupby("source").size()
-    parts = mixing.parts({s: c ** 0.5 for s, c in n.items()})
+    weights = n ** mixing.TEMPERATURE / (n ** mixing.TEMPERATURE).sum()
     blocks = got.groupby(["source", "block"]).slot.agg(["min", "max"])
     assert (blocks["min"] == blocks["max"]).all()
     shortest = min(got[got.source == s].slot.max() for s in n.index)
     for t in range(0, int(shortest) + 1):
         for s in n.index:
             done = (blocks.loc[s]["max"] < t).sum()
-            assert abs(done - parts[s] * t / mixing.PERIOD) < 1
+            assert abs(done - weights[s] * t) < 1
 
 
 def test_op10(spark, docs):
