@@ -8,13 +8,24 @@ from pyspark.sql import functions as F
 
 from evalweave.plans.shared import cut
 
-# Rows per Arrow batch: documents may hold megabytes of text.
+# Rows and bytes per Arrow batch: documents and blocks of vectors may hold megabytes.
 BATCH_ROWS = 256
+BATCH_BYTES = 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, so that Python tasks hold little text at a time."""
+    """Arrow batches of few rows and bytes, so that Python tasks hold little at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def grid(rows: int, columns: int, cores: int, cell: int) -> tuple[int, int]:
+    """Lines and columns of the cells in which two sides of so many blocks meet.
+
+    A cell has about ``cell`` blocks of either side, fewer where all cores would not else have one.
+    """
+    lines = max(1, min(rows, max(-(-rows // cell), cores)))
+    return lines, max(1, min(columns, max(-(-columns // cell), -(-cores // lines))))
 
 
 def identified(df: DataFrame, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import identified
+from evalweave.llm.common import grid, identified, small_batches
 from evalweave.plans.shared import cut
 
 SCALE = 256
@@ -170,17 +170,14 @@ def mine(vectors: DataFrame, is_anchor: Column, key: str = "vec_id", label: str
     if not 0 <= low <= high <= 100:
         raise ValueError("0 <= low <= high <= 100")
     spark = vectors.sparkSession
+    small_batches(spark)
     marked = identified(vectors, "row").withColumn("_is_anchor", F.coalesce(is_anchor, F.lit(False)))
     if label == "row" or key == "row" or vector == "row":
         raise ValueError("the column name row is taken")
     rows = cut(_prepared(marked, key, label, vector).mapInPandas(_blocks(BLOCK_ROWS), BLOCK))
     anchors = cut(_prepared(marked.where("_is_anchor"), key, label, vector).mapInPandas(_blocks(ANCHOR_ROWS), BLOCK))
 
-    # The grid: few enough blocks in a cell for short tasks, and cells enough for all cores.
-    n, m = rows.count(), anchors.count()
-    cores = spark.sparkContext.defaultParallelism
-    lines = max(1, min(n, max(-(-n // CELL), cores)))
-    columns = max(1, min(m, max(-(-m // CELL), -(-cores // lines))))
+    lines, columns = grid(rows.count(), anchors.count(), spark.sparkContext.defaultParallelism, CELL)
     spread = lambda size: F.sequence(F.lit(0), F.lit(size - 1))
     place = lambda size: F.pmod(F.xxhash64("ids", "rows"), F.lit(size)).cast("int")
     left = rows.withColumn("line", place(lines)).withColumn("column", F.explode(spread(columns)))

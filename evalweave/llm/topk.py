@@ -8,7 +8,7 @@ weight is left.  Those result slices select the best rows from the most signific
 rows that tie at the boundary are resolved by their ids.
 
 Blocks are built where the rows lie, and queries meet blocks on a grid of cells (parts of the query
-set by parts of the index), so no side is held whole anywhere.
+set by parts of the index) whose size follows the counted blocks, so no side is held whole anywhere.
 """
 
 from __future__ import annotations
@@ -22,12 +22,13 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalweave.llm.common import grid, small_batches
 from evalweave.plans.shared import cut
 
 SCALE = 256
 BLOCK_ROWS = 8192
 QUERY_ROWS = 128
-GRID = 16
+CELL = 16  # blocks of either side that one task takes at most, on average
 LIMIT = 1 << 62  # quantised components of this size or more do not fit in a long
 BLOCK = "part long, rows int, dims int, bits int, ids binary, slices binary"
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -215,12 +216,15 @@ def search(index: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", ve
                 if out:
                     yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out)))))
 
+    small_batches(index.sparkSession)
     asked = _clean(queries, key, vector).groupBy("id").agg(F.max("q").alias("q"))
-    spread = F.sequence(F.lit(0), F.lit(GRID - 1))
-    of = lambda c: F.pmod(F.xxhash64(c), F.lit(GRID)).cast("int")
-    left = asked.mapInPandas(chunks, "n int, q_dims int, query_ids binary, values binary").withColumn(
-        "column", of("query_ids")).withColumn("line", F.explode(spread))
-    right = index.drop("part").withColumn("line", of("ids")).withColumn("column", F.explode(spread))
+    parts = cut(asked.mapInPandas(chunks, "n int, q_dims int, query_ids binary, values binary"))
+    # Either side is copied once for each line or column of the other, which follow the counted blocks.
+    lines, columns = grid(index.count(), parts.count(), index.sparkSession.sparkContext.defaultParallelism, CELL)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = parts.withColumn("column", of("query_ids", columns)).withColumn("line", every(lines))
+    right = index.drop("part").withColumn("line", of("ids", lines)).withColumn("column", every(columns))
     best = right.join(left, ["line", "column"]).mapInPandas(scored, "query_id long, vec_id long, score long")
     found = best.withColumn("rank", F.expr(
         "row_number() over (partition by query_id order by score desc, vec_id)")).where(F.col("rank") <= k)
