@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from evalweave.llm.common import small_batches
 
-CACHE = 500_000
+CACHE = 200_000
 LONGEST_CACHED = 64
 
 
@@ -76,7 +76,6 @@ class Codec:
         self.encode_pieces = sentencepiece.SentencePieceProcessor(model_proto=model).encode
         self.cut = regex.compile(pattern).findall
         self.letters = byte_letters()
-        self.tokens = np.array(tokens, dtype=object)
         self.whole = {t: i for i, t in enumerate(tokens)}
         self.known: dict[str, bytes] = {}
 
@@ -96,10 +95,6 @@ class Codec:
         known, piece = self.known.get, self.piece
         return b"".join([known(p) or piece(p) for p in self.cut(text or "")])
 
-    def decode(self, packed: bytes | None) -> bytes:
-        ids = np.frombuffer(packed or b"", dtype="<u4")
-        return b"".join(self.tokens[ids].tolist())
-
 
 def _codec(spark: SparkSession, tokens: list[bytes], pattern: str):
     shared = spark.sparkContext.broadcast((sentencepiece_model(tokens), tokens, pattern))  # bounded by the vocabulary
@@ -138,6 +133,29 @@ def decode(docs: DataFrame, tokens: list[bytes], ids: str = "ids", out: str = "d
     return docs.withColumn(out, decoded(F.coalesce(F.col(ids), F.lit(b""))))
 
 
+def round_trip(docs: DataFrame, tokens: list[bytes], pattern: str, text: str = "text") -> DataFrame:
+    """Add ids (array<int>), n_tokens and round_trip: whether the ids decode to the bytes of the text.
+
+    Encoding and decoding run in one Python step, with one worker a task.  NULL texts count as empty;
+    columns of these names are replaced.
+    """
+    small_batches(docs.sparkSession)
+    codec = _codec(docs.sparkSession, tokens, pattern)
+
+    @F.pandas_udf("ids array<int>, same boolean")
+    def coded(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = codec()
+        table = np.array(list(own.whole), dtype=object)
+        for texts in parts:
+            ids = [np.frombuffer(own.encode(t), dtype="<i4") for t in texts]
+            same = [b"".join(table[i].tolist()) == t.encode("utf-8", "surrogatepass") for i, t in zip(ids, texts)]
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "same": pd.Series(same, dtype=bool)})
+
+    inner = "_coded_by_bpe"
+    return docs.withColumn(inner, coded(F.coalesce(F.col(text), F.lit("")))).withColumns({
+        "ids": F.col(f"{inner}.ids"), "n_tokens": F.size(f"{inner}.ids").cast("long"), "round_trip": F.col(f"{inner}.same")}).drop(inner)
+
+
 def unpack(docs: DataFrame, ids: str = "ids", out: str = "ids") -> DataFrame:
     """Turn packed ids into array<int>."""
     small_batches(docs.sparkSession)
