@@ -4,8 +4,8 @@ Each language's dictionary is sampled text of that language.  A text is reduced
 lower-case words and cut into windows; the language whose dictionary compresses the windows to the fewest bytes is predicted, and
 the prediction is rejected (``accepted`` false) when the margin to the second is narrow.
 
-The fit uses at most SAMPLE texts of each of at most LANGUAGES languages, CHARS characters of each;
-predictions read whole texts.
+The fit uses at most SAMPLE texts of each of at most LANGUAGES languages; of a longer text CHARS
+characters from a place that its hash gives.  Predictions read whole texts.
 """
 
 from __future__ import annotations
@@ -45,7 +45,8 @@ def fit(rows: DataFrame) -> dict[str, bytes]:
     names = known.where(F.col("label").isNotNull()).select("label").distinct().limit(LANGUAGES + 1).count()
     if names > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
-    sample = bounded_sample(known, SAMPLE).select("label", "draw", F.substring("text", 1, CHARS).alias("text"))
+    start = F.pmod(F.xxhash64("draw"), F.greatest(F.length("text") - CHARS, F.lit(0)) + 1).cast("int") + 1
+    sample = bounded_sample(known, SAMPLE).select("label", "draw", F.substring("text", start, F.lit(CHARS)).alias("text"))
     texts: dict[str, list[bytes]] = {}
     for r in sorted(sample.collect(), key=lambda r: (r.label, r.draw)):  # LANGUAGES * SAMPLE texts of CHARS characters
         texts.setdefault(r.label, []).append(plain(r.text))
