@@ -3,7 +3,8 @@
 List entries are dated additions and removals of a pattern (a domain with its subdomains, or a URL
 prefix) in a category.  They become validity intervals; every capture is evaluated against the
 entries active when it was fetched.  A capture asks for all parents of its host and all path
-prefixes of its URL, so the join is an equality on the pattern plus a time condition.
+prefixes of its URL, so the join is an equality on the pattern plus a time condition.  A domain covers
+its subdomains; a pattern with a path covers that path and below on its own host alone.
 """
 
 from __future__ import annotations
