@@ -75,8 +75,8 @@ def test_choice_letter(spark, source, want):
     ("7, and ., -", "7"), ("12,345,6", "6"), ("x 1.", "1"),
 ])
 def test_last_number(spark, source, want):
-    import re
-    plain = re.findall(text.NUMBER, source)
+    import regex
+    plain = regex.findall(text.NUMBER, source)
     assert (plain[-1] if plain else None) == want
     assert spark.range(1).select(text.last_number(F.lit(source)).alias("x")).first().x == want
 
