@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalweave.functions.scoring import ensure_columns, gold_or_letter
+from evalweave.sources import versioned
 
 # Columns of the three report tables.
 MAIN_FIELDS = """cell_id task model_family model_id quant_config seed n pass_at_1 pass_at_1_ci95_low
@@ -46,14 +47,27 @@ def _replace(df: DataFrame, path: str, kind: str, partition_cols: Sequence[str],
         files.delete(at(old), True)
 
 
-def write_jsonl(df: DataFrame, path: str, *, partition_cols: Sequence[str] = ()) -> None:
-    """Replace a line-JSON table once the new one is complete."""
-    _replace(df, path, "json", partition_cols, ignoreNullFields=False)
+def _write(df: DataFrame, path: str, kind: str, partition_cols: Sequence[str], as_version: bool, **options: object) -> None:
+    if as_version:
+        versioned.publish(df, path, kind, partition_cols=partition_cols, **options)
+    else:
+        _replace(df, path, kind, partition_cols, **options)
 
 
-def write_parquet(df: DataFrame, path: str, *, partition_cols: Sequence[str] = ("cell_id",)) -> None:
+def write_jsonl(df: DataFrame, path: str, *, partition_cols: Sequence[str] = (), as_version: bool = False) -> None:
+    """Replace a line-JSON table once the new one is complete.
+
+    A plain folder is swapped by two renames, between which a reader may find nothing.  ``as_version``
+    writes a new version of a versioned table instead: readers (``versioned.load``) see no gap.
+    """
+    _write(df, path, "json", partition_cols, as_version, ignoreNullFields=False)
+
+
+def write_parquet(
+    df: DataFrame, path: str, *, partition_cols: Sequence[str] = ("cell_id",), as_version: bool = False
+) -> None:
     """Replace a Parquet table, by default one directory per cell so that cell filters prune."""
-    _replace(df, path, "parquet", partition_cols)
+    _write(df, path, "parquet", partition_cols, as_version)
 
 
 def flatten(df: DataFrame) -> DataFrame:
@@ -74,8 +88,9 @@ def table_of(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f) if f in have else F.lit(None).cast("string").alias(f) for f in fields])
 
 
-def write_csv(df: DataFrame, path: str, fields: Sequence[str]) -> None:
-    table_of(df, fields).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, fields: Sequence[str], *, as_version: bool = False) -> None:
+    """Replace a CSV table of the given fields once the new one is complete."""
+    _write(table_of(df, fields), path, "csv", (), as_version, header=True)
 
 
 def response_cache(scored: DataFrame, limit: int | None = None, order: Sequence[str] = ("cell_id", "id", "sample_index")) -> DataFrame:
