@@ -11,6 +11,8 @@ from evalweave.functions.scoring import is_true
 from evalweave.functions.stats import erfc, erfc_expression, mean_std_text
 from evalweave.operators.bootstrap import cluster_bootstrap_ci
 from evalweave.operators.calibration import merge_groups
+from evalweave.plans.ranked import WINDOW_ROWS, fits_window, with_running
+from evalweave.plans.shared import cut
 
 
 def last_per_item(
@@ -87,20 +89,29 @@ def compare_with_baseline(
 
 
 def holm_adjusted(
-    df: DataFrame, p_col: str, family: Sequence[str], tie_keys: Sequence[str], name: str = "p_value_holm"
+    df: DataFrame, p_col: str, family: Sequence[str], tie_keys: Sequence[str], name: str = "p_value_holm",
+    window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """Holm step-down adjusted p-values within a family of comparisons.
 
-    A family holds one row per planned comparison, so its window stays small.
+    Families are counted: up to ``window_rows`` rows one window serves, beyond that ranks and the running
+    maximum are taken in slices and no task holds a family.  A NULL p-value has no adjusted one.
     """
-    order = Window.partitionBy(*family).orderBy(F.col(p_col).asc_nulls_last(), *tie_keys)
-    m = F.count(p_col).over(Window.partitionBy(*family))
-    raw = F.least(F.lit(1.0), (m - F.row_number().over(order) + 1) * F.col(p_col))
-    return df.withColumn("_raw", raw).withColumn(
-        name,
-        F.when(F.col(p_col).isNotNull(),
-               F.max("_raw").over(order.rowsBetween(Window.unboundedPreceding, 0))),
-    ).drop("_raw")
+    fixed, order = cut(df), [F.col(p_col).asc_nulls_last(), *map(F.col, tie_keys)]
+    if fits_window(fixed, family, window_rows):
+        window = Window.partitionBy(*family).orderBy(*order)
+        m = F.count(p_col).over(Window.partitionBy(*family))
+        raw = F.least(F.lit(1.0), (m - F.row_number().over(window) + 1) * F.col(p_col))
+        steps = fixed.withColumn("_raw", raw).withColumn(
+            "_most", F.max("_raw").over(window.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        tested = with_running(fixed.filter(F.col(p_col).isNotNull()), family, order)
+        raw = F.least(F.lit(1.0), (F.col("group_rows") - F.col("rank") + 1) * F.col(p_col))
+        stepped = tested.withColumn("_raw", raw).drop("rank", "group_rows")
+        steps = with_running(stepped, family, order, greatest_upto={"_most": "_raw"}).unionByName(
+            fixed.filter(F.col(p_col).isNull()), allowMissingColumns=True)
+    adjusted = F.when(F.col(p_col).isNotNull(), F.col("_most"))
+    return steps.select(*[c for c in fixed.columns if c != name], adjusted.alias(name))
 
 
 def paired_report(df: DataFrame, baseline: str, *, cell_col: str = "cell_id", **options: object) -> DataFrame:

@@ -1,7 +1,7 @@
 """Pareto frontier of accuracy against cost over cell summaries.
 
-Inputs hold one row per cell, an aggregate over all its responses, so a window per family is
-small whatever the size of the response table.
+Inputs hold one row per cell, an aggregate over all its responses.  Families are counted; where one
+has more rows than a window should hold, the running minimum of the costs is taken in slices.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from evalweave.functions.scoring import ensure_columns
 from evalweave.functions.stats import finite
+from evalweave.plans.ranked import WINDOW_ROWS, fits_window, with_running
+from evalweave.plans.shared import cut
 
 
 def in_family(summaries: DataFrame, hint: str) -> DataFrame:
@@ -22,8 +24,14 @@ def in_family(summaries: DataFrame, hint: str) -> DataFrame:
     return df.filter(F.lower(text).contains(hint.lower()))
 
 
-def frontier_points(summaries: DataFrame, *, family_cols: Sequence[str] = ()) -> DataFrame:
-    """Cells with a finite cost, with a flag for the non-dominated ones."""
+def frontier_points(
+    summaries: DataFrame, *, family_cols: Sequence[str] = (), window_rows: int = WINDOW_ROWS
+) -> DataFrame:
+    """Cells with a finite cost, with a flag for the non-dominated ones.
+
+    A point is on the frontier if it costs less than all points that come before it by accuracy, cost and
+    name.  Families of any size: beyond ``window_rows`` no task holds a whole one.
+    """
     df = ensure_columns(summaries, quant_config="string", latency_sec_mean="double", peak_vram_gb_max="double")
     points = df.select(
         *family_cols,
@@ -34,15 +42,14 @@ def frontier_points(summaries: DataFrame, *, family_cols: Sequence[str] = ()) ->
         F.coalesce(F.col("latency_sec_mean").cast("double"), F.lit(0.0)).alias("latency_sec_mean"),
         "peak_vram_gb_max",
     ).filter(F.col("cost_per_correct_seconds").isNotNull())
-    better = (
-        Window.partitionBy(*family_cols)
-        .orderBy(F.desc("pass_at_1"), "cost_per_correct_seconds", "cell_id")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    cheapest = F.min("cost_per_correct_seconds").over(better)
-    return points.withColumn(
-        "on_pareto_frontier", cheapest.isNull() | (F.col("cost_per_correct_seconds") < cheapest)
-    )
+    points, order = cut(points), [F.desc("pass_at_1"), F.col("cost_per_correct_seconds"), F.col("cell_id")]
+    if fits_window(points, family_cols, window_rows):
+        better = Window.partitionBy(*family_cols).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        placed = points.withColumn("_cheapest", F.min("cost_per_correct_seconds").over(better))
+    else:
+        placed = with_running(points, family_cols, order, least_before={"_cheapest": "cost_per_correct_seconds"})
+    on = F.col("_cheapest").isNull() | (F.col("cost_per_correct_seconds") < F.col("_cheapest"))
+    return placed.select(*points.columns, on.alias("on_pareto_frontier"))
 
 
 def frontier_report(summaries: DataFrame, *, family_cols: Sequence[str] = ()) -> DataFrame:
