@@ -32,7 +32,8 @@ def summary_with_intervals(
     )
     opts = {"group_cols": group_cols, "n_resamples": n_resamples}
     passes = bootstrap.bootstrap_ci(scored, {"x": is_true(F.col("correct")).cast("int")}, **opts)
-    costs = bootstrap.cost_per_correct_ci(scored, **opts)
+    # The summary's cost counts the correct answers of all rows, so the interval does as well.
+    costs = bootstrap.cost_per_correct_ci(scored, untimed_as_zero=True, **opts)
     clusters = bootstrap.cluster_bootstrap_ci(scored, **opts)
     # Cluster intervals only where every row has an id.
     complete = scored.groupBy(*group_cols).agg(F.bool_and(F.col("id").isNotNull()).alias("_ids"))
