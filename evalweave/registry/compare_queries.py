@@ -122,6 +122,49 @@ def cost_per_correct_bootstrap(spark, sf_dir):
     return _with_error(bootstrap.cost_per_correct_ci(rows), timed, F.sqrt(spread * F.count(F.lit(1))) / F.sum("h"))
 
 
+def _quantile_sql(probs):
+    return " union all ".join(f"select cell_id, {p}e0 as prob, count(latency_sec) as n, quantile_cont(latency_sec, {p}e0) as value from scored group by 1" for p in probs)
+
+
+_PROBS = (0.25, 0.5, 0.95)
+
+
+@query("bootstrap_quantiles", V.SCORED_SQL + f"""
+  select cell_id, prob, n, round(value, 6) as value, round(sqrt(prob * (1 - prob) / n), 6) as rank_error, true as interval_near_normal
+  from ({_quantile_sql(_PROBS)})""")
+def bootstrap_quantiles(spark, sf_dir):
+    """Median, lower quartile and tail latency.  An interval end is judged by the share of rows below it, whose
+    standard error SQL knows for any distribution."""
+    rows = cut(V.scored(spark, sf_dir).select("cell_id", "latency_sec").filter("latency_sec is not null"))
+    found = cut(bootstrap.bootstrap_quantile_ci(rows, F.col("latency_sec"), _PROBS))
+    below = lambda end: F.count_if(F.col("latency_sec") <= F.col(end)) / F.count(F.lit(1))
+    ranks = rows.join(found, "cell_id").groupBy("cell_id", "prob").agg(below("ci_low").alias("low"), below("ci_high").alias("high"))
+    error = F.sqrt(F.col("prob") * (1 - F.col("prob")) / F.col("n"))
+    out = found.join(ranks, ["cell_id", "prob"]).withColumn("rank_error", error)
+    near = V.near_normal(F.col("prob"), F.col("rank_error"), "low", "high").alias("interval_near_normal")
+    return V.rounded(out.select("cell_id", "prob", "n", "value", "rank_error", near))
+
+
+def _trimmed(levels, counts):
+    """Mean of the middle nine tenths of a weighted sample."""
+    import numpy as np
+    upto = np.cumsum(counts)
+    low, high = upto[-1] // 20, upto[-1] - upto[-1] // 20
+    kept = np.clip(np.minimum(upto, high) - np.maximum(upto - counts, low), 0, None)
+    return float((levels[:, 0] * kept).sum() / kept.sum())
+
+
+@query("bootstrap_trimmed_mean", V.SCORED_SQL + """,
+  placed as (select cell_id, reasoning_steps as x, row_number() over (partition by cell_id order by reasoning_steps) as k,
+    count(*) over (partition by cell_id) as n from scored)
+  select cell_id, any_value(n) as n, round(avg(x) filter (k > n // 20 and k <= n - n // 20), 6) as value, true as around from placed group by cell_id""")
+def bootstrap_trimmed_mean(spark, sf_dir):
+    """A statistic given as a function of levels and counts."""
+    found = bootstrap.bootstrap_statistic_ci(V.scored(spark, sf_dir), {"x": F.col("reasoning_steps")}, _trimmed, n_resamples=400)
+    around = F.col("value").between(F.col("ci_low"), F.col("ci_high")).alias("around")
+    return V.rounded(found.select("cell_id", "n", "value", around))
+
+
 # The point values that the intervals surround, with an oracle of their own.
 @query("bootstrap_point_values", V.SCORED_SQL + """,
   clusters as (select cell_id, id, avg(cast(correct as int)) as m from scored where correct is not null group by 1, 2),

@@ -1,12 +1,15 @@
 """Summary, cost, seed, frontier and report-table queries."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import functions as F
 
 from evalweave.functions import identity
 from evalweave.functions.scoring import is_true
-from evalweave.operators import comparison, frontier, quantiles, summary
+from evalweave.operators import comparison, frontier, incremental, quantiles, summary
 from evalweave.plans import reports
-from evalweave.plans.shared import cut
+from evalweave.plans.shared import cut, scratch_path
 from evalweave.registry import views as V
 from evalweave.registry.catalog import query
 from evalweave.registry.text_queries import _FLAGS
@@ -227,8 +230,12 @@ def _tables(spark, sf_dir, intervals=True):
     meta = V.small_table(spark, _MODELS, "cell_id string, model_id string")
     df = cut(V.scored(spark, sf_dir))
     names = df.groupBy("cell_id").agg(*[F.first(c).alias(c) for c in ("model_path", "task", "quant_config", "seed")])
+    hit, cost = is_true(F.col("correct")).cast("int"), F.coalesce("latency_sec", F.lit(0.0))
+    ratio = F.sum(cost) / F.sum(hit)
+    spread = F.var_pop(cost) + ratio * ratio * F.var_pop(hit) - 2 * ratio * F.covar_pop(cost, hit)  # of cost - ratio * hit
     errors = df.groupBy("cell_id").agg(
-        (F.stddev_pop(is_true(F.col("correct")).cast("int")) / F.sqrt(F.count(F.lit(1)))).alias("std_error"))
+        (F.stddev_pop(hit) / F.sqrt(F.count(F.lit(1)))).alias("std_error"),
+        (F.sqrt(spread * F.count(F.lit(1))) / F.sum(hit)).alias("cost_std_error"))
     made = reports.summary_with_intervals(df) if intervals else summary.cell_summary(df, medians=False)
     rows = summary.merge_groups([made, names], ["cell_id"])
     return reports.report_tables(rows, meta), errors
@@ -240,7 +247,7 @@ def _tables(spark, sf_dir, intervals=True):
 def report_table_main(spark, sf_dir):
     tables, errors = _tables(spark, sf_dir)
     ends = ["pass_at_1_ci95_low", "pass_at_1_ci95_high"]
-    out = summary.merge_groups([tables["main"], errors], ["cell_id"])
+    out = summary.merge_groups([tables["main"], errors.drop("cost_std_error")], ["cell_id"])
     return V.rounded(out.withColumn("interval_near_normal", V.near_normal(F.col("pass_at_1"), F.col("std_error"), *ends)).drop(*ends))
 
 
@@ -251,14 +258,18 @@ def report_table_main(spark, sf_dir):
     round(reasoning_steps_mean, 6) as reasoning_steps_mean, round(total_gpu_seconds, 6) as total_gpu_seconds,
     round(cost_per_correct_seconds, 6) as cost_per_correct_seconds, round(cost_of_pass_seconds, 6) as cost_of_pass_seconds,
     round(latency_sec_p50, 6) as latency_sec_p50, round(completion_tokens_p50, 6) as completion_tokens_p50,
-    true as interval_around_cost
+    round(cost_std_error, 6) as cost_std_error, true as interval_near_normal
   from tabled join (select cell_id, median(latency_sec) as latency_sec_p50, median(completion_tokens) as completion_tokens_p50
-    from scored group by cell_id) using (cell_id)""")
+    from scored group by cell_id) using (cell_id)
+  join (select cell_id, sqrt(var_pop(c) + power(sum(c) / sum(h), 2) * var_pop(h) - 2 * (sum(c) / sum(h)) * covar_pop(c, h)) * sqrt(count(*)) / sum(h)
+      as cost_std_error from (select cell_id, coalesce(latency_sec, 0) as c, cast(coalesce(correct, false) as int) as h from scored)
+    group by cell_id) using (cell_id)""")
 def report_table_efficiency(spark, sf_dir):
-    low, high, cost = (F.col(f"cost_per_correct_seconds{end}") for end in ("_ci95_low", "_ci95_high", ""))
-    around = (low < cost) & (cost < high) & (high - low < cost / 2)
-    return V.rounded(_tables(spark, sf_dir)[0]["efficiency"].withColumn("interval_around_cost", around).drop(
-        "cost_per_correct_seconds_ci95_low", "cost_per_correct_seconds_ci95_high"))
+    tables, errors = _tables(spark, sf_dir)
+    ends = ["cost_per_correct_seconds_ci95_low", "cost_per_correct_seconds_ci95_high"]
+    out = summary.merge_groups([tables["efficiency"], errors.drop("std_error")], ["cell_id"])
+    near = V.near_normal(F.col("cost_per_correct_seconds"), F.col("cost_std_error"), *ends)
+    return V.rounded(out.withColumn("interval_near_normal", near).drop(*ends))
 
 
 @query("report_table_failures", V.SCORED_SQL + f""", {runs_sql('cell_id')}, {_WITH_META}
@@ -307,3 +318,25 @@ def cost_of_pass_ratio(spark, sf_dir):
 def seed_rank_reversal(spark, sf_dir):
     df = comparison.rank_reversal_rate(run_summaries(spark, sf_dir), seed_col="run_no")
     return V.rounded(df.select("config_a", "config_b", "reversal_rate"))
+
+
+@query("incremental_summary", V.SCORED_SQL + """
+  select cell_id, count(*) as n, count_if(coalesce(correct, false)) as num_correct, round(avg(latency_sec), 6) as latency_sec_mean,
+    round(min(latency_sec), 6) as latency_sec_min, round(max(completion_tokens), 6) as completion_tokens_max,
+    round(avg(completion_tokens), 6) as completion_tokens_mean, true as within_rank_error from scored group by cell_id""")
+def incremental_summary(spark, sf_dir):
+    """Rows arrive in four loads, one of them twice; the summary merges stored states and reads no row again.  A
+    quantile is judged by the share of rows below it."""
+    rows = cut(V.scored(spark, sf_dir).select(
+        "cell_id", "sd", "correct", "latency_sec", F.col("completion_tokens").cast("double").alias("completion_tokens"), "run_no"))
+    fields, path = ["latency_sec", "completion_tokens"], scratch_path(spark, "states")
+    for load in (0, 1, 1, 2, 3):
+        incremental.add(rows.where(F.col("run_no") % 4 == load).withColumn("day", F.col("sd")), path, ("load", load), fields=fields)
+    found = cut(incremental.summary(incremental.stored(spark, path), fields=fields))
+    bound, probs = incremental.rank_error(), {"p50": 0.5, "p95": 0.95}
+    below = lambda f, q: F.count_if(F.col(f) < F.col(f"{f}_{q}")) / F.count(f)
+    upto = lambda f, q: F.count_if(F.col(f) <= F.col(f"{f}_{q}")) / F.count(f)
+    fits = [(below(f, q) <= p + bound) & (upto(f, q) >= p - bound) for f in fields for q, p in probs.items()]
+    within = rows.select("cell_id", *fields).join(found, "cell_id").groupBy("cell_id").agg(reduce(and_, fits).alias("within_rank_error"))
+    return V.rounded(found.join(within, "cell_id").select(
+        "cell_id", "n", "num_correct", "latency_sec_mean", "latency_sec_min", "completion_tokens_max", "completion_tokens_mean", "within_rank_error"))
