@@ -3,11 +3,11 @@
 from pyspark.sql import functions as F
 
 from evalweave.functions import identity
-from evalweave.operators import gates
+from evalweave.operators import gates, schema
 from evalweave.registry import views as V
 from evalweave.registry.catalog import query
 from evalweave.registry.summary_queries import run_summaries, runs_sql
-from evalweave.sources.schemas import CELL_RULES
+from evalweave.sources.schemas import CELL_RULES, document
 
 # Literature targets (model, task, metric, reference, low, high, maximum, severity).
 TARGETS = [
@@ -107,6 +107,46 @@ def schema_row_errors(spark, sf_dir):
     return found.select("k", F.array_join(F.array_sort("errors"), "; ").alias("errors"))
 
 
+@query("schema_document_errors", _CELL_LINES + f"""
+  select k, array_to_string(list_sort({_ERRORS}), '; ') as errors from docs""")
+def schema_document_errors(spark, sf_dir):
+    """The same lines against the rules as a JSON Schema document."""
+    found = schema.with_schema_errors(_cell_lines(spark, sf_dir), document(CELL_RULES))
+    return found.select("k", F.array_join(F.array_sort("errors"), "; ").alias("errors"))
+
+
+_ORDER_SCHEMA = {
+    "type": "object", "required": ["key", "lines"],
+    "properties": {
+        "key": {"type": "integer"}, "status": {"enum": ["F", "O"]},
+        "lines": {"type": "array", "maxItems": 6, "items": {
+            "type": "object", "required": ["qty"], "properties": {"qty": {"type": "integer", "maximum": 45}, "flag": {"type": ["string", "null"], "pattern": "^[AN]$"}}}},
+    },
+}
+
+
+@query("schema_nested_errors", """
+  with l as (select l_orderkey as k, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 as i,
+      cast(l_quantity as int) as qty, l_returnflag as flag from lineitem),
+  found as (
+    select k, 'lines[' || i || '].qty: is above its maximum' as m from l where qty % 10 <> 0 and qty > 45
+    union all select k, 'lines[' || i || '].qty: required property missing' from l where qty % 10 = 0
+    union all select k, 'lines[' || i || '].flag: does not match its pattern' from l where flag = 'R'
+    union all select k, 'lines: has too many items' from l group by k having count(*) > 6
+    union all select o_orderkey, 'status: is not an allowed value' from orders where o_orderstatus = 'P')
+  select o_orderkey as k, coalesce(string_agg(m, '; ' order by m), '') as errors from orders left join found on k = o_orderkey
+  where o_orderkey in (select k from l) group by o_orderkey""")
+def schema_nested_errors(spark, sf_dir):
+    """Orders with their lines as nested documents: objects in arrays, each message with its place."""
+    lines = V.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("l_quantity").cast("int").alias("qty"), F.col("l_returnflag").alias("flag")))).alias("x"))
+    entry = F.transform("x", lambda e: F.struct(F.when(e["qty"] % 10 != 0, e["qty"]).alias("qty"), e["flag"].alias("flag")))
+    docs = V.table(spark, sf_dir, "orders").join(lines, "o_orderkey").select(F.col("o_orderkey").alias("k"), F.to_json(F.struct(
+        F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), entry.alias("lines"))).alias("value"))
+    found = schema.with_schema_errors(docs, _ORDER_SCHEMA)
+    return found.select("k", F.array_join(F.array_sort("errors"), "; ").alias("errors"))
+
+
 _CELLS = [
     ("level_a_qwen7b_bf16_math500_seed0", 1.05, "abc1234", "cfg_bf16"),
     ("level_b_qwen7b_gptq4_math500_seed1", 1.05, "abc1234", "cfg_gptq4"),

@@ -78,3 +78,12 @@ CELL_RULES = _rules(
 CELL_RULES["cell_id"]["pattern"] = "^[a-z0-9_]+$"
 CELL_RULES["prompt_profile"]["enum"] = ["reproduction", "sober", "default"]
 CELL_RULES["seed"]["minimum"] = 0
+
+
+def document(rules: dict[str, dict[str, object]]) -> dict:
+    """The rules as a JSON Schema document, for ``operators.schema``."""
+    fields = {}
+    for name, rule in rules.items():
+        types = rule.get("types")
+        fields[name] = {k: v for k, v in rule.items() if k not in ("types", "required")} | ({"type": list(types)} if types else {})
+    return {"type": "object", "required": [n for n, r in rules.items() if r.get("required")], "properties": fields}
