@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from evalweave.plans.shared import scratch_path
+from evalweave.plans.shared import cut, scratch_path
 from evalweave.registry import views as V
 from evalweave.registry.catalog import query
+from evalweave.sources import versioned
 from evalweave.streaming import jobs
 
 
@@ -83,3 +84,55 @@ def stream_telemetry(spark, sf_dir):
     latest = F.max_by(F.struct(*[c for c in kept.columns if c not in (*keys, "batch")]), "batch").alias("x")
     out = kept.groupBy(*keys).agg(latest).select(*keys, "x.*")
     return out.withColumns({"window_start": F.col("window_start").cast("double"), "energy_joules": F.round("energy_joules", 6)})
+
+
+_TWICE = """, uniq as (select distinct cell_id, id, sample_index, ok, gold from keyed)"""
+
+
+@query("stream_merging", "with " + V._ctes("lineitem", "keyed", [_KEYED]) + _TWICE + """
+  select cell_id, id, sample_index, case when ok then gold else '0' end as pred_answer, ok as correct, 1 as copies from uniq""")
+def stream_merging(spark, sf_dir):
+    """Exactly once through a restart: the second run, with a state of its own, meets copies of all rows of the first.
+
+    Half of the rows are fresh, half are older than the state keeps keys; the series of batches goes on.
+    """
+    rows = stream_responses(spark, sf_dir).withColumn("ts", F.when(
+        F.col("id").cast("long") % 2 == 0, F.current_timestamp()).otherwise(F.lit("1995-01-01").cast("timestamp")))
+    path, state = scratch_path(spark, "merged"), scratch_path(spark, "merged-state")
+    again = rows.withColumn("ts", F.lit("1995-01-01").cast("timestamp"))
+    for source, checkpoint in ((rows, state), (rows, state), (again, state + "-second")):
+        jobs.start_merging(source, path, checkpoint, event_time="ts", delay="1 hour").awaitTermination()
+    keys = ["cell_id", "id", "sample_index", "pred_answer", "correct"]
+    return versioned.load(spark, path).groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("copies"))
+
+
+@query("stream_energy", V.SAMPLES_SQL + """,
+  gaps as (select *, greatest(0, epoch(ts) - lag(epoch(ts)) over (partition by device order by ts, sample_id)) as dt from samples)
+  select device, count(*) as samples, round(max(mem_bytes) / 1073741824e0, 6) as peak_vram_gb, round(avg(util), 6) as gpu_util_mean,
+    max(util) as gpu_util_max, round(coalesce(sum(power), 0) / count(*), 6) as power_watts_mean, max(power) as power_watts_max,
+    round(case when count(power) > 0 then coalesce(sum(power * dt), 0) end, 3) as energy_joules from gaps group by device""")
+def stream_energy(spark, sf_dir):
+    """Exact energy over four micro-batches and a restart.  Each batch holds its share of the time span and, from the
+    next share, samples that come early, so that the samples of the next batch are late and part their gaps."""
+    jobs.use_rocksdb(spark)
+    source, table, state = (scratch_path(spark, f"energy{part}") for part in ("", "-out", "-state"))
+    samples = V.samples(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    ends = samples.agg(F.min("ts").cast("double").alias("a"), F.max("ts").cast("double").alias("b")).first()
+    share = (F.col("ts").cast("double") - F.lit(ends.a)) / F.lit(max(ends.b - ends.a, 1.0)) * 4
+    early = F.when(F.col("sample_id") % 5 == 0, share - 0.5).otherwise(share)
+    held = cut(samples.withColumn("file", F.least(F.greatest(F.floor(early), F.lit(0)), F.lit(3))))
+    delay = f"{int((ends.b - ends.a) / 7) + 1} seconds"
+
+    def sink(batch, number):
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(table)
+
+    for parts in ((0, 1), (2, 3)):  # the second run goes on from the state of the first
+        for k in parts:
+            held.where(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        (jobs.telemetry_energy(stream, delay=delay).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", state)
+         .trigger(availableNow=True).start().awaitTermination())
+    kept = spark.read.parquet(table)
+    latest = F.max_by(F.struct(*[c for c in kept.columns if c not in ("device", "batch")]), F.struct("batch", "samples")).alias("x")
+    out = kept.groupBy("device").agg(latest).select("device", "x.*").drop("open_samples")
+    return V.rounded(out).withColumn("energy_joules", F.round("energy_joules", 3))

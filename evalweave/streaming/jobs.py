@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from evalweave.functions import identity
-from evalweave.functions.scoring import resolve_confidence, score_responses
+from evalweave.functions.scoring import ensure_columns, resolve_confidence, score_responses
+from evalweave.plans.shared import cut, small_side
+from evalweave.sources import versioned
 
 RESPONSE_KEYS = ("cell_id", "id", "sample_index")
 
@@ -21,7 +28,8 @@ def start_scoring(
     """Score new response files into a Parquet table, each response once.
 
     Without an event time the keys of all responses stay in state; with one, keys older than
-    ``delay`` are forgotten, and a copy that comes later still has to be removed by the reader.
+    ``delay`` are forgotten, and a copy that comes later still has to be removed by the reader;
+    ``start_merging`` removes it in the table.
     """
     if event_time is None:
         unique = responses.dropDuplicates(list(RESPONSE_KEYS))
@@ -34,6 +42,39 @@ def start_scoring(
     )
 
 
+def start_merging(
+    responses: DataFrame, path: str, checkpoint: str, *, event_time: str, delay: str = "1 day", trigger: dict | None = None,
+) -> StreamingQuery:
+    """Score new response files into a versioned table, each response exactly once.
+
+    Keys stay in state for ``delay`` after they arrive.  A row whose event time is NULL or at least
+    ``delay`` old may be a copy of a forgotten one: such late rows, and only these, are compared with the
+    keys that the table holds for their cells, so late first copies are kept and late repeats are not.
+    Every micro-batch is one version of the table, recorded under the checkpoint's name, so a batch that is
+    repeated after a failure adds nothing twice and readers see whole batches.
+    """
+    keys = list(RESPONSE_KEYS)
+    age = f"_arrival - cast({event_time} as timestamp) < interval '{delay}'"
+    marked = responses.withColumn("_arrival", F.current_timestamp()).withWatermark("_arrival", delay).dropDuplicatesWithinWatermark(
+        keys).withColumn("_late", ~F.coalesce(F.expr(age), F.lit(False))).drop("_arrival")
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = cut(batch)  # the state is read once
+        late_cells = small_side(rows.where("_late").select("cell_id").distinct())
+        if versioned.is_versioned(spark, path) and not late_cells.isEmpty():
+            same = lambda a, b, names: reduce(and_, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in names])
+            held = versioned.load(spark, path).select(*keys).alias("h").join(late_cells.alias("c"), same("h", "c", ["cell_id"]), "left_semi")
+            rows = rows.alias("r").join(held.alias("k"), same("r", "k", keys) & F.col("r._late"), "left_anti")
+        scored = resolve_confidence(score_responses(rows.drop("_late"), keep_text=False))
+        versioned.publish(scored, path, mode="append", partition_cols=["cell_id"], batch=(checkpoint, number))
+
+    return (
+        marked.writeStream.outputMode("append").foreachBatch(merge).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start()
+    )
+
+
 def start_progress(
     responses: DataFrame, tasks: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str,
     *, trigger: dict | None = None,
@@ -72,3 +113,104 @@ def telemetry_windows(
         .select(F.col("w.start").alias("window_start"), "device", "samples", "peak_bytes", "gpu_util_mean",
                 "gpu_util_max", "power_watts_max", "energy_joules")
     )
+
+
+GB = 1024**3
+_SAMPLE = "sec double, sample_id long, mem_bytes long, util double, power double"
+_TOTAL = """samples long, peak_bytes long, util_max double, util_sum double, power_max double, power_sum double, powered long,
+    energy double, last_sec double"""
+_ENERGY = """device string, samples long, peak_vram_gb double, gpu_util_mean double, gpu_util_max double, power_watts_mean double,
+    power_watts_max double, energy_joules double, open_samples long"""
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(",")]
+
+
+def _greater(a, b):
+    return b if a is None else a if b is None else max(a, b)
+
+
+def _folded(total: tuple | None, samples: list[tuple]) -> tuple:
+    """Totals after more samples, which come in order of time."""
+    n, peak, util_max, util_sum, power_max, power_sum, powered, energy, last = total or (0, None, None, None, None, None, 0, 0.0, None)
+    for sec, _, mem, util, power in samples:
+        n += 1
+        peak, util_max, power_max = _greater(peak, mem), _greater(util_max, util), _greater(power_max, power)
+        if util is not None:
+            util_sum = (util_sum or 0.0) + util
+        if power is not None:
+            powered += 1
+            power_sum = (power_sum or 0.0) + power
+            if last is not None:
+                energy += power * max(0.0, sec - last)
+        last = sec
+    return n, peak, util_max, util_sum, power_max, power_sum, powered, energy, last
+
+
+class EnergyProcessor(StatefulProcessor):
+    """Totals of one device up to the watermark, and the samples after it, which late ones may still part."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.total = handle.getValueState("total", _TOTAL)
+        self.open = handle.getListState("open", _SAMPLE)
+
+    def _settle(self, key, new: list[tuple], timers) -> Iterator[pd.DataFrame]:
+        mark = timers.getCurrentWatermarkInMs() / 1000.0
+        total = tuple(self.total.get()) if self.total.exists() else None
+        waiting = sorted([*(tuple(r) for r in self.open.get()), *new], key=lambda s: s[:2])
+        settled = [s for s in waiting if s[0] <= mark]
+        waiting = waiting[len(settled):]
+        if settled:
+            total = _folded(total, settled)
+            self.total.update(total)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if waiting:
+            self.open.put(waiting)
+            self.handle.registerTimer(int(waiting[-1][0] * 1000) + 1)  # folds what is open when no sample follows
+        else:
+            self.open.clear()
+        n, peak, util_max, util_sum, power_max, power_sum, powered, energy, _ = _folded(total, waiting)
+        if n:
+            yield pd.DataFrame([[
+                key[0], n, None if peak is None else peak / GB, None if util_sum is None else util_sum / n, util_max, (power_sum or 0.0) / n,
+                power_max, energy if powered else None, len(waiting)]], columns=_names(_ENERGY))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = [tuple(None if pd.isna(v) else v for v in r) for part in rows for r in part[_names(_SAMPLE)].itertuples(
+            index=False, name=None)]
+        yield from self._settle(key, [(float(a), int(b or 0), None if m is None else int(m), u, p) for a, b, m, u, p in new], timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._settle(key, [], timerValues)
+
+    def close(self) -> None:
+        pass
+
+
+def telemetry_energy(samples: DataFrame, *, delay: str = "5 minutes") -> DataFrame:
+    """Exact peak memory, utilisation, power and energy per device so far (R3), as the batch job has them.
+
+    A device gives a row whenever it changed; its last row holds for all its samples.  Energy is power
+    times the gap to the sample before it, whichever micro-batch that came in: samples younger than the
+    watermark stay in state, in order of time, so one that is late by up to ``delay`` still parts the gap
+    it falls into.  Older samples are dropped by the watermark.  State per device: one row of totals and
+    the samples of the last ``delay``; a timer folds them when the device falls silent.  Needs the RocksDB
+    state store.  ``open_samples`` counts the samples that later ones may still part.
+    """
+    df = ensure_columns(samples, mem_bytes="long", util="double", power="double", sample_id="long")
+    timed = df.withWatermark("ts", delay).select(
+        "device", "ts", F.col("ts").cast("double").alias("sec"), *[F.col(c).cast(t) for c, t in (
+            ("sample_id", "long"), ("mem_bytes", "long"), ("util", "double"), ("power", "double"))])
+    return timed.groupBy("device").transformWithStateInPandas(EnergyProcessor(), _ENERGY, "Update", "EventTime")
+
+
+def use_rocksdb(spark) -> None:
+    """The state store that ``telemetry_energy`` needs, for queries started from here on."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+# Tasks receive these functions by value; workers need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
