@@ -4,16 +4,28 @@ The state of a summary has one row per key (by default cell and day) with counts
 KLL sketch per numeric field.  States merge: new files add state rows, a summary merges the state rows of
 a cell.  Means, extremes and counts are exact; a quantile lies within ``rank_error`` of its rank.  Exact
 percentiles over all rows stay in ``quantiles``.
+
+Intervals grow in the same way with the Poisson bootstrap (Chamandy et al., "Estimating uncertainty for
+massive data streams", 2012): in a replicate every row counts a Poisson number of times, on its own, so
+the sums of a replicate are those of its parts.  The draws of a part depend on the part's rows and key
+alone: a part that changed is drawn anew, all others stay, and the result is that of a run over all rows.
+The multinomial bootstrap over a fixed number of rows stays in ``bootstrap``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.functions.scoring import is_true
+from evalweave.operators.bootstrap import CHUNK_LEVELS, _generator
+from evalweave.plans.shared import cut
 from evalweave.sources import versioned
 
 FIELDS = ("latency_sec", "completion_tokens", "prompt_tokens", "peak_vram_gb")
@@ -87,3 +99,67 @@ def stored(spark: SparkSession, path: str) -> DataFrame:
 def compact(spark: SparkSession, path: str, keys: Sequence[str] = ("cell_id", "day"), batch: tuple[str, int] | None = None, **shape: object) -> int:
     """Merge the stored state rows of equal keys into one version, so that a summary reads few."""
     return versioned.publish(merged(stored(spark, path), keys, **shape), path, mode="replace", batch=batch)
+
+
+# --- intervals ---------------------------------------------------------------------------------
+
+def interval_states(
+    rows: DataFrame, values: Mapping[str, Column], keys: Sequence[str] = ("cell_id", "day"), *, n_resamples: int = 1000,
+    seed: int = 0, chunk_levels: int = CHUNK_LEVELS,
+) -> DataFrame:
+    """(keys, replicate, n, sum per value): Poisson replicates of every part; replicate -1 is the part itself.
+
+    Rows with a NULL value are left out.  Equal rows are drawn together; a large part is split by the hash of
+    its values and added up again, so a task holds ``chunk_levels`` different rows at a time, on average.
+    """
+    names, keys = list(values), list(keys)
+    levels = cut(rows.select(F.struct(*[F.col(k) for k in keys]).alias("key"), *[c.cast("double").alias(n) for n, c in values.items()]).dropna(
+        subset=names).groupBy("key", *names).agg(F.count(F.lit(1)).alias("rows")))
+    slots = levels.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / chunk_levels).alias("slots"))
+    dealt = levels.join(slots, "key").withColumn("slot", F.pmod(F.xxhash64(*names), F.col("slots")))
+    kind = levels.schema["key"].dataType.simpleString()
+
+    def draw(level: pd.DataFrame) -> pd.DataFrame:
+        key, slot = level["key"].iloc[0], int(level["slot"].iloc[0])
+        level = level.sort_values(names)
+        own, counts = level[names].to_numpy(float), level["rows"].to_numpy(float)
+        rng = _generator(seed, tuple(str(v) for v in key.values()), int(level["slots"].iloc[0]), slot)
+        n, sums = [counts.sum()], [counts @ own]
+        for start in range(0, n_resamples, 100):
+            drawn = rng.poisson(counts, (min(100, n_resamples - start), len(counts)))
+            n += drawn.sum(axis=1).tolist()
+            sums += list(drawn @ own)
+        out = pd.DataFrame({"key": [key] * len(n), "replicate": np.arange(-1, n_resamples), "n": np.array(n, dtype=np.int64)})
+        return pd.concat([out, pd.DataFrame(np.array(sums), columns=names)], axis=1)
+
+    made = dealt.groupBy("key", "slot").applyInPandas(draw, f"key {kind}, replicate int, n long, " + ", ".join(f"{v} double" for v in names))
+    return made.groupBy("key", "replicate").agg(F.sum("n").alias("n"), *[F.sum(v).alias(v) for v in names]).select("key.*", "replicate", "n", *names)
+
+
+def interval(
+    state: DataFrame, statistic: Callable[[], Column], names: Sequence[str], group_cols: Sequence[str] = ("cell_id",), confidence: float = 0.95,
+) -> DataFrame:
+    """(group, n, value, ci_low, ci_high): interval of a statistic of the sums ``names`` and the count n, from states alone."""
+    sums = state.groupBy(*group_cols, "replicate").agg(F.sum("n").alias("n"), *[F.sum(v).alias(v) for v in names]).withColumn("_stat", statistic())
+    real, tail = F.col("replicate") < 0, (1.0 - confidence) / 2.0
+    of = lambda which, c: F.max(F.when(which, F.col(c)))
+    # One number per replicate.
+    end = lambda p: F.percentile(F.when(~real, F.col("_stat")), F.lit(p))
+    return sums.groupBy(*group_cols).agg(of(real, "n").alias("n"), of(real, "_stat").alias("value"), end(tail).alias("ci_low"), end(1 - tail).alias("ci_high"))
+
+
+def replace_parts(rows: DataFrame, path: str, values: Mapping[str, Column], keys: Sequence[str] = ("cell_id", "day"), **shape: object) -> int:
+    """Put the states of changed parts in the place of the stored ones and return the version.
+
+    ``rows`` has all rows of the parts that changed; the rows of other parts are not read.
+    """
+    spark, new = rows.sparkSession, cut(interval_states(rows, values, keys, **shape))
+    if versioned.is_versioned(spark, path):
+        changed = new.select(*[F.col(k).alias(f"_new_{k}") for k in keys]).distinct()
+        same = [F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in keys]
+        new = stored(spark, path).join(changed, same, "left_anti").unionByName(new)
+    return versioned.publish(new, path, mode="replace")
+
+
+# Tasks receive these functions by value; workers need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from evalweave.functions.scoring import is_true
 from evalweave.functions.stats import ERFC_COEFFICIENTS, erfc_expression
-from evalweave.operators import bootstrap, comparison, sampling
+from evalweave.operators import bootstrap, comparison, incremental, sampling
 from evalweave.plans import reports
-from evalweave.plans.shared import cut
+from evalweave.plans.shared import cut, scratch_path
 from evalweave.registry import views as V
 from evalweave.registry.catalog import query
 from evalweave.registry.metric_queries import _AVAILABLE, _BUNDLE, _BUNDLE_FROM
@@ -122,6 +122,24 @@ def cost_per_correct_bootstrap(spark, sf_dir):
     return _with_error(bootstrap.cost_per_correct_ci(rows), timed, F.sqrt(spread * F.count(F.lit(1))) / F.sum("h"))
 
 
+@query("incremental_intervals", V.SCORED_SQL + """,
+  timed as (select cell_id, latency_sec as c, cast(coalesce(correct, false) as int) as h from scored where latency_sec is not null),
+  ratios as (select cell_id, sum(c) / sum(h) as r, count(*) as n from timed group by cell_id having sum(h) > 0)
+  select cell_id, any_value(n) as n, round(any_value(r), 6) as value, round(stddev_pop(c - r * h) * sqrt(count(*)) / sum(h), 6) as std_error,
+    true as interval_near_normal from timed join ratios using (cell_id) group by cell_id""")
+def incremental_intervals(spark, sf_dir):
+    """Cost per correct answer from stored Poisson replicates: rows arrive in two loads, then one part comes again."""
+    rows = cut(V.scored(spark, sf_dir).select("cell_id", (F.col("run_no") % 4).alias("day"), "latency_sec", is_true(F.col("correct")).cast("int").alias("hit")))
+    values, path = {"cost": F.col("latency_sec"), "hits": F.col("hit")}, scratch_path(spark, "replicates")
+    for part in (F.col("day") < 2, F.col("day") >= 2, F.col("day") == 1):
+        incremental.replace_parts(rows.where(part), path, values)
+    found = incremental.interval(incremental.stored(spark, path), lambda: F.col("cost") / F.col("hits"), list(values))
+    timed = rows.where("latency_sec is not null")
+    ratio = F.sum("latency_sec") / F.sum("hit")
+    spread = F.var_pop("latency_sec") + ratio * ratio * F.var_pop("hit") - 2 * ratio * F.covar_pop("latency_sec", "hit")
+    return _with_error(found, timed, F.sqrt(spread * F.count(F.lit(1))) / F.sum("hit"))
+
+
 def _quantile_sql(probs):
     return " union all ".join(f"select cell_id, {p}e0 as prob, count(latency_sec) as n, quantile_cont(latency_sec, {p}e0) as value from scored group by 1" for p in probs)
 

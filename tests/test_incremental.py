@@ -50,3 +50,27 @@ def test_edges(spark):
     assert (a.n, a.num_correct, a.latency_sec_mean, a.latency_sec_p50, a.completion_tokens_p50) == (2, 1, None, None, 2.0)
     assert (none.n, none.latency_sec_p95, none.completion_tokens_max) == (1, 1.0, None)
     assert incremental.summary(incremental.states(df.where("1 = 0"), fields=FIELDS), fields=FIELDS).count() == 0
+
+
+def test_intervals_from_parts(spark, tmp_path):
+    """A changed part is drawn anew, the result is that of a run over all rows and near plain resampling."""
+    path = str(tmp_path / "state")
+    values = {"cost": F.col("latency_sec"), "hits": F.col("correct").cast("int")}
+    ratio = lambda: F.col("cost") / F.col("hits")
+    days = [rows(spark, 3000, d) for d in range(3)]
+    shape = {"n_resamples": 600, "chunk_levels": 400}
+    for day in (days[0].union(days[1].limit(1000)), days[2], days[1]):  # the second day comes in part, then whole
+        incremental.replace_parts(day, path, values, **shape)
+    got = incremental.interval(incremental.stored(spark, path), ratio, list(values)).orderBy("cell_id").collect()
+    whole = days[0].union(days[1]).union(days[2])
+    again = incremental.interval(incremental.interval_states(whole, values, **shape), ratio, list(values)).orderBy("cell_id").collect()
+    for a, b in zip(got, again, strict=True):
+        assert (a.cell_id, a.n) == (b.cell_id, b.n) and np.allclose(list(a)[2:], list(b)[2:])
+    frame = whole.dropna(subset=["latency_sec"]).toPandas()
+    rng = np.random.default_rng(7)
+    for r in got:
+        g = frame[frame.cell_id == r.cell_id]
+        cost, hit = g.latency_sec.to_numpy(float), g.correct.to_numpy(float)
+        picks = rng.integers(0, len(g), (1500, len(g)))
+        low, high = np.quantile(cost[picks].sum(1) / hit[picks].sum(1), [0.025, 0.975])
+        assert np.isclose(r.value, cost.sum() / hit.sum()) and np.allclose([r.ci_low, r.ci_high], [low, high], atol=0.2 * (high - low))
