@@ -93,8 +93,8 @@ def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bottom-k sketches of every document and of its edited text, with their likeness."""
     pairs = sketch.edited_pairs(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    own = sketch.with_sketch(sketch.with_sketch(pairs, "text", "own"), "edited", "changed")
-    a, b, c = F.col("own"), F.col("changed"), F.col("next_sketch")
+    own = sketch.with_sketch(pairs, "edited", "changed")
+    a, b, c = F.col("sketch"), F.col("changed"), F.col("next_sketch")
     return own.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch.text_form(a).alias("fingerprint"),
         sketch.text_form(b).alias("edited_fingerprint"), sketch.resemblance(a, b).alias("near_edited"),

@@ -72,7 +72,7 @@ def text_form(a: Column) -> Column:
 
 
 def edited_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_chars, text, edited, next_sketch): each document beside the next one.
+    """(doc_id, n_chars, text, edited, sketch, next_sketch): each document beside the next one.
 
     The next document has the next smaller id (NULL last, equal ids by hash and length of the text);
     the first follows the last.  In the edited text the last half (rounded down) of the code points
@@ -92,12 +92,14 @@ def edited_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     itself = ranked.where("copies > 1").select(*named("own"), *key, (F.col("copies") - 1).cast("int").alias("times"))
     edges = follow.unionByName(itself)
 
-    texts = keyed.repartition(*key).groupBy(*key).agg(F.min("text").alias("text"))  # one exchange, used twice
+    # One exchange, used twice: every text is sketched once, where it is read, and travels with its sketch.
+    texts = with_sketch(keyed, "text", "sketch").repartition(*key).groupBy(*key).agg(
+        F.min("text").alias("text"), F.min("sketch").alias("sketch"))
     half = F.floor(F.col("own_n_chars") / 2).cast("int")
-    heads = with_sketch(texts.join(edges, key), "text", "next_sketch").select(
-        *[F.col(f"own_{c}").alias(c) for c in key], "times", F.substring("text", F.lit(1), half).alias("head"), "next_sketch")
+    heads = texts.join(edges, key).select(
+        *[F.col(f"own_{c}").alias(c) for c in key], "times", F.substring("text", F.lit(1), half).alias("head"), F.col("sketch").alias("next_sketch"))
     kept = F.col("n_chars") - F.floor(F.col("n_chars") / 2).cast("int")
     return texts.join(heads, key).select(
         F.when(~F.col("unnamed"), F.col("number")).alias(doc_id), F.col("n_chars").cast("long").alias("n_chars"), "text",
-        F.concat(F.substring("text", F.lit(1), kept), "head").alias("edited"), "next_sketch",
+        F.concat(F.substring("text", F.lit(1), kept), "head").alias("edited"), "sketch", "next_sketch",
         F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).drop("copy")
