@@ -112,9 +112,8 @@ def stream_merging(spark, sf_dir):
     max(util) as gpu_util_max, round(coalesce(sum(power), 0) / count(*), 6) as power_watts_mean, max(power) as power_watts_max,
     round(case when count(power) > 0 then coalesce(sum(power * dt), 0) end, 3) as energy_joules from gaps group by device""")
 def stream_energy(spark, sf_dir):
-    """Exact energy over four micro-batches and a restart.  Each batch holds its share of the time span and, from the
+    """Exact energy over four micro-batches, each after a restart.  Each batch holds its share of the time span and, from the
     next share, samples that come early, so that the samples of the next batch are late and part their gaps."""
-    jobs.use_rocksdb(spark)
     source, table, state = (scratch_path(spark, f"energy{part}") for part in ("", "-out", "-state"))
     samples = V.samples(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     ends = samples.agg(F.min("ts").cast("double").alias("a"), F.max("ts").cast("double").alias("b")).first()
@@ -126,12 +125,12 @@ def stream_energy(spark, sf_dir):
     def sink(batch, number):
         batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(table)
 
-    for parts in ((0, 1), (2, 3)):  # the second run goes on from the state of the first
-        for k in parts:
-            held.where(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(source)
-        (jobs.telemetry_energy(stream, delay=delay).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", state)
-         .trigger(availableNow=True).start().awaitTermination())
+    for k in range(4):  # every run goes on from the state of the one before
+        held.where(F.col("file") == k).drop("file").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(samples.schema).parquet(source)
+        with jobs.rocksdb_state(spark):
+            (jobs.telemetry_energy(stream, delay=delay).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", state)
+             .trigger(availableNow=True).start().awaitTermination())
     kept = spark.read.parquet(table)
     latest = F.max_by(F.struct(*[c for c in kept.columns if c not in ("device", "batch")]), F.struct("batch", "samples")).alias("x")
     out = kept.groupBy("device").agg(latest).select("device", "x.*").drop("open_samples")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 from operator import and_
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -198,7 +199,7 @@ def telemetry_energy(samples: DataFrame, *, delay: str = "5 minutes") -> DataFra
     watermark stay in state, in order of time, so one that is late by up to ``delay`` still parts the gap
     it falls into.  Older samples are dropped by the watermark.  State per device: one row of totals and
     the samples of the last ``delay``; a timer folds them when the device falls silent.  Needs the RocksDB
-    state store.  ``open_samples`` counts the samples that later ones may still part.
+    state store (``rocksdb_state``).  ``open_samples`` counts the samples that later ones may still part.
     """
     df = ensure_columns(samples, mem_bytes="long", util="double", power="double", sample_id="long")
     timed = df.withWatermark("ts", delay).select(
@@ -207,9 +208,19 @@ def telemetry_energy(samples: DataFrame, *, delay: str = "5 minutes") -> DataFra
     return timed.groupBy("device").transformWithStateInPandas(EnergyProcessor(), _ENERGY, "Update", "EventTime")
 
 
-def use_rocksdb(spark) -> None:
-    """The state store that ``telemetry_energy`` needs, for queries started from here on."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which ``telemetry_energy`` needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 # Tasks receive these functions by value; workers need not have the package installed.

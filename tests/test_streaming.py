@@ -75,18 +75,13 @@ def test_energy_over_batches_late_samples_and_a_restart(spark, tmp_path):
             for i in range(400)] + [("idle", start, 1, None, None, None)]
     schema = "device string, ts timestamp, sample_id long, mem_bytes long, util double, power double"
     batch_of = lambda i: min(3, (i + (60 if i % 5 == 0 else 0)) // 100)  # noqa: E731  every fifth comes early, so the others are late
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    jobs.use_rocksdb(spark)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    try:
+    with jobs.rocksdb_state(spark):
         for parts in ((0, 1), (2,), (3,)):
             for k in parts:
                 spark.createDataFrame([r for r in rows if batch_of(r[2]) == k], schema).coalesce(1).write.mode("append").parquet(source)
             (jobs.telemetry_energy(stream, delay="10 minutes").writeStream.outputMode("update").option("checkpointLocation", state).foreachBatch(
                 lambda b, n: b.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)).trigger(availableNow=True).start().awaitTermination())
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before) if before else spark.conf.unset(
-            "spark.sql.streaming.stateStore.providerClass")
     kept = spark.read.parquet(out)
     assert kept.select("batch").distinct().count() >= 4
     names = [c for c in kept.columns if c not in ("device", "batch")]
