@@ -1,19 +1,23 @@
 """Near copies by verified likeness: five-word shingle sets whose Jaccard likeness is at least 0.8.
 
 Words are those of the SimHash query; a text of fewer than five words is one shingle.  Texts of equal
-sets are one node.  MinHash signatures of BANDS x ROWS values propose pairs: two sets that agree on a
-whole band share a bucket, which a pair of likeness 0.8 misses in all bands with probability 3e-6.  A
-proposed pair becomes a link only if the full sets have the likeness, so chance adds no link.  Small
-buckets propose all pairs.  A larger bucket first links its members to one of them, which settles groups
-of near copies.  Members of large buckets that stay apart, such as pages of one template, are refined by
-a prefix filter: of two sets of n shingles at likeness 0.8 at least 0.8 n are common, so both hold a
-common one among their n - ceil(0.8 n) + 1 rarest.  Buckets of these rare shingles are treated in the
-same way; what is left open in a large one (sets that share rare shingles but are not alike) is compared
-in salted blocks, only across components and within the sizes that the likeness allows.
-
-A proposed pair must first agree in size and in BITS_AGREE of the lowest bits of its signatures, which travel
-with the bucket, then in AGREE of the whole signatures; a pair of likeness 0.8 fails the two with
-probability below 3e-6.  Likeness and signatures are compared in the JVM; Python tasks hold single texts.
+sets are one node.  A proposed pair becomes a link only if the full sets have the likeness, so chance adds
+no link.  Pairs are proposed in four steps, each for what the ones before left apart:
+
+* The SimHash operator (``simhash.links``) on fingerprints of the shingle sets: equal fingerprints and those
+  of at most two differing bits, by deletion variants and stars.
+* MinHash signatures of BANDS x ROWS values, for likeness down to 0.8, where fingerprints differ in about
+  ten bits: two sets that agree on a whole band share a bucket, which a pair of likeness 0.8 misses in all
+  bands with probability 3e-6.  Small buckets propose all pairs; a larger one first links its members to one
+  of them, which settles groups of near copies.
+* Members of large buckets that stay apart, such as pages of one template, are refined by a prefix filter: of
+  two sets of n shingles at likeness 0.8 at least 0.8 n are common, so both hold a common one among their
+  n - ceil(0.8 n) + 1 rarest.  Buckets of these rare shingles are treated in the same way.
+* What is left open in large ones is compared by its difference from what the group has in common (``_differing``).
+
+In the middle steps a pair must first agree in size and in BITS_AGREE of the lowest bits of its signatures,
+which travel with the bucket, and every pair in AGREE of the whole signatures; a pair of likeness 0.8 fails the
+two with probability below 3e-6.  Likeness and signatures are compared in the JVM; Python tasks hold single texts.
 """
 
 from __future__ import annotations
@@ -30,15 +34,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evalweave.llm import simhash
 from evalweave.llm.common import identified, small_batches
 from evalweave.llm.components import roots
-from evalweave.plans.shared import cut, small_side
+from evalweave.plans.shared import cut, passing_tables, small_side
 
 WORDS = 5
 LIKE = 0.8
 BANDS, ROWS = 32, 5
 ALL_PAIRS = 8
-SALTS = 16
 AGREE = 0.6  # less of the signature agrees for a pair of likeness 0.8 with probability below 1e-8
 BITS_AGREE = 121  # of the BANDS * ROWS lowest bits; nine in ten agree at likeness 0.8
 MARKS = ("size", "b0", "b1", "b2")
@@ -68,7 +72,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 @F.pandas_udf(T.StructType([T.StructField("key", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField(
-    "sign", T.ArrayType(T.IntegerType())), T.StructField("bands", T.ArrayType(T.LongType())), *[T.StructField(b, T.LongType()) for b in MARKS[1:]]]))
+    "fp", T.LongType()), T.StructField("sign", T.ArrayType(T.IntegerType())), T.StructField("bands", T.ArrayType(T.LongType())), *[T.StructField(b, T.LongType()) for b in MARKS[1:]]]))
 def _sketched(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in parts:
         out = []
@@ -78,8 +82,9 @@ def _sketched(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             bands = [xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(sign.reshape(BANDS, ROWS))] if len(own) else []
             key = np.array([xxhash.xxh64_intdigest(own.tobytes(), 42)], dtype=np.uint64).view(np.int64)[0]
             low = np.packbits(np.pad((sign & 1).astype(np.uint8), (0, 192 - len(sign)))).view(np.int64)
-            out.append((key, len(own), sign.view(np.int32), np.array(bands, dtype=np.uint64).view(np.int64), *low))
-        yield pd.DataFrame(out, columns=["key", "size", "sign", "bands", *MARKS[1:]])
+            fp = np.array([simhash.majority(own)], dtype=np.uint64).view(np.int64)[0]
+            out.append((key, len(own), fp, sign.view(np.int32), np.array(bands, dtype=np.uint64).view(np.int64), *low))
+        yield pd.DataFrame(out, columns=["key", "size", "fp", "sign", "bands", *MARKS[1:]])
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -161,28 +166,70 @@ def _rare(keys: DataFrame, own: DataFrame, texts: DataFrame) -> DataFrame:
     return cut(placed.select(F.col("x.shingle").alias("bucket"), "key").join(own.select("key", *MARKS), "key"))
 
 
+def _fingerprinted(own: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys that the SimHash operator proposes; equal fingerprints meet in one of their keys."""
+    first = cut(own.groupBy("fp").agg(F.min("key").alias("first")))
+    equal = own.select("key", "fp").join(first, "fp").where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    side = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"key_{c}"))
+    linked = simhash.links(first.select("fp")).join(side("a"), "a").join(side("b"), "b")
+    return equal.union(linked.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))).distinct()
+
+
+def _differing(apart: DataFrame, own: DataFrame, texts: DataFrame, links: DataFrame) -> DataFrame:
+    """The links and the pairs that settle the rest: members of large buckets (bucket, key) that stay apart.
+
+    Keys that buckets join are a group; C are the shingles that over half of it have, D the difference of a set
+    from C (its own shingles outside C and those of C it lacks).  Sets x, y differ in as many places as D(x), D(y)
+    do, and are alike if 9 times that is at most size(x) + size(y).  With v = 9 size(D) - size, all pairs of
+    v(x) + v(y) <= 0 are alike, and a star around the least v joins them.  Any other pair must have at least
+    (v(x) + v(y)) / 18 elements of D in common, so the first of them, rarest first, comes early in both.
+    """
+    heads = apart.groupBy("bucket").agg(F.min("key").alias("a"))
+    group = cut(roots(apart.join(heads.hint("merge"), "bucket").select("a", F.col("key").alias("b"))).select(
+        F.col("node").alias("key"), F.col("root").alias("group")))
+    sets = cut(_sets(group.select("key"), own, texts).join(group, "key"))
+    members = group.groupBy("group").agg(F.count("*").alias("members"))
+    often = sets.select("group", F.explode("set").alias("shingle")).groupBy("group", "shingle").agg(F.count("*").alias("often"))
+    # C has fewer than twice the shingles of an average set.
+    common = cut(often.join(members, "group").where("2 * often > members").groupBy("group").agg(F.collect_list("shingle").alias("common")))
+    parts = lambda x, y, lacks: F.transform(F.array_except(x, y), lambda s: F.struct(s.alias("shingle"), F.lit(lacks).alias("lacks")))
+    has = sets.join(common, "group", "left").withColumn("common", F.coalesce("common", F.array().cast("array<long>")))
+    differ = cut(has.select("group", "key", F.size("set").alias("size"), F.concat(parts("set", "common", False), parts("common", "set", True)).alias("d")))
+    own_v = 9 * F.size("d") - F.col("size")
+    centre = cut(differ.groupBy("group").agg(F.min(F.struct(own_v.alias("v"), "key")).alias("centre")))
+    sized = differ.select("group", "key", "size", F.size("d").alias("n"), own_v.alias("v")).join(centre, "group").withColumn(
+        "far", F.col("v") + F.col("centre.v") > 0)
+    stars = sized.where("not far and key <> centre.key").select(F.least("key", "centre.key").alias("a"), F.greatest("key", "centre.key").alias("b"))
+    linked = cut(links.union(stars))
+    root = roots(linked).select(F.col("node").alias("key"), "root")
+    marked = cut(sized.drop("centre").join(root, "key", "left").withColumn("root", F.coalesce("root", "key")))
+
+    each = cut(differ.select("group", "key", F.explode("d").alias("x")).select("group", "key", "x.*"))
+    counts = each.groupBy("group", "shingle", "lacks").agg(F.count("*").alias("often")).where("often > 1").hint("merge")
+    # One row per key holds its own difference; elements that no other key has come first and need no place.
+    order = F.sort_array(F.collect_list(F.struct("often", "shingle", "lacks")))
+    held = each.join(counts, ["group", "shingle", "lacks"]).groupBy("key").agg(order.alias("order")).join(marked, "key")
+    placed = cut(held.select("group", "key", "size", "v", "far", "root", (F.col("n") - F.size("order")).alias("alone"), "n", F.posexplode("order").alias(
+        "p", "x")).select("group", "key", "size", "v", "far", "root", (F.col("n") - F.col("alone") - F.col("p")).alias("left"), "x.shingle", "x.lacks"))
+    side = lambda c: placed.select("group", "shingle", "lacks", *[F.col(m).alias(f"{m}_{c}") for m in ("key", "size", "v", "far", "root", "left")])
+    needed = F.col("v_a") + F.col("v_b")
+    once = ~F.col("far_b") | (F.col("key_a") < F.col("key_b"))
+    sizes = F.least("size_a", "size_b") >= LIKE * F.greatest("size_a", "size_b")
+    rest = side("a").where("far_a").join(side("b"), ["group", "shingle", "lacks"]).where(
+        once & (F.col("root_a") != F.col("root_b")) & sizes & (needed > 0) & (needed <= 18 * F.least("left_a", "left_b")))
+    pairs = rest.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
+    return linked.union(_verified(cut(pairs), own, texts))
+
+
 def _classes(own: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, root): the components of all proposed pairs of keys that have the likeness; single keys are left out."""
-    links, root, apart = _starred(cut(own.select("key", *MARKS, F.explode("bands").alias("bucket"))), own, texts)
+    links = _verified(cut(_fingerprinted(own)), own, texts)
+    known = links, cut(roots(links))
+    links, root, apart = _starred(cut(own.select("key", *MARKS, F.explode("bands").alias("bucket"))), own, texts, known)
     if apart.isEmpty():
         return root
     links, root, apart = _starred(_rare(apart.select("key").distinct(), own, texts), own, texts, (links, root))
-    if apart.isEmpty():
-        return root
-    # Blocks of a bucket meet each other once; a block pair is one group of its own.
-    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")
-    # A pair that shares several buckets is proposed in the first of them alone; a key is in few, the rare ones of its set.
-    lists = apart.groupBy("key").agg(F.collect_list("bucket").alias("buckets"))
-    marked = cut(apart.join(own.select("key", *MARKS), "key").join(lists, "key").withColumn("salt", salt))
-    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    side = lambda c, mine, other: marked.select(
-        "bucket", *[F.col(m).alias(f"{m}_{c}") for m in ("key", "root", "buckets", *MARKS)], F.col("salt").alias(mine), every.alias(other))
-    left, right = side("a", "i", "j"), side("b", "j", "i")
-    open_ = (F.col("key_a") < F.col("key_b")) & (F.col("root_a") != F.col("root_b"))
-    alike = _alike(lambda m: F.col(f"{m}_a"), lambda m: F.col(f"{m}_b"))
-    first = F.col("bucket") == F.array_min(F.array_intersect("buckets_a", "buckets_b"))
-    rest = left.join(right, ["bucket", "i", "j"]).where(open_ & alike & first).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
-    return roots(links.union(_verified(cut(rest), own, texts)))
+    return root if apart.isEmpty() else roots(_differing(apart, own, texts, links))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -195,13 +242,15 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     row = "_row_number_of_near_copies"
     fixed = identified(docs, row)
     texts = fixed.select(F.col(row).alias("row"), F.col(text).alias("text"))
-    prints = cut(fixed.select(F.col(row).alias("row"), F.col(doc_id).alias("id"), _sketched(F.col(text)).alias("s")).select("row", "id", "s.*"))
-    own = cut(prints.groupBy("key").agg(F.min("row").alias("row")).join(prints.select("row", "sign", "bands", *MARKS), "row"))
-    root = _classes(own, texts).withColumnRenamed("node", "key")
-    best = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row"))
-    each = prints.groupBy("key").agg(best.alias("best")).join(root, "key", "left")
-    first = each.groupBy(F.coalesce("root", "key").alias("class")).agg(F.min("best").alias("best"))
-    return fixed.join(first.select(F.col("best.row").alias(row)), row, "left_semi").drop(row)
+    with passing_tables(docs.sparkSession) as keep:
+        prints = cut(fixed.select(F.col(row).alias("row"), F.col(doc_id).alias("id"), _sketched(F.col(text)).alias("s")).select("row", "id", "s.*"))
+        own = cut(prints.groupBy("key").agg(F.min("row").alias("row")).join(prints.select("row", "fp", "sign", "bands", *MARKS), "row"))
+        root = _classes(own, texts).withColumnRenamed("node", "key")
+        best = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row"))
+        each = prints.groupBy("key").agg(best.alias("best")).join(root, "key", "left")
+        first = each.groupBy(F.coalesce("root", "key").alias("class")).agg(F.min("best").alias("best"))
+        stay = keep(first.select(F.col("best.row").alias(row)))
+    return fixed.join(stay, row, "left_semi").drop(row)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -37,6 +37,17 @@ DISTANCE = 2
 BLOCK = 1 << 16
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes (uint64) have each bit."""
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(len(hashes), 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash of hashes (uint64): the bits that over half of them have; 0 without hashes."""
+    votes = sum((_ones(hashes[k : k + BLOCK]) for k in range(0, len(hashes), BLOCK)), np.zeros(BITS, dtype=np.int64))
+    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None) -> int:
     """Unsigned 64-bit SimHash of one text; 0 without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -52,7 +63,7 @@ def fingerprint(text: str | None) -> int:
         n = min(BLOCK, last - k)
         tops = ends[k + WORDS - 1 : k + WORDS - 1 + n] or [len(line) + 1]
         hashes = np.fromiter((digest(line[s : e - 1], 42) for s, e in zip(starts[k : k + n], tops)), np.uint64, n)
-        votes += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        votes += _ones(hashes)
     return int(np.packbits(votes * 2 > last, bitorder="little").view("<u8")[0])
 
 

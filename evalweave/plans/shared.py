@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +48,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_passing: list[list[str]] = []  # scratch tables of the blocks of ``passing_tables`` that are open
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Scratch tables that are cut inside are deleted at the end of the block, save those cut by the function it gives.
+
+    What leaves the block must read no other scratch table of it.
+    """
+    made: list[str] = []
+    _passing.append(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept = cut(df)
+        made.pop()
+        return kept
+
+    try:
+        yield keep
+    finally:
+        _passing.remove(made)
+        for path in made:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows once to a scratch table and go on from it.
 
@@ -53,6 +81,8 @@ def cut(df: DataFrame) -> DataFrame:
     executors, and lets later steps read only the columns they need.
     """
     path = scratch_path(df.sparkSession, "cut")
+    if _passing:
+        _passing[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
