@@ -132,7 +132,9 @@ def interval_states(
         out = pd.DataFrame({"key": [key] * len(n), "replicate": np.arange(-1, n_resamples), "n": np.array(n, dtype=np.int64)})
         return pd.concat([out, pd.DataFrame(np.array(sums), columns=names)], axis=1)
 
-    made = dealt.groupBy("key", "slot").applyInPandas(draw, f"key {kind}, replicate int, n long, " + ", ".join(f"{v} double" for v in names))
+    # The levels are few bytes but much work: a fixed number of partitions keeps them from being merged into one task.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = dealt.repartition(tasks, "key", "slot").groupBy("key", "slot").applyInPandas(draw, f"key {kind}, replicate int, n long, " + ", ".join(f"{v} double" for v in names))
     return made.groupBy("key", "replicate").agg(F.sum("n").alias("n"), *[F.sum(v).alias(v) for v in names]).select("key.*", "replicate", "n", *names)
 
 

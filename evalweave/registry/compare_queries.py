@@ -87,7 +87,7 @@ def _mean_error(value):
   select cell_id, count(*) as n, round(avg(x), 6) as value, round(stddev_pop(x) / sqrt(count(x)), 6) as std_error, true as interval_near_normal
   from (select cell_id, cast(coalesce(correct, false) as int) as x from scored) group by cell_id""")
 def bootstrap_pass_rate(spark, sf_dir):
-    rows, hit = V.scored(spark, sf_dir), is_true(F.col("correct")).cast("int")
+    rows, hit = cut(V.scored(spark, sf_dir).select("cell_id", "correct")), is_true(F.col("correct")).cast("int")
     return _with_error(bootstrap.bootstrap_ci(rows, {"x": hit}), rows, _mean_error(hit))
 
 
@@ -95,7 +95,7 @@ def bootstrap_pass_rate(spark, sf_dir):
   select cell_id, count(*) as n, round(avg(latency_sec), 6) as value, round(stddev_pop(latency_sec) / sqrt(count(*)), 6) as std_error,
     true as interval_near_normal from scored where latency_sec is not null group by cell_id""")
 def bootstrap_mean_latency(spark, sf_dir):
-    rows = V.scored(spark, sf_dir).filter(F.col("latency_sec").isNotNull())
+    rows = cut(V.scored(spark, sf_dir).select("cell_id", "latency_sec").filter(F.col("latency_sec").isNotNull()))
     return _with_error(bootstrap.bootstrap_ci(rows, {"x": F.col("latency_sec")}), rows, _mean_error(F.col("latency_sec")))
 
 
@@ -104,7 +104,7 @@ def bootstrap_mean_latency(spark, sf_dir):
   select cell_id, round(avg(m), 6) as value, count(*) as n_clusters, round(stddev_pop(m) / sqrt(count(*)), 6) as std_error,
     true as interval_near_normal from clusters group by cell_id""")
 def cluster_bootstrap(spark, sf_dir):
-    rows = V.scored(spark, sf_dir)
+    rows = cut(V.scored(spark, sf_dir).select("cell_id", "id", "correct"))
     clusters = rows.filter("correct is not null and id is not null").groupBy("cell_id", "id").agg(F.avg(F.col("correct").cast("int")).alias("m"))
     return _with_error(bootstrap.cluster_bootstrap_ci(rows), clusters, _mean_error(F.col("m")))
 
@@ -115,7 +115,7 @@ def cluster_bootstrap(spark, sf_dir):
   select cell_id, any_value(n) as n, round(any_value(r), 6) as value, round(stddev_pop(c - r * h) * sqrt(count(*)) / sum(h), 6) as std_error,
     true as interval_near_normal from timed join ratios using (cell_id) group by cell_id""")
 def cost_per_correct_bootstrap(spark, sf_dir):
-    rows = V.scored(spark, sf_dir)
+    rows = cut(V.scored(spark, sf_dir).select("cell_id", "correct", "latency_sec"))
     timed = rows.filter("latency_sec is not null").select("cell_id", F.col("latency_sec").alias("c"), is_true(F.col("correct")).cast("int").alias("h"))
     ratio = F.sum("c") / F.sum("h")
     spread = F.var_pop("c") + ratio * ratio * F.var_pop("h") - 2 * ratio * F.covar_pop("c", "h")  # of c - ratio * h
@@ -192,7 +192,7 @@ def bootstrap_trimmed_mean(spark, sf_dir):
     round(sum(latency_sec) / count_if(correct and latency_sec is not null), 6) as cost_ratio, true as inside
   from scored s join cl using (cell_id) group by s.cell_id""")
 def bootstrap_point_values(spark, sf_dir):
-    df = V.scored(spark, sf_dir)
+    df = cut(V.scored(spark, sf_dir).select("cell_id", "id", "correct", "latency_sec"))  # read by all three
     named = lambda d, v: d.select("cell_id", F.col("value").alias(v), F.col("value").between(F.col("ci_low"), F.col("ci_high")).alias(f"{v}_inside"),
                                   *[c for c in ("n", "n_clusters") if c in d.columns and v != "cost_ratio"])
     out = comparison.merge_groups([
@@ -209,7 +209,7 @@ def bootstrap_point_values(spark, sf_dir):
   select cell_id, n_items, round(bp, 6) as baseline_pass_at_1, round(vp, 6) as variant_pass_at_1, b, c, round(p, 4) as p_value,
     round(p_holm, 4) as p_value_holm, round(std_error, 6) as std_error, true as interval_near_normal from holm join errors using (cell_id)""")
 def paired_report(spark, sf_dir):
-    rows = V.scored(spark, sf_dir)
+    rows = cut(V.scored(spark, sf_dir).select("cell_id", "id", "sample_index", "correct"))
     errors = comparison.paired_items(rows, V.BASELINE_CELL).groupBy("cell_id").agg(_mean_error(F.col("var").cast("int")).alias("std_error"))
     out = comparison.merge_groups([comparison.paired_report(rows, V.BASELINE_CELL), errors], ["cell_id"])
     near = V.near_normal(F.col("variant_pass_at_1"), F.col("std_error")).alias("interval_near_normal")
