@@ -10,14 +10,19 @@ from evalweave.streaming import jobs
 
 
 BATCHES = 3
+FILE_ROWS = 250_000
 DELAY = "90 days"  # the files are in no order of time: longer than the table's span, so that no row comes too late
 
 
 def stream_table(spark, sf_dir, name):
-    """A table as a stream of several files, one per micro-batch, so that state crosses batches."""
+    """A table as a stream in a few micro-batches, so that state crosses batches.
+
+    A micro-batch has as many files as its rows ask for, so that no task reads more than about FILE_ROWS.
+    """
     rows, path = V.table(spark, sf_dir, name), scratch_path(spark, f"stream-{name}")
-    rows.repartition(BATCHES).write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = max(1, -(-rows.count() // (BATCHES * FILE_ROWS)))
+    rows.repartition(BATCHES * files).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 _KEYED = [
