@@ -127,7 +127,9 @@ def file_hashes(spark, sf_dir):
     """One text file per supplier, hashed."""
     path = scratch_path(spark, "files")
     rows = V.table(spark, sf_dir, "supplier").select("s_suppkey", F.concat_ws("|", "s_name", "s_nationkey").alias("value"))
-    rows.write.partitionBy("s_suppkey").text(path)
+    # Few bytes, but a file each: a fixed number of tasks writes them.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(tasks, "s_suppkey").write.partitionBy("s_suppkey").text(path)
     key = F.regexp_extract("path", "s_suppkey=([0-9]+)", 1).cast("long").alias("s_suppkey")
     return readers.file_hashes(spark, path).select(key, "sha256", "n_bytes")
 
