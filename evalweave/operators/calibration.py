@@ -21,6 +21,15 @@ def with_confidence(df: DataFrame, *, allow_parse_proxy: bool = False) -> DataFr
     return df if "confidence_value" in df.columns else resolve_confidence(df, allow_parse_proxy=allow_parse_proxy)
 
 
+def confidence_rows(
+    df: DataFrame, *, group_cols: Sequence[str] = ("cell_id",), allow_parse_proxy: bool = False
+) -> DataFrame:
+    """What the availability check and the pairs need of every row, fixed once for the steps that read it."""
+    df = ensure_columns(with_confidence(df, allow_parse_proxy=allow_parse_proxy), id="string", sample_index="int")
+    return cut(df.select(
+        *group_cols, *TIE_KEYS, "correct", "confidence_value", "confidence_source", "confidence_valid_for_calibration"))
+
+
 def confidence_pairs(
     df: DataFrame, *, group_cols: Sequence[str] = ("cell_id",), allow_parse_proxy: bool = False
 ) -> DataFrame:
@@ -237,9 +246,10 @@ def calibration_summary(
 
     A caller that already holds the pairs, or their ranking by falling confidence, may pass them.
     """
-    gate = availability(df, group_cols=group_cols, allow_parse_proxy=allow_parse_proxy)
     if pairs is None:
-        pairs = cut(confidence_pairs(df, group_cols=group_cols, allow_parse_proxy=allow_parse_proxy))
+        df = confidence_rows(df, group_cols=group_cols, allow_parse_proxy=allow_parse_proxy)
+        pairs = confidence_pairs(df, group_cols=group_cols)
+    gate = availability(df, group_cols=group_cols, allow_parse_proxy=allow_parse_proxy)
     bins = reliability_bins(pairs, group_cols=group_cols).groupBy(*group_cols).agg(
         F.array_sort(
             F.collect_list(F.struct("bin", "bin_lo", "bin_hi", "count", "accuracy", "confidence"))

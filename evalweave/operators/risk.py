@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.operators.calibration import TIE_KEYS, availability, confidence_pairs, merge_groups
+from evalweave.operators.calibration import TIE_KEYS, availability, confidence_pairs, confidence_rows, merge_groups
 from evalweave.plans.ranked import with_running
 
 TARGET_RISKS = (0.05, 0.10, 0.20)
@@ -60,10 +60,10 @@ def selective_risk_summary(
     targets: Sequence[float] = TARGET_RISKS,
 ) -> DataFrame:
     """AURC and coverage at risk behind the availability gate (A45); the curve is W1's long table."""
-    gate = availability(df, group_cols=group_cols, allow_parse_proxy=allow_parse_proxy)
-    ranked = descending(
-        confidence_pairs(df, group_cols=group_cols, allow_parse_proxy=allow_parse_proxy), group_cols
-    )
+    # Thin rows, read by the gate, the sample of the ranges and the ranges.
+    rows = confidence_rows(df, group_cols=group_cols, allow_parse_proxy=allow_parse_proxy)
+    gate = availability(rows, group_cols=group_cols, allow_parse_proxy=allow_parse_proxy)
+    ranked = descending(confidence_pairs(rows, group_cols=group_cols), group_cols)
     found = [aurc(ranked, group_cols=group_cols), coverage_at_risk(ranked, group_cols=group_cols, targets=targets)]
     out = merge_groups([gate, *found], group_cols)
     kept = [c for part in found for c in part.columns if c not in group_cols]

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from evalweave.operators import calibration as C
 from evalweave.operators import risk as R
 from evalweave.operators import voting
+from evalweave.plans.shared import cut
 from evalweave.registry import views as V
 from evalweave.registry.catalog import query
 from evalweave.registry.text_queries import CONFIDENCE_SQL
@@ -68,7 +69,7 @@ def reliability_bins(spark, sf_dir):
 
 @query("adaptive_ece", f"{_PAIRS}, {_ASC}, {_adaptive(15)} select cell_id, round(adaptive_ece, 6) as adaptive_ece from adaptive")
 def adaptive_ece(spark, sf_dir):
-    return V.rounded(C.adaptive_ece(C.ascending(pairs(spark, sf_dir), G)))
+    return V.rounded(C.adaptive_ece(C.ascending(cut(pairs(spark, sf_dir)), G)))
 
 
 @query("auroc", f"{_PAIRS}, {_AUROC} select cell_id, round(auroc, 6) as auroc from auroc")
