@@ -8,6 +8,8 @@ fraction of a percent of a large group, are ranked exactly.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,9 +74,10 @@ def exact_percentiles(
                      F.col(f).alias("value"), F.col(f"_n{i}").alias("n")),
         )
 
+    inner = reduce(or_, [F.col(f).between(F.col(f"_b{i}_{j}")[0], F.col(f"_b{i}_{j}")[1]) for i, f, j, _ in pairs])
     # Rows inside a bracket, collapsed to distinct values before any ranking.
     inside = (
-        joined.select(*keys, F.explode(F.array_compact(F.array(*[item(*x) for x in pairs]))).alias("x"))
+        joined.where(inner).select(*keys, F.explode(F.array_compact(F.array(*[item(*x) for x in pairs]))).alias("x"))
         .select(*keys, "x.*")
         .groupBy(*group_cols, "field", "prob", "value", "n")
         .agg(F.count(F.lit(1)).alias("m"))

@@ -125,6 +125,7 @@ def cell_summary(
     df: DataFrame, *, group_cols: Sequence[str] = ("cell_id",), medians: bool = True
 ) -> DataFrame:
     """The summary of every group: one aggregate over the scored rows, then medians (A1-A10)."""
+    own = set(df.columns)
     df = with_summary_columns(df)
     base = df.groupBy(*group_cols).agg(
         *accuracy_columns(), *latency_columns(), *numeric_columns(NUMERIC_FIELDS), *energy_columns(),
@@ -133,7 +134,10 @@ def cell_summary(
     parts = [base]
     if medians:
         fields = ["latency_sec", "completion_tokens", *NUMERIC_FIELDS]
-        parts.append(percentile_columns(df, {f"{f}_p50": (f, 0.5) for f in fields}, group_cols=group_cols))
+        held = [f for f in fields if f in own] or fields[:1]  # a field that no row has takes no sketch
+        found = percentile_columns(df, {f"{f}_p50": (f, 0.5) for f in held}, group_cols=group_cols)
+        parts.append(found.select(*group_cols, *[
+            F.col(f"{f}_p50") if f in held else F.lit(None).cast("double").alias(f"{f}_p50") for f in fields]))
     # A handful of finish reasons per group.
     reasons = finish_reason_counts(df, group_cols=group_cols).groupBy(*group_cols).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("finish_reason", "rows")))).alias("finish_reason_counts")

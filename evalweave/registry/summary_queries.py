@@ -72,7 +72,9 @@ _SUMMARY_COLS = """n, round(pass_at_1, 6) as pass_at_1, num_correct, round(laten
   from runs join mids using (cell_id) join reasons using (cell_id)""")
 def cell_summary(spark, sf_dir):
     # Several steps read the rows, as they would read a stored scored table.
-    df = summary.cell_summary(cut(V.scored(spark, sf_dir).drop("ts", "sd", "boxed", "wrong", "model_path", "run_cell")))
+    read = """cell_id latency_sec peak_vram_gb time_to_first_token_sec tokens_per_second power_watts_max energy_joules prompt_tokens
+        completion_tokens reasoning_steps finish_reason truncated decoding_max_tokens max_tokens completion pred_answer correct""".split()
+    df = summary.cell_summary(cut(V.scored(spark, sf_dir).select(*read)))
     reasons = F.array_join(
         F.transform(F.map_entries("finish_reason_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ","
     )
