@@ -14,7 +14,7 @@ from evalweave.sources import documents, readers, versioned, writers
   select cell_id, id, sample_index, task, seed, latency_sec, completion_tokens, finish_reason, truncated, confidence, confidence_source from scored""")
 def jsonl_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "responses")
-    writers.write_jsonl(V.raw_responses(spark, sf_dir).drop("sd"), path, partition_cols=["cell_id"])
+    writers.write_jsonl(V.raw_responses(spark, sf_dir).drop("sd"), path, partition_cols=["cell_id"], compression="gzip")
     return readers.read_responses(spark, path).select(
         "cell_id", "id", "sample_index", "task", "seed", "latency_sec", "completion_tokens", "finish_reason", "truncated",
         "confidence", "confidence_source")
@@ -28,7 +28,7 @@ def jsonl_roundtrip(spark, sf_dir):
 def archive_rescore(spark, sf_dir):
     """All raw files of an archive in one job."""
     path = scratch_path(spark, "raw")
-    writers.write_jsonl(V.raw_responses(spark, sf_dir).drop("sd"), path, partition_cols=["cell_id"])
+    writers.write_jsonl(V.raw_responses(spark, sf_dir).drop("sd"), path, partition_cols=["cell_id"], compression="gzip")
     rows = scoring.score_responses(readers.read_responses(spark, path), keep_text=False)
     return rows.groupBy("cell_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("num_correct"),

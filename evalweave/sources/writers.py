@@ -54,13 +54,14 @@ def _write(df: DataFrame, path: str, kind: str, partition_cols: Sequence[str], a
         _replace(df, path, kind, partition_cols, **options)
 
 
-def write_jsonl(df: DataFrame, path: str, *, partition_cols: Sequence[str] = (), as_version: bool = False) -> None:
+def write_jsonl(df: DataFrame, path: str, *, partition_cols: Sequence[str] = (), as_version: bool = False, compression: str = "none") -> None:
     """Replace a line-JSON table once the new one is complete.
 
     A plain folder is swapped by two renames, between which a reader may find nothing.  ``as_version``
-    writes a new version of a versioned table instead: readers (``versioned.load``) see no gap.
+    writes a new version of a versioned table instead: readers (``versioned.load``) see no gap.  ``compression``
+    is a codec of Spark's JSON writer; a compressed file is read by one task.
     """
-    _write(df, path, "json", partition_cols, as_version, ignoreNullFields=False)
+    _write(df, path, "json", partition_cols, as_version, ignoreNullFields=False, compression=compression)
 
 
 def write_parquet(
