@@ -8,7 +8,9 @@ from contextlib import contextmanager
 from functools import reduce
 from operator import and_
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,9 +119,10 @@ def telemetry_windows(
 
 
 GB = 1024**3
-_SAMPLE = "sec double, sample_id long, mem_bytes long, util double, power double"
-_TOTAL = """samples long, peak_bytes long, util_max double, util_sum double, power_max double, power_sum double, powered long,
-    energy double, last_sec double"""
+BUCKETS = 128
+_SAMPLE = ["sec", "sample_id", "mem_bytes", "util", "power"]
+_PEAKS = ["peak_bytes", "util_max", "power_max", "last_sec"]
+_SUMS = ["samples", "util_sum", "power_sum", "powered", "energy"]
 _ENERGY = """device string, samples long, peak_vram_gb double, gpu_util_mean double, gpu_util_max double, power_watts_mean double,
     power_watts_max double, energy_joules double, open_samples long"""
 
@@ -128,84 +131,103 @@ def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(",")]
 
 
-def _greater(a, b):
-    return b if a is None else a if b is None else max(a, b)
+def _packed(rows: pd.DataFrame) -> bytes:
+    out, table = pa.BufferOutputStream(), pa.Table.from_pandas(rows, preserve_index=False)
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
 
 
-def _folded(total: tuple | None, samples: list[tuple]) -> tuple:
-    """Totals after more samples, which come in order of time."""
-    n, peak, util_max, util_sum, power_max, power_sum, powered, energy, last = total or (0, None, None, None, None, None, 0, 0.0, None)
-    for sec, _, mem, util, power in samples:
-        n += 1
-        peak, util_max, power_max = _greater(peak, mem), _greater(util_max, util), _greater(power_max, power)
-        if util is not None:
-            util_sum = (util_sum or 0.0) + util
-        if power is not None:
-            powered += 1
-            power_sum = (power_sum or 0.0) + power
-            if last is not None:
-                energy += power * max(0.0, sec - last)
-        last = sec
-    return n, peak, util_max, util_sum, power_max, power_sum, powered, energy, last
+def _unpacked(packed: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(pa.py_buffer(bytes(packed))).read_all().to_pandas()
+
+
+def _folded(total: pd.DataFrame, samples: pd.DataFrame) -> pd.DataFrame:
+    """Totals, one row per ``at``, after more samples, which come in order of ``at`` and time."""
+    if samples.empty:
+        return total
+    at = samples["at"]
+    before = samples["sec"].groupby(at).shift().fillna(at.map(total["last_sec"]))
+    energy = samples["power"] * (samples["sec"] - before).clip(lower=0)
+    more = pd.DataFrame({
+        "samples": 1.0, "peak_bytes": samples["mem_bytes"], "util_max": samples["util"], "util_sum": samples["util"],
+        "power_max": samples["power"], "power_sum": samples["power"], "powered": samples["power"].notna().astype("float64"),
+        "energy": energy, "last_sec": samples["sec"]}).set_index(at)
+    both = pd.concat([total, more])
+    peaks = both[_PEAKS].groupby(level=0).max()
+    # Added one by one onto the totals, so that the sums do not depend on the batches.
+    sums = {c: np.bincount(both.index, weights=both[c].fillna(0.0))[peaks.index] for c in _SUMS}
+    return peaks.assign(**sums)
 
 
 class EnergyProcessor(StatefulProcessor):
-    """Totals of one device up to the watermark, and the samples after it, which late ones may still part."""
+    """Totals of a bucket's devices up to the watermark, and the samples after it, which late ones may still part."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.total = handle.getValueState("total", _TOTAL)
-        self.open = handle.getListState("open", _SAMPLE)
+        self.held = handle.getValueState("held", "total binary, open binary")
 
-    def _settle(self, key, new: list[tuple], timers) -> Iterator[pd.DataFrame]:
+    def _settle(self, new: list[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         mark = timers.getCurrentWatermarkInMs() / 1000.0
-        total = tuple(self.total.get()) if self.total.exists() else None
-        waiting = sorted([*(tuple(r) for r in self.open.get()), *new], key=lambda s: s[:2])
-        settled = [s for s in waiting if s[0] <= mark]
-        waiting = waiting[len(settled):]
-        if settled:
-            total = _folded(total, settled)
-            self.total.update(total)
+        if self.held.exists():
+            total, waiting = map(_unpacked, self.held.get())
+        else:
+            total, waiting = pd.DataFrame(columns=["device", *_PEAKS, *_SUMS]), pd.DataFrame(columns=["device", *_SAMPLE])
+        parts = [waiting, *new]
+        rows = pd.concat([p for p in parts if len(p)] or [waiting], ignore_index=True).astype(
+            {"sec": "float64", "sample_id": "int64", "mem_bytes": "float64", "util": "float64", "power": "float64"})
+        number, devices = pd.factorize(pd.concat([total["device"], rows["device"]]).astype(object), use_na_sentinel=False)
+        total = total.set_index(number[:len(total)])[[*_PEAKS, *_SUMS]].astype("float64")
+        rows = rows.assign(at=number[len(total):], new=np.arange(len(rows)) >= len(waiting)).sort_values(["at", "sec", "sample_id"])
+        settled = ~(rows["sec"] > mark)  # a sample without a time parts no gap
+        total = _folded(total, rows[settled])
+        waiting = rows[~settled]
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if waiting:
-            self.open.put(waiting)
-            self.handle.registerTimer(int(waiting[-1][0] * 1000) + 1)  # folds what is open when no sample follows
-        else:
-            self.open.clear()
-        n, peak, util_max, util_sum, power_max, power_sum, powered, energy, _ = _folded(total, waiting)
-        if n:
-            yield pd.DataFrame([[
-                key[0], n, None if peak is None else peak / GB, None if util_sum is None else util_sum / n, util_max, (power_sum or 0.0) / n,
-                power_max, energy if powered else None, len(waiting)]], columns=_names(_ENERGY))
+        if len(waiting):  # folds what is open when no sample follows
+            self.handle.registerTimer(int(waiting["sec"].max() * 1000) + 1)
+        named = lambda df, at: df.assign(device=devices[at])
+        self.held.update((_packed(named(total, total.index)), _packed(named(waiting, waiting["at"])[["device", *_SAMPLE]])))
+        changed = np.unique(rows["at"][settled | rows["new"]])
+        if len(changed):
+            now = _folded(total, waiting).loc[changed]
+            yield pd.DataFrame({
+                "device": devices[changed], "samples": now["samples"].astype("int64"), "peak_vram_gb": now["peak_bytes"] / GB,
+                "gpu_util_mean": (now["util_sum"] / now["samples"]).where(now["util_max"].notna()), "gpu_util_max": now["util_max"],
+                "power_watts_mean": now["power_sum"] / now["samples"], "power_watts_max": now["power_max"],
+                "energy_joules": now["energy"].where(now["powered"] > 0),
+                "open_samples": waiting["at"].value_counts().reindex(changed, fill_value=0).astype("int64")})[_names(_ENERGY)]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(None if pd.isna(v) else v for v in r) for part in rows for r in part[_names(_SAMPLE)].itertuples(
-            index=False, name=None)]
-        yield from self._settle(key, [(float(a), int(b or 0), None if m is None else int(m), u, p) for a, b, m, u, p in new], timerValues)
+        yield from self._settle([part[["device", *_SAMPLE]] for part in rows], timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._settle(key, [], timerValues)
+        yield from self._settle([], timerValues)
 
     def close(self) -> None:
         pass
 
 
-def telemetry_energy(samples: DataFrame, *, delay: str = "5 minutes") -> DataFrame:
+def telemetry_energy(samples: DataFrame, *, delay: str = "5 minutes", buckets: int = BUCKETS) -> DataFrame:
     """Exact peak memory, utilisation, power and energy per device so far (R3), as the batch job has them.
 
     A device gives a row whenever it changed; its last row holds for all its samples.  Energy is power
     times the gap to the sample before it, whichever micro-batch that came in: samples younger than the
     watermark stay in state, in order of time, so one that is late by up to ``delay`` still parts the gap
     it falls into.  Older samples are dropped by the watermark.  State per device: one row of totals and
-    the samples of the last ``delay``; a timer folds them when the device falls silent.  Needs the RocksDB
+    the samples of the last ``delay``; a timer folds them when its bucket falls silent.  Needs the RocksDB
     state store (``rocksdb_state``).  ``open_samples`` counts the samples that later ones may still part.
+
+    Devices are dealt by hash into ``buckets``, whose rows and state pass as columns: a call of the
+    processor costs the same for one device as for thousands.  A checkpoint keeps its number of buckets.
     """
     df = ensure_columns(samples, mem_bytes="long", util="double", power="double", sample_id="long")
     timed = df.withWatermark("ts", delay).select(
-        "device", "ts", F.col("ts").cast("double").alias("sec"), *[F.col(c).cast(t) for c, t in (
-            ("sample_id", "long"), ("mem_bytes", "long"), ("util", "double"), ("power", "double"))])
-    return timed.groupBy("device").transformWithStateInPandas(EnergyProcessor(), _ENERGY, "Update", "EventTime")
+        F.pmod(F.xxhash64(F.col("device").cast("string")), F.lit(buckets)).cast("int").alias("bucket"),
+        F.col("device").cast("string").alias("device"), "ts", F.col("ts").cast("double").alias("sec"),
+        F.coalesce(F.col("sample_id").cast("long"), F.lit(0)).alias("sample_id"),
+        *[F.col(c).cast(t) for c, t in (("mem_bytes", "long"), ("util", "double"), ("power", "double"))])
+    return timed.groupBy("bucket").transformWithStateInPandas(EnergyProcessor(), _ENERGY, "Update", "EventTime")
 
 
 @contextmanager
