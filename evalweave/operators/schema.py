@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,8 +63,13 @@ def _same(value: Column, kind: Column, wanted: object) -> Column:
     raise ValueError("only scalars may be listed in enum and const")
 
 
-def messages(value: Column, schema: Mapping | bool, at: Column, root: Mapping, depth: int = 0) -> Column:
-    """array<string> of the violations of a variant that is present; ``at`` is its place, such as ``a.b[2]: ``."""
+def messages(
+    value: Column, schema: Mapping | bool, at: Column, root: Mapping, depth: int = 0, kind: Column | None = None
+) -> Column:
+    """array<string> of the violations of a variant that is present; ``at`` is its place, such as ``a.b[2]: ``.
+
+    The value is used more than once: give a column or a bound one, and its kind if it is known.
+    """
     none = F.array().cast("array<string>")
     if depth > DEPTH:
         raise ValueError("the schema is nested too deeply or refers to itself")
@@ -71,16 +78,74 @@ def messages(value: Column, schema: Mapping | bool, at: Column, root: Mapping, d
     schema = resolved(schema, root)
     if unknown := set(schema) - KNOWN - NOTES:
         raise ValueError(f"unsupported keywords: {sorted(unknown)}")
-    return _bound(value, lambda v: _bound(json_type(F.schema_of_variant(v)), lambda kind: _messages(v, kind, schema, at, root, depth)))
+    if kind is not None:
+        return _checked(value, kind, None, schema, at, root, depth)
+    elements = F.try_variant_get(value, "$", "array<variant>") if _wants_array(schema) else None
+    return _held([elements], lambda e: _bound(_kind(value, schema, e), lambda k: _checked(value, k, e, schema, at, root, depth)))
+
+
+def _checked(value: Column, kind: Column, elements: Column | None, schema: Mapping, at: Column, root: Mapping, depth: int) -> Column:
+    """Messages of a value of known kind; members are taken once, and so are their kinds."""
+    fields = schema.get("properties", {})
+    names = list(dict.fromkeys([*schema.get("required", []), *fields]))
+    subs = [resolved(fields[n], root) if isinstance(fields.get(n), Mapping) else None for n in names]
+    members = F.when(kind == "object", F.array(*[_member(value, n) for n in names])) if names else None
+    early = [i for i, sub in enumerate(subs) if sub is not None and not _wants_array(sub)]
+
+    def with_members(m):
+        kinds = F.when(m.isNotNull(), F.array(*[_kind(m[i], subs[i]) for i in early])) if early else None
+        return _held([kinds], lambda k: _messages(
+            value, kind, {n: (m[i], k[early.index(i)] if i in early else None) for i, n in enumerate(names)}, elements, schema, at, root, depth))
+
+    return _held([members], with_members)
+
+
+def _wants_array(schema: Mapping) -> bool:
+    return "array" in _types(schema) or bool({"items", "minItems", "maxItems"} & set(schema))
+
 
+def _kind(value: Column, schema: Mapping, elements: Column | None = None) -> Column:
+    """Kind of a value.  Where containers may stand, a cast tells them; a schema would be built and printed from all they hold."""
+    kind = json_type(F.schema_of_variant(value))
+    if elements is not None:
+        kind = F.when(elements.isNotNull(), "array").otherwise(kind)
+    if "object" in _types(schema) or {"properties", "required", "additionalProperties"} & set(schema):
+        kind = F.when(F.try_variant_get(value, "$", "struct<>").isNotNull(), "object").otherwise(kind)
+    return kind
 
-def _if_present(schema: Mapping | bool, at: Column, root: Mapping, depth: int):
-    return lambda value: F.when(value.isNotNull(), messages(value, schema, at, root, depth))
 
+def _types(schema: Mapping) -> set[str]:
+    types = schema.get("type", [])
+    return {types} if isinstance(types, str) else set(types)
 
-def _messages(v: Column, kind: Column, schema: Mapping, at: Column, root: Mapping, depth: int) -> Column:
+
+def _member(value: Column, name: str) -> Column:
+    return F.try_variant_get(value, "$['" + name.replace("'", "\\'") + "']", "variant")
+
+
+def _held(values: list[Column | None], body) -> Column:
+    """``body`` over values that are each computed once; None stays None."""
+    if not values:
+        return body()
+    if values[0] is None:
+        return _held(values[1:], lambda *rest: body(None, *rest))
+    return _bound(values[0], lambda v: _held(values[1:], lambda *rest: body(v, *rest)))
+
+
+def _messages(v: Column, kind: Column, members: Mapping[str, tuple[Column, Column | None]], elements: Column | None,
+              schema: Mapping, at: Column, root: Mapping, depth: int) -> Column:
+    none = F.array().cast("array<string>")
     lists: list[Column] = []
-    one = lambda bad, text: lists.append(F.when(bad, F.array(F.concat(at, F.lit(text)))))
+    single: list[tuple[Column, Column]] = []
+    one = lambda bad, text: single.append((bad, F.concat(at, F.lit(text))))
+
+    def close() -> None:
+        """Lists the single messages so far; a value without a fault builds no array."""
+        if single:
+            found = F.array_compact(F.array(*[F.when(bad, text) for bad, text in single]))
+            lists.append(F.when(reduce(or_, [F.coalesce(bad, F.lit(False)) for bad, _ in single]), found))
+            single.clear()
+
     text, number = F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$", "double")
     is_number, is_text = kind.isin("integer", "number"), kind == "string"
     if "type" in schema:
@@ -107,29 +172,31 @@ def _messages(v: Column, kind: Column, schema: Mapping, at: Column, root: Mappin
         one(is_text & (F.length(text) < schema["minLength"]), "is too short")
     if "maxLength" in schema:
         one(is_text & (F.length(text) > schema["maxLength"]), "is too long")
-    fields = schema.get("properties", {})
-    member = lambda name: F.try_variant_get(v, "$['" + name.replace("'", "\\'") + "']", "variant")
-    is_object, place = kind == "object", lambda name: F.concat(F.regexp_replace(at, ": $", "."), F.lit(f"{name}: "))
+    fields, stem = schema.get("properties", {}), F.left(at, F.length(at) - 2)  # a place ends with ": "
+    is_object, place = kind == "object", lambda name: F.concat(stem, F.lit(f".{name}: "))
     inner = lambda name: F.when(at == "row: ", F.lit(f"{name}: ")).otherwise(place(name))
     for name in schema.get("required", []):
-        lists.append(F.when(is_object & member(name).isNull(), F.array(F.concat(inner(name), F.lit("required property missing")))))
+        single.append((is_object & members[name][0].isNull(), F.concat(inner(name), F.lit("required property missing"))))
+    close()
     for name, sub in fields.items():
-        lists.append(F.when(is_object, _bound(member(name), _if_present(sub, inner(name), root, depth + 1))))
+        value, its_kind = members[name]
+        lists.append(F.when(value.isNotNull(), messages(value, sub, inner(name), root, depth + 1, its_kind)))
     extra = schema.get("additionalProperties", True)
     if extra is not True and extra != {}:
         entries = F.filter(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: ~e["key"].isin(*fields) if fields else F.lit(True))
-        where = lambda e: F.concat(F.when(at == "row: ", F.lit("")).otherwise(F.regexp_replace(at, ": $", ".")), e["key"], F.lit(": "))
+        where = lambda e: F.concat(F.when(at == "row: ", F.lit("")).otherwise(F.concat(stem, F.lit("."))), e["key"], F.lit(": "))
         lists.append(F.when(is_object, F.flatten(F.transform(entries, lambda e: messages(e["value"], extra, where(e), root, depth + 1)))))
-    is_array, elements = kind == "array", F.try_variant_get(v, "$", "array<variant>")
     if "items" in schema:
         if not isinstance(schema["items"], (Mapping, bool)):
             raise ValueError("items must be one schema")
-        spot = lambda i: F.concat(F.regexp_replace(at, ": $", ""), F.lit("["), i.cast("string"), F.lit("]: "))
-        lists.append(F.when(is_array, F.flatten(F.transform(elements, lambda x, i: messages(x, schema["items"], spot(i), root, depth + 1)))))
+        spot = lambda i: F.concat(stem, F.lit("["), i.cast("string"), F.lit("]: "))
+        lists.append(F.when(elements.isNotNull(), F.flatten(F.transform(
+            elements, lambda x, i: messages(x, schema["items"], spot(i), root, depth + 1)))))
     if "minItems" in schema:
-        one(is_array & (F.size(elements) < schema["minItems"]), "has too few items")
+        one(elements.isNotNull() & (F.size(elements) < schema["minItems"]), "has too few items")
     if "maxItems" in schema:
-        one(is_array & (F.size(elements) > schema["maxItems"]), "has too many items")
+        one(elements.isNotNull() & (F.size(elements) > schema["maxItems"]), "has too many items")
+    close()
     for sub in schema.get("allOf", []):
         lists.append(messages(v, sub, at, root, depth + 1))
     if "anyOf" in schema:
@@ -140,9 +207,9 @@ def _messages(v: Column, kind: Column, schema: Mapping, at: Column, root: Mappin
         one(~ok, "fits none of the choices")
     if "not" in schema:
         one(F.size(messages(v, schema["not"], at, root, depth + 1)) == 0, "is excluded")
-    if not lists:
-        return F.array().cast("array<string>")
-    return F.flatten(F.array_compact(F.array(*lists)))
+    close()
+    lists = [F.coalesce(found, none) for found in lists]
+    return F.flatten(F.array(*lists)) if len(lists) > 1 else lists[0] if lists else none
 
 
 def with_schema_errors(lines: DataFrame, schema: Mapping | str, *, value_col: str = "value", name: str = "errors") -> DataFrame:
