@@ -60,8 +60,12 @@ def comparable(answer: Column, kind: Column) -> Column:
 
 
 def same_answer(pred: Column, gold: Column, kind: Column) -> Column:
+    """Whether both answers compare equal and are not empty.
+
+    Forms are costly and conditions share no work, so each is named as rarely as can be: equal texts need one.
+    """
     a, b = comparable(pred, kind), comparable(gold, kind)
-    return (a != "") & (b != "") & (a == b)
+    return F.when(pred.eqNullSafe(gold), a != "").otherwise((a == b) & (a != ""))
 
 
 def score_responses(df: DataFrame, *, keep_text: bool = True) -> DataFrame:

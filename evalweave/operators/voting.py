@@ -22,12 +22,14 @@ def answer_counts(df: DataFrame, *, group_cols: Sequence[str] = ("cell_id",)) ->
     df = ensure_columns(df, sample_index="int", task="string", gold_answer="string")
     answer = F.when(present(F.col("pred_answer")), F.col("pred_answer"))
     index = F.coalesce(F.col("sample_index"), F.lit(0))
-    return df.groupBy(*group_cols, F.col("id").cast("string").alias("id"), answer.alias("answer")).agg(
+    # The id leads the keys: cells share long beginnings, which a sort by the cell compares for every row.
+    counts = df.groupBy(F.col("id").cast("string").alias("id"), *group_cols, answer.alias("answer")).agg(
         F.count(F.lit(1)).alias("votes"),
         F.min(index).alias("first_index"),
         F.count_if(is_true(F.col("correct"))).alias("hits"),
         F.min(F.struct(index.alias("at"), F.col("gold_answer").alias("gold"), F.col("task").alias("task"))).alias("head"),
     )
+    return counts.select(*group_cols, "id", "answer", "votes", "first_index", "hits", "head")
 
 
 def _entropy_agreement(n: Column, distinct: Column, c_log_c: Column) -> Column:
@@ -66,7 +68,7 @@ def item_votes(
     valid = answered & (F.col("answer") != INVALID_ANSWER)
     place = F.struct("votes", -F.col("first_index"), "answer")
     votes = F.col("votes").cast("double")
-    items = counts.groupBy(*by).agg(
+    items = counts.groupBy("id", *group_cols).agg(
         F.sum("votes").alias("n_samples"),
         F.sum("hits").alias("n_correct"),
         F.coalesce(F.sum(F.when(answered, F.col("votes"))), F.lit(0)).alias("n_answers"),
@@ -94,8 +96,8 @@ def item_votes(
     score = F.when(F.col("n_answers") == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)))
     more_than_half = F.col("n_correct") * 2 > F.col("n_samples")  # A27
     # The majority is compared with the gold answer of the first sample, without a text round trip.
-    voted = same_answer(F.col("majority"), F.col("head.gold"), task_kind(F.col("head.task")))
-    return items.select(
+    voted = same_answer(F.col("majority"), F.col("head.gold"), F.col("_kind"))
+    return items.withColumn("_kind", task_kind(F.col("head.task"))).select(
         *by, "n_samples", "n_answers", "n_correct", "majority", "majority_valid",
         score.alias("consistency"),
         more_than_half.alias("more_than_half_correct"),
