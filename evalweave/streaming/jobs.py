@@ -39,10 +39,11 @@ def start_scoring(
     else:
         unique = responses.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(RESPONSE_KEYS))
     scored = resolve_confidence(score_responses(unique, keep_text=False))
-    return (
-        scored.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-        .partitionBy("cell_id").outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
-    )
+    with _key_state(responses.sparkSession), _open_cells(responses.sparkSession):
+        return (
+            scored.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+            .partitionBy("cell_id").outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
+        )
 
 
 def start_merging(
@@ -231,18 +232,51 @@ def telemetry_energy(samples: DataFrame, *, delay: str = "5 minutes", buckets: i
 
 
 @contextmanager
-def rocksdb_state(spark: SparkSession) -> Iterator[None]:
-    """Queries started inside keep their state in RocksDB, which ``telemetry_energy`` needs."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings that hold inside; a query keeps those it was started with."""
+    before = {name: spark.conf.get(name, None) for name in values}
     try:
+        for name, value in values.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def _unset(spark: SparkSession, values: dict[str, str]) -> dict[str, str]:
+    return {name: value for name, value in values.items() if spark.conf.get(name, None) is None}
+
+
+_STATE = "spark.sql.streaming.stateStore."
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which ``telemetry_energy`` needs."""
+    with _settings(spark, {f"{_STATE}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}):
+        yield
+
+
+@contextmanager
+def _key_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep the keys they have seen on local disks, with bounded memory; a session's own settings go first.
+
+    All stores of an executor share one cache.  Without the count of keys a put needs no read.
+    """
+    with rocksdb_state(spark), _settings(spark, _unset(spark, {
+            f"{_STATE}rocksdb.boundedMemoryUsage": "true", f"{_STATE}rocksdb.maxMemoryUsageMB": "256", f"{_STATE}rocksdb.trackTotalNumberOfRows": "false"})):
+        yield
+
+
+@contextmanager
+def _open_cells(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside do not sort rows by the cell to write them, unless a task has more cells than it may keep files open."""
+    with _settings(spark, _unset(spark, {"spark.sql.maxConcurrentOutputFileWriters": "16"})):
+        yield
 
 
 # Tasks receive these functions by value; workers need not have the package installed.
