@@ -98,9 +98,9 @@ _TWICE = """, uniq as (select distinct cell_id, id, sample_index, ok, gold from
 @query("stream_merging", "with " + V._ctes("lineitem", "keyed", [_KEYED]) + _TWICE + """
   select cell_id, id, sample_index, case when ok then gold else '0' end as pred_answer, ok as correct, 1 as copies from uniq""")
 def stream_merging(spark, sf_dir):
-    """Exactly once through a restart: the second run, with a state of its own, meets copies of all rows of the first.
+    """Exactly once through a restart: the second run, with a checkpoint of its own, meets copies of all rows of the first.
 
-    Half of the rows are fresh, half are older than the state keeps keys; the series of batches goes on.
+    Half of the rows are fresh, half are late; the series of batches goes on.
     """
     rows = stream_responses(spark, sf_dir).withColumn("ts", F.when(
         F.col("id").cast("long") % 2 == 0, F.current_timestamp()).otherwise(F.lit("1995-01-01").cast("timestamp")))
@@ -109,7 +109,8 @@ def stream_merging(spark, sf_dir):
     for source, checkpoint in ((rows, state), (rows, state), (again, state + "-second")):
         jobs.start_merging(source, path, checkpoint, event_time="ts", delay="1 hour").awaitTermination()
     keys = ["cell_id", "id", "sample_index", "pred_answer", "correct"]
-    return versioned.load(spark, path).groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("copies"))
+    counted = versioned.load(spark, path).groupBy(*sorted(keys, key="id".__ne__)).agg(F.count(F.lit(1)).cast("int").alias("copies"))
+    return counted.select(*keys, "copies")  # grouped by the id first, as groups that do not fit in memory are sorted
 
 
 @query("stream_energy", V.SAMPLES_SQL + """,

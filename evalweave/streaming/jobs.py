@@ -6,22 +6,23 @@ import sys
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from evalweave.functions import identity
 from evalweave.functions.scoring import ensure_columns, resolve_confidence, score_responses
-from evalweave.plans.shared import cut, small_side
+from evalweave.plans.shared import BROADCAST_ROWS, cut, small_side
 from evalweave.sources import versioned
 
 RESPONSE_KEYS = ("cell_id", "id", "sample_index")
+NAMED_CELLS = 200  # the files of up to so many cells are chosen by name
 
 
 def start_scoring(
@@ -51,32 +52,77 @@ def start_merging(
 ) -> StreamingQuery:
     """Score new response files into a versioned table, each response exactly once.
 
-    Keys stay in state for ``delay`` after they arrive.  A row whose event time is NULL or at least
-    ``delay`` old may be a copy of a forgotten one: such late rows, and only these, are compared with the
-    keys that the table holds for their cells, so late first copies are kept and late repeats are not.
+    The table itself is the state.  Rows of a batch are compared with the keys of the versions written up to
+    twice ``delay`` before the batch arrived.  A row whose event time is NULL or at least ``delay`` old may be a copy
+    of an older one: such late rows, and only these, are compared with all keys that the table holds for their
+    cells, so late first copies are kept and late repeats are not.  Between batches no memory holds any.
     Every micro-batch is one version of the table, recorded under the checkpoint's name, so a batch that is
     repeated after a failure adds nothing twice and readers see whole batches.
     """
     keys = list(RESPONSE_KEYS)
     age = f"_arrival - cast({event_time} as timestamp) < interval '{delay}'"
-    marked = responses.withColumn("_arrival", F.current_timestamp()).withWatermark("_arrival", delay).dropDuplicatesWithinWatermark(
-        keys).withColumn("_late", ~F.coalesce(F.expr(age), F.lit(False))).drop("_arrival")
+    marked = responses.withColumn("_arrival", F.current_timestamp()).withColumn("_late", ~F.coalesce(F.expr(age), F.lit(False)))
+    kept_ms = 2 * responses.sparkSession.sql(f"select unix_millis(timestamp_millis(0) + interval '{delay}')").first()[0]
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = cut(batch)  # the state is read once
-        late_cells = small_side(rows.where("_late").select("cell_id").distinct())
-        if versioned.is_versioned(spark, path) and not late_cells.isEmpty():
-            same = lambda a, b, names: reduce(and_, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in names])
-            held = versioned.load(spark, path).select(*keys).alias("h").join(late_cells.alias("c"), same("h", "c", ["cell_id"]), "left_semi")
-            rows = rows.alias("r").join(held.alias("k"), same("r", "k", keys) & F.col("r._late"), "left_anti")
-        scored = resolve_confidence(score_responses(rows.drop("_late"), keep_text=False))
+        rows = cut(batch)  # the source is read once
+        arrival = rows.select(F.unix_millis("_arrival")).first()  # the same for all rows of a batch, also when it is repeated
+        # One exchange and one sort, by a hash of the keys first, serve the copies inside the batch and those in the table.
+        others = [F.first(f"`{c}`").alias(c) for c in responses.columns if c not in keys]  # of one of the copies
+        unique = rows.transform(_by_hash, keys).groupBy("_hash", *keys).agg(*others, F.max("_late").alias("_late"))
+        held = _held_keys(spark, path, rows, keys, arrival[0] - kept_ms) if arrival else None
+        if held is not None:
+            # Not as join keys: these would be sorted by and dealt out by too.
+            pairs = [(_as_held(k, "r."), F.col(f"k.{k}")) for k in keys]
+            same = [F.coalesce(a == b, a.isNull() & b.isNull()) for a, b in pairs]
+            known = reduce(and_, [F.col("r._hash") == F.col("k._hash"), *same, F.col("r._late") | F.col("k._recent")])
+            if rows.count() <= BROADCAST_ROWS:  # a small batch picks what it may meet before the held keys are exchanged
+                held = held.join(F.broadcast(rows.select(_key_hash(keys).alias("_met"))), _key_hash(keys) == F.col("_met"), "left_semi")
+            held = held.transform(_by_hash, keys).hint("merge")  # of any number, so never sent to every task
+            unique = unique.alias("r").join(held.alias("k"), known, "left_anti")
+        scored = resolve_confidence(score_responses(unique.select(*[f"`{c}`" for c in responses.columns]), keep_text=False))
         versioned.publish(scored, path, mode="append", partition_cols=["cell_id"], batch=(checkpoint, number))
 
-    return (
-        marked.writeStream.outputMode("append").foreachBatch(merge).option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True})).start()
-    )
+    with _open_cells(responses.sparkSession):
+        return (
+            marked.writeStream.outputMode("append").foreachBatch(merge).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start()
+        )
+
+
+def _as_held(key: str, at: str = "") -> Column:
+    """A key as the table gives it back: its folders do not tell an empty cell from none."""
+    value = F.col(f"{at}{key}")
+    return F.nullif(value.cast("string"), F.lit("")) if key == "cell_id" else value
+
+
+def _key_hash(keys: list[str]) -> Column:
+    return F.xxhash64(*[_as_held(k).cast("string") for k in keys])
+
+
+def _by_hash(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows dealt out by a hash of the keys, which is taken anew afterwards rather than sent: its digits do not compress."""
+    return df.repartition(_key_hash(keys)).withColumn("_hash", _key_hash(keys))
+
+
+def _held_keys(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], since: int) -> DataFrame | None:
+    """The keys of a versioned table that rows of a batch may repeat: those written since, and of the cells of late rows all."""
+    now = versioned.manifest(spark, path)
+    if now is None:
+        return None
+    recent = [f for f in now["folders"] if now.get("written", {}).get(f, since) >= since]
+    older = [f for f in now["folders"] if f not in set(recent)]
+    keys_in = lambda folders: versioned.load(spark, path, now["version"], folders=folders).select(*keys)
+    parts = [keys_in(recent).withColumn("_recent", F.lit(True))] if recent else []
+    late_cells = rows.where("_late").select(_as_held("cell_id").alias("cell_id")).distinct()
+    named = [r[0] for r in late_cells.limit(NAMED_CELLS + 1).collect()] if older else []
+    if named and len(named) <= NAMED_CELLS:  # files of other cells are not opened
+        parts.append(keys_in(older).where(reduce(or_, [F.col("cell_id").eqNullSafe(F.lit(c)) for c in named])).withColumn("_recent", F.lit(False)))
+    elif named:
+        same = F.col("h.cell_id").eqNullSafe(F.col("c.cell_id"))
+        parts.append(keys_in(older).alias("h").join(small_side(late_cells).alias("c"), same, "left_semi").withColumn("_recent", F.lit(False)))
+    return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def start_progress(
