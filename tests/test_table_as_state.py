@@ -4,6 +4,7 @@ import datetime as dt
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from evalweave.sources import versioned
 from evalweave.streaming import jobs
@@ -57,6 +58,15 @@ def test_an_empty_cell_comes_once(spark, tmp_path):
     assert sorted(r.id for r in versioned.load(spark, path).collect()) == ["0", "1", "2"]
 
 
+def test_rows_are_exchanged_once(spark, capsys):
+    keys = list(jobs.RESPONSE_KEYS)
+    rows = spark.range(9).selectExpr("nullif(string(id % 2), '9') as cell_id", "nullif(string(id), '9') as id", "int(id) as sample_index", "id > 3 as late")
+    held = rows.select(*keys).transform(jobs._by_hash, keys).hint("merge").alias("k")
+    unique = rows.transform(jobs._by_hash, keys).groupBy("_hash", *keys).agg(F.max("late").alias("late"))
+    unique.alias("r").join(held, (F.col("r._hash") == F.col("k._hash")) & (F.col("r.late") | F.col("k.id").isNull()), "left_anti").explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 2  # one a side
+
+
 def test_old_versions_are_not_read_for_fresh_rows(spark, tmp_path):
     path = str(tmp_path / "table")
     rows = spark.createDataFrame([("a", "1", 0, False)], "cell_id string, id string, sample_index int, _late boolean")
