@@ -70,16 +70,18 @@ def start_merging(
         arrival = rows.select(F.unix_millis("_arrival")).first()  # the same for all rows of a batch, also when it is repeated
         # One exchange and one sort, by a hash of the keys first, serve the copies inside the batch and those in the table.
         others = [F.first(f"`{c}`").alias(c) for c in responses.columns if c not in keys]  # of one of the copies
-        unique = rows.transform(_by_hash, keys).groupBy("_hash", *keys).agg(*others, F.max("_late").alias("_late"))
+        small = rows.count() <= BROADCAST_ROWS
+        parts = None if small else int(spark.conf.get("spark.sql.shuffle.partitions"))  # joined ones would be too wide to be sorted in memory
+        unique = rows.transform(_by_hash, keys, parts).groupBy("_hash", *keys).agg(*others, F.max("_late").alias("_late"))
         held = _held_keys(spark, path, rows, keys, arrival[0] - kept_ms) if arrival else None
         if held is not None:
             # Not as join keys: these would be sorted by and dealt out by too.
             pairs = [(_as_held(k, "r."), F.col(f"k.{k}")) for k in keys]
             same = [F.coalesce(a == b, a.isNull() & b.isNull()) for a, b in pairs]
             known = reduce(and_, [F.col("r._hash") == F.col("k._hash"), *same, F.col("r._late") | F.col("k._recent")])
-            if rows.count() <= BROADCAST_ROWS:  # a small batch picks what it may meet before the held keys are exchanged
+            if small:  # such a batch picks what it may meet before the held keys are exchanged
                 held = held.join(F.broadcast(rows.select(_key_hash(keys).alias("_met"))), _key_hash(keys) == F.col("_met"), "left_semi")
-            held = held.transform(_by_hash, keys).hint("merge")  # of any number, so never sent to every task
+            held = held.transform(_by_hash, keys, parts).hint("merge")  # of any number, so never sent to every task
             unique = unique.alias("r").join(held.alias("k"), known, "left_anti")
         scored = resolve_confidence(score_responses(unique.select(*[f"`{c}`" for c in responses.columns]), keep_text=False))
         versioned.publish(scored, path, mode="append", partition_cols=["cell_id"], batch=(checkpoint, number))
@@ -101,9 +103,9 @@ def _key_hash(keys: list[str]) -> Column:
     return F.xxhash64(*[_as_held(k).cast("string") for k in keys])
 
 
-def _by_hash(df: DataFrame, keys: list[str]) -> DataFrame:
+def _by_hash(df: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
     """Rows dealt out by a hash of the keys, which is taken anew afterwards rather than sent: its digits do not compress."""
-    return df.repartition(_key_hash(keys)).withColumn("_hash", _key_hash(keys))
+    return df.repartition(*([parts] if parts else []), _key_hash(keys)).withColumn("_hash", _key_hash(keys))
 
 
 def _held_keys(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], since: int) -> DataFrame | None:
